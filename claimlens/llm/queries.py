@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimlens.llm import mixing, packing, url_rules
-from claimlens.llm.tables import read
+from claimlens.llm import fingerprints, mixing, packing, quality_rules, url_rules
+from claimlens.llm.tables import read, stage_table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality_rules.with_statistics(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    stats = stage_table(stats, "statistics")
+    rules = quality_rules.fit(stats, read(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, rules, ["doc_id"]).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +24,14 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = fingerprints.edited_fingerprints(docs)
+    digests = rows.select(F.col("fingerprint").alias("digest"), "doc_id")
+    groups = fingerprints.exact_groups(docs, digests).groupBy("doc_id").agg(F.min("same_id").alias("same_id"))
+    return rows.join(groups, rows["doc_id"].eqNullSafe(groups["doc_id"]), "left").select(rows["*"], "same_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "times", "taken")
 
@@ -25,7 +41,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_url_rules": op4_url_rules,
+    "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
 }
