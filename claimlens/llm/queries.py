@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, mixing, packing, quality_rules, url_rules
+from claimlens.llm import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(stats, rules, ["doc_id"]).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -40,12 +44,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_url_rules": op4_url_rules,
     "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _OP4 = r"""
