@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from claimlens.llm.calibration import isotonic
 from claimlens.llm.tables import remainder, stage_table
 
-FEATURES = 256
-GAMMA = 0.15
-RIDGE = 1.0
+FEATURES = 512
+GAMMA = 0.05
+RIDGE = 0.1
+#: Standard scores are bent by tanh to stay within this, so that no text lies far from all others.
+REACH = 2.0
 BINS = 1000
 MAX_LABELLED = 1_000_000
 #: Partitions that the labelled rows are summed in.
@@ -88,7 +90,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         w = rng.normal(0.0, np.sqrt(2 * GAMMA), (STATS, FEATURES))
         b = rng.uniform(0.0, 2 * np.pi, FEATURES)
-        z = np.cos((x - self.mean) / self.scale @ w + b) * np.sqrt(2.0 / FEATURES)
+        z = np.cos(np.tanh((x - self.mean) / self.scale / REACH) * REACH @ w + b) * np.sqrt(2.0 / FEATURES)
         return np.hstack([z, np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
