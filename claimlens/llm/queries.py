@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, url_rules
+from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(stats, rules, ["doc_id"]).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_components(read(spark, sf_dir, "documents"), width=2)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_rules": op4_url_rules,
     "op6_fingerprints": op6_fingerprints,

@@ -42,3 +42,15 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
 def remainder(column: str, n: int):
     """crc32 of the id written as text, modulo n; null ids are in no fold but 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
+
+
+#: Sets of ids up to this many rows (16 MB of longs) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def restrict(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose column is among ids (one column, staged), or with "left_anti" those whose is not."""
+    side = ids.withColumnRenamed(ids.columns[0], "__id")
+    if ids.count() <= BROADCAST_IDS:
+        side = F.broadcast(side)
+    return df.join(side, df[column] == side["__id"], how)
