@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, url_rules
+from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, suffix_dedup, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -40,6 +40,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, rows["doc_id"].eqNullSafe(groups["doc_id"]), "left").select(rows["*"], "same_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_documents(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "times", "taken")
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_rules": op4_url_rules,
     "op6_fingerprints": op6_fingerprints,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
