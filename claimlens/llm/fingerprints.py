@@ -25,14 +25,14 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.tables import stage_table
+from claimlens.llm.tables import BROADCAST_IDS, let, restrict, stage_table
 
 LANES = 4
 #: Documents in one range of ids when neighbours are looked up.
 RANGE_ROWS = 1024
 _MARKS = r"̀-ͯٓ-़ٕাৗାୖୗாௗౖೂೕೖാൗ්ාෟီ゙゚"
-#: Characters beyond these may change under normalisation: a quick test that most texts pass.
-_UNSURE = r"[^\x00-\x9f¡-§©«-®°±¶·»¿-ıЀ-џ‐-‖‘-‟€]"
+#: Characters beyond ASCII and these may change under normalisation: a quick test that most texts pass.
+_UNSURE = r"[^¡-§©«-®°±¶·»¿-ıЀ-џ‐-‖‘-‟€]"
 _SLOTS = 8192
 
 
@@ -68,34 +68,38 @@ def _fold_once(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    plain = (F.octet_length(text) == F.char_length(text)) | ~F.regexp_like(text, F.lit(_UNSURE))
-    text = F.when(plain, text).otherwise(_fold_once(_fold_once(_fold_once(text))))
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\u0085   -     　]+", " "))
+    plain = (F.octet_length(text) == F.char_length(text)) | ~F.regexp_like(F.regexp_replace(text, r"[\x00-\x7f]+", ""), F.lit(_UNSURE))
+    # Normalisation turns other white space into blanks, but for these.
+    folded = F.translate(_fold_once(_fold_once(_fold_once(text))), "\x85\u1680\u2028\u2029", "    ")
+    text = F.lower(F.when(plain, text).otherwise(folded))
+    # Single blanks, by far the most common, match neither branch.
+    return F.trim(F.regexp_replace(text, r" *[\t-\r][ \t-\r]*| {2,}", " "))
 
 
 def digest(canon: Column, lanes: int = LANES) -> Column:
     """`lanes` hashes of 64 bits under different seeds, in hex."""
-    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), canon)), 16, "0") for i in range(lanes)]))
+    return let(canon, lambda c: F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), c)), 16, "0") for i in range(lanes)])))
 
 
-def exact_groups(docs: DataFrame, digests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", canon=canonical) -> DataFrame:
+def exact_groups(docs: DataFrame, digests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", canon=canonical, make_digest=digest) -> DataFrame:
     """(digest, doc_id, same_id) for all rows of digests (doc_id, digest): same_id is the smallest id with the same canonical bytes.
 
     Texts are read again only where several documents share a digest.
     """
     shared = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     shared = stage_table(shared.where("n > 1").select("digest", "first_id"), "shared-digests")
-    members = digests.join(shared, "digest").select("digest", "doc_id")
+    members = stage_table(digests.join(shared, "digest").select("digest", "doc_id").distinct(), "sharing-ids")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # Grouping by the bytes themselves is the comparison; the tasks' partial groups hold one row for all copies.
-    exact = texts.join(members.distinct(), "doc_id").groupBy("digest", canon(F.col("text")).alias("canon")).agg(F.min("doc_id").alias("exact_id"))
-    mixed = exact.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    mixed = stage_table(mixed, "mixed-digests")
-    plain = digests.join(shared, "digest", "left").join(mixed, "digest", "left_anti")
-    plain = plain.select("digest", "doc_id", F.coalesce("first_id", "doc_id").alias("same_id"))
-    apart = digests.join(mixed, "digest", "left_semi").join(texts, "doc_id").withColumn("canon", canon(F.col("text")))
-    firsts = apart.groupBy("digest", "canon").agg(F.min("doc_id").alias("same_id"))
-    return plain.unionByName(apart.join(firsts, ["digest", "canon"]).select("digest", "doc_id", "same_id"))
+    few = restrict(texts, members.select("doc_id").distinct(), "doc_id").select("doc_id", canon(F.col("text")).alias("canon"))
+    few = few.withColumn("digest", make_digest(F.col("canon")))
+    exact = few.groupBy("digest", "canon").agg(F.min("doc_id").alias("exact_id"))
+    mixed = stage_table(exact.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "mixed-digests")
+    plain = digests.join(shared, "digest", "left").select("digest", "doc_id", F.coalesce("first_id", "doc_id").alias("same_id"))
+    if not mixed.limit(1).count():
+        return plain
+    apart = few.join(mixed, "digest", "left_semi").join(exact, ["digest", "canon"]).select("digest", "doc_id", F.col("exact_id").alias("same_id"))
+    return plain.join(mixed, "digest", "left_anti").unionByName(apart)
 
 
 def _following(firsts: DataFrame) -> DataFrame:
@@ -121,13 +125,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     key = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id"), F.xxhash64(*columns).alias("h"))
     dealt = docs.select("doc_id", *columns, part.alias("part"), key.alias("key"))
     firsts = stage_table(dealt.groupBy("part").agg(F.min("key").alias("key")), "firsts")
-    start = F.coalesce(F.col("next_part"), F.lit(None))
-    order = _following(firsts)
-    lowest = firsts.agg(F.min("part").alias("lowest"))
-    order = order.crossJoin(F.broadcast(lowest)).select("part", F.coalesce(start, F.col("lowest")).alias("from_part"))  # one row: a scalar
-    border = order.join(firsts.withColumnRenamed("part", "from_part"), "from_part").select("part", "key")
-    border = border.select(F.col("part").alias("to_part"), F.col("key.doc_id").alias("first_id"), F.col("key.h").alias("first_h"))
-    copies = dealt.join(border, dealt["doc_id"].eqNullSafe(border["first_id"]) & (dealt["key.h"] == border["first_h"]))
+    order, lowest = _following(firsts), firsts.agg(F.min("part")).first()[0]
+    order = order.select("part", F.coalesce("next_part", F.lit(lowest)).alias("from_part"))
+    border = order.join(firsts.withColumnRenamed("part", "from_part"), "from_part")
+    border = stage_table(border.select(F.col("part").alias("to_part"), F.col("key.doc_id").alias("first_id"), F.col("key.h").alias("first_h")), "borders")
+    side = F.broadcast(border) if firsts.count() <= BROADCAST_IDS else border
+    copies = dealt.join(side, dealt["doc_id"].eqNullSafe(side["first_id"]) & (dealt["key.h"] == side["first_h"]))
     copies = copies.select("doc_id", *columns, F.col("to_part").alias("part"), "key", F.lit(True).alias("copy")).dropDuplicates(["part"])
     every = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
     w = Window.partitionBy("part").orderBy("copy", "key")
@@ -137,20 +140,17 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half comes from the next document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = with_next(base, ["text"])
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), digest(canonical(text), lanes).alias("fingerprint"))
+    rows = with_next(base, ["text", "fingerprint"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(f"c_{c}") for c in ("text", "edited", "next_text")])
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        digest(F.col("c_text"), lanes).alias("fingerprint"),
-        digest(F.col("c_edited"), lanes).alias("edited_fingerprint"),
-        (F.col("c_text") == F.col("c_edited")).cast("double").alias("near_edited"),
-        (F.col("c_text") == F.col("c_next_text")).cast("double").alias("near_next"),
-    )
+    rows = rows.select("*", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited")), lanes))
+
+    def likeness(other: str, other_fingerprint: str) -> Column:
+        same = F.col("fingerprint") == F.col(other_fingerprint)
+        return F.when(same, (canonical(F.col("text")) == canonical(F.col(other))).cast("double")).otherwise(F.lit(0.0))
+
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("edited", "edited_fingerprint").alias("near_edited"), likeness("next_text", "next_fingerprint").alias("near_next"))
     return stage_table(rows, "fingerprints")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.tables import WORD, remainder, stage_table
+from claimlens.llm.tables import WORD, let, remainder, stage_table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -50,11 +50,6 @@ class Condition:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeats(words: Column) -> Column:
     """Words inside 3-word windows that the text holds twice or more."""
 
@@ -67,11 +62,11 @@ def _repeats(words: Column) -> Column:
             start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
             return F.aggregate(at, start, lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"), (p + 3).alias("end")), lambda a: a["n"])
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(ordered, covered))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(ordered, covered))
 
     n = F.size(words)
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(n < 3, F.lit(0)).otherwise(_let(windows, counted))
+    return F.when(n < 3, F.lit(0)).otherwise(let(windows, counted))
 
 
 def statistics(text: Column) -> Column:
@@ -91,14 +86,14 @@ def statistics(text: Column) -> Column:
             return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
         return F.struct(
-            _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), of_words).alias("w"),
-            _let(lines, of_lines).alias("l"),
+            let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), of_words).alias("w"),
+            let(lines, of_lines).alias("l"),
             (F.char_length(t) - F.char_length(kept)).cast("long").alias("n_symbols"),
             F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             (F.char_length(t) - F.char_length(F.replace(t, F.lit("!")))).cast("long").alias("n_bang"),
         )
 
-    return _let(text, of_text)
+    return let(text, of_text)
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One word: a run of characters other than space and the five ASCII line and tab controls.
@@ -39,6 +39,11 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def remainder(column: str, n: int):
     """crc32 of the id written as text, modulo n; null ids are in no fold but 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
