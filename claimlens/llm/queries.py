@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules, suffix_dedup, url_rules
+from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, pitman_yor, quality_classifier, quality_rules, suffix_dedup, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -32,6 +32,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = fingerprints.edited_fingerprints(docs)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_rules": op4_url_rules,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_fingerprints": op6_fingerprints,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
