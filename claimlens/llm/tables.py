@@ -28,6 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Paths of the tables that this process has staged, oldest first.
+_STAGED: list[str] = []
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables staged between two marks of staged_so_far(); nothing may read them any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _STAGED[since:until]:
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+    _STAGED[since:until] = [""] * (until - since)
+
+
 def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and return the table: later reads need no earlier shuffle or executor."""
     spark = df.sparkSession
@@ -36,6 +54,7 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
