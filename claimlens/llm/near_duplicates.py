@@ -9,9 +9,9 @@ need their full sets.
 No step pairs all members of a bucket. First each member meets one centre of
 its bucket, another in every band. Of the links that the sketches leave, the
 best of each document is confirmed on full sets; then those that still join two
-components; and at last, inside each bucket, members of different components
-meet each other, so that no link between components is lost to the choice of
-centres. Links inside a component need no test, as they change nothing.
+components; and at last, where buckets hold several components, the documents
+outside the largest meet the others in blocks, so that no link between
+components is lost to the choice of centres. Links inside a component need no test, as they change nothing.
 
 Parameters give a pair of similarity 0.8 a chance of 5e-8 to share no bucket,
 and of about 1e-6 to be dropped by the sketches (they pass five standard
@@ -41,6 +41,8 @@ BANDS = 32
 BAND_ROWS = 4
 SAMPLES = 512
 SKETCH_WORDS = 16
+#: Shingles of a block of documents whose full sets meet another block's.
+BLOCK_SHINGLES = 500_000
 #: The similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Least similarity that a sketch has to show.
@@ -165,6 +167,71 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return a.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
+def _crossing(percent: int, odds: int):
+    """Links between a block of outsiders and a block of documents, on full sets; only links leave the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outside = np.asarray(table.column("outside"))
+        ids, of, n = (np.asarray(table.column(c)) for c in ("id", "c", "n"))
+        sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(ids), SKETCH_WORDS).view(np.uint64)
+        sets = table.column("s").combine_chunks()
+        bounds, values = np.asarray(sets.offsets), np.asarray(sets.values).view(np.uint64)
+        rest = np.flatnonzero(~outside)
+        a, b = [], []
+        for i in np.flatnonzero(outside):
+            near = rest[(of[rest] != of[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            near = near[np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1) <= odds]
+            if not len(near):
+                continue
+            own = values[bounds[i] : bounds[i + 1]]
+            lists = [values[bounds[k] : bounds[k + 1]] for k in near]
+            joined = np.concatenate(lists)
+            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+            shared = np.add.reduceat(own[at] == joined, np.cumsum([0, *map(len, lists[:-1])]), dtype=np.int64)
+            linked = near[100 * shared >= percent * (n[near] + n[i] - shared)]
+            a += [int(ids[i])] * len(linked)
+            b += ids[linked].tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _left_between(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame | None:
+    """Links that the centres did not tell, between components that share a bucket; None if no bucket holds two.
+
+    Documents whose buckets hang together form a cluster. Its largest component
+    is the core; the others' documents are outsiders, who meet the whole cluster
+    on full sets, in blocks of BLOCK_SHINGLES on either side.
+    """
+    placed = members.join(labels, "id", "left").select("id", "band", "bucket", "centre", F.coalesce("component", "id").alias("c"))
+    split = placed.groupBy("band", "bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "bucket")
+    unsure = stage_table(placed.join(split, ["band", "bucket"]).select("id", "centre", "c").distinct(), "open-members")
+    if not unsure.limit(1).count():
+        return None
+    clusters = components(unsure.select(F.col("id").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
+    inside = unsure.select("id", "c").distinct().join(clusters, "id").join(reps.select("id", "n", "sketch"), "id")
+    inside = stage_table(inside, "clusters")
+    parts = inside.groupBy("cluster", "c").agg(F.sum("n").alias("n"))
+    shape = parts.groupBy("cluster").agg(F.max_by("c", F.struct("n", "c")).alias("core"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = (F.ceil(F.col(x) / BLOCK_SHINGLES).cast("int") for x in ("all", "rest"))
+    shape = shape.withColumn("rest", F.col("all") - F.col("most")).select("cluster", "core", *[F.greatest(b, F.lit(1)).alias(k) for k, b in zip(("rows", "columns"), blocks, strict=True)])
+    known = inside.join(shape, "cluster").withColumn("draw", F.xxhash64("id"))
+
+    def row(outside: bool) -> DataFrame:
+        own, other = ("columns", "rows") if outside else ("rows", "columns")
+        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        fixed = F.pmod(F.col("draw"), F.col(own)).cast("int")
+        x, y = (spread.alias("x"), fixed.alias("y")) if outside else (fixed.alias("x"), spread.alias("y"))
+        out = known.where(F.col("c") != F.col("core")) if outside else known
+        return out.select("cluster", "id", "c", "n", "sketch", F.lit(outside).alias("outside"), x, y)
+
+    ids = stage_table(inside.select("id").distinct(), "cluster-ids")
+    sets = restrict(texts, ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>").dropDuplicates(["id"])
+    met = row(True).unionByName(row(False)).join(sets, "id")
+    found = met.groupBy("cluster", "x", "y").applyInArrow(_crossing(PERCENT, _sketch_odds()), "a long, b long")
+    return stage_table(found.distinct(), "near-late")
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest of its component) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -193,18 +260,9 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = stage_table(_across(star.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "near-rest")
     labels = _relabelled(_confirmed(rest, texts, width), labels)
 
-    # What the centres did not tell: members of one bucket that are in different components.
-    placed = members.join(labels, "id", "left").select("id", "band", "bucket", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("band", "bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "bucket")
-    open_members = stage_table(placed.join(split, ["band", "bucket"]).join(reps.select("id", "n", "sketch", "bands"), "id"), "open-members")
-    x, y = (open_members.select(*[F.col(k).alias(f"{k}{c}") for k in ("band", "bucket", "id", "c", "n", "sketch", "bands")]) for c in "ab")
-    # A pair is met in the first bucket that it shares, and the sketches are read inside the join.
-    first_shared = F.array_position(F.zip_with("bandsa", "bandsb", lambda p, q: p == q), True) == F.col("banda") + 1
-    meets = (F.col("banda") == F.col("bandb")) & (F.col("bucketa") == F.col("bucketb")) & (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb"))
-    meets = meets & _similar_size("na", "nb") & (_differing("sketcha", "sketchb") <= _sketch_odds()) & first_shared
-    late = x.join(y, meets).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    late = stage_table(late.join(star.select("a", "b"), ["a", "b"], "left_anti"), "near-late")
-    labels = _relabelled(_confirmed(late, texts, width), labels)
+    late = _left_between(members, labels, reps, texts, width)
+    if late is not None:
+        labels = _relabelled(late, labels)
 
     member = rows.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
