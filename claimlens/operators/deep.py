@@ -18,6 +18,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from claimlens.functions.names import regex_references
 
@@ -274,10 +275,15 @@ def strict_references(text: str | None) -> list[str] | None:
         return None
 
 
-@F.pandas_udf("array<string>")
-def _strict(bodies: pd.Series) -> pd.Series:
-    return bodies.map(strict_references)
+def strict_or_null(body: Column) -> Column:
+    """Specifiers of the strict walk, a batch at a time; null where the text is no plain script."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def walked(bodies: pd.Series) -> pd.Series:
+        return bodies.map(strict_references)
+
+    return walked(body)
 
 
 def deep_references(body: Column, strict: bool = False) -> Column:
-    return F.coalesce(_strict(body), regex_references(body)) if strict else full_references(body)
+    return F.coalesce(strict_or_null(body), regex_references(body)) if strict else full_references(body)

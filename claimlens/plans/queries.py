@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import measures, names, urls
 from claimlens.operators import metrics, queueing, ratecontrol, registry
 from claimlens.operators import references as refs
+from claimlens.operators.deep import strict_or_null
 from claimlens.plans.views import fetch_log, files, table
 from claimlens.plans.views import registry as registry_log
 from claimlens.sources import files as bodies
@@ -334,9 +335,7 @@ def deep_refs_strict(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Files whose text is no plain script, so that the pattern of regex mode reads them."""
-    from claimlens.operators.deep import _strict
-
-    return files(spark, sf).select("page_id", _strict(F.col("body")).isNull().alias("fallback"))
+    return files(spark, sf).select("page_id", strict_or_null(F.col("body")).isNull().alias("fallback"))
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
