@@ -146,7 +146,8 @@ def _sampled(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         high = np.maximum(high[:-n], high[n:])
     high = np.maximum(high[: -(SPAN - 16)], high[SPAN - 16 :])
     at = np.flatnonzero((high == g) & (high > 0))
-    return at, g[at] >> np.uint64(64 - _KEY_BITS)
+    # The least hashes have few leading bits; mixed once more, they spread over all keys.
+    return at, (g[at] * _power(2)) >> np.uint64(64 - _KEY_BITS)
 
 
 def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
