@@ -412,13 +412,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batch):
             own = _Run(row)
             n = len(own.body)
-            depth = np.zeros(n + 1, np.int64)
-            for payload in row["found"] or []:
-                parts = _unbundle(payload)
-                doc, at, mask = _unpack(parts[0], np.int64), _unpack(parts[1], np.int64), _unpack(parts[2], np.uint32)
-                for j in range(SPAN):
-                    start = (own.starts[doc] + at)[mask & np.uint32(1 << j) > 0] - j
-                    depth[: n + 1] += np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
+            marks = [_unbundle(b) for b in row["found"] or []]
+            doc, at = (np.concatenate([np.zeros(0, np.int64), *[_unpack(m[k], np.int64) for m in marks]]) for k in (0, 1))
+            mask = np.concatenate([np.zeros(0, np.uint32), *[_unpack(m[2], np.uint32) for m in marks]])
+            place = own.starts[doc] + at
+            start = np.concatenate([place[mask & np.uint32(1 << k) > 0] - k for k in range(SPAN)])
+            depth = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
             gone = np.cumsum(depth[:n]) > 0
             total = np.concatenate([[0], np.cumsum(gone)])
             first = gone.copy()
