@@ -102,6 +102,11 @@ SELECT event_id, current::BIGINT AS current, current::DOUBLE / total * 100 AS pe
     "log_filter": "SELECT * FROM (SELECT event_id, (['INFO', 'DEBUG', 'WARN', 'ERROR', 'SUCCESS', 'WARN_PUBLIC', 'FATAL'])[event_id % 7 + 1] AS level FROM events) WHERE level IN ('INFO', 'SUCCESS', 'WARN_PUBLIC', 'FATAL')",
     "settings_line": """SELECT r_regionkey, concat_ws(', ', 'workers: ' || (r_regionkey + 25), 'timeout: 10s', 'max rate: 30/s', CASE WHEN r_regionkey % 2 = 1 THEN 'no size limit' ELSE 'max size: 10240 KB' END,
 CASE WHEN r_regionkey % 3 = 0 THEN 'deep scan' END, CASE WHEN r_regionkey > 2 THEN 'proxies: ' || (r_regionkey - 2) END) AS line FROM region""",
+    "host_with_scheme": f"SELECT page_id, {_HOST} AS host FROM pages",
+    "clocks_and_sizes": "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, (strlen(props) * 1024)::BIGINT AS bytes, (strlen(props) * 100 // 1024)::BIGINT AS kb FROM events",
+    "progress_bars": "SELECT p_partkey, rpad(repeat('█', floor(p_size::DOUBLE / 50 * 100 / 100 * 40)::INT), 40, ' ') AS bar FROM part",
+    "fifo_order": f"WITH {_L} SELECT host, min(event_id) AS head, max(event_id) AS tail, count(*) AS n FROM l GROUP BY host",
+    "refresh_needed": f"WITH RECURSIVE {_QUEUE} SELECT (SELECT count(*) FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b)) < (SELECT count(*) FROM q) // 3 AS refresh",
     "job_types": f"WITH {_L} SELECT c.code::BIGINT AS code, c.job_type, count(*) AS n FROM l JOIN (VALUES {', '.join(f'({i}, {_text(x)})' for i, x in enumerate(measures.JOB_TYPES))}) c(code, job_type) ON c.job_type = l.job_type GROUP BY 1, 2",
     "report_lines": f"WITH {_FINDINGS} SELECT 0::BIGINT AS ord, 'Found ' || count(*) || ' unclaimed dependencies:' AS line FROM g HAVING count(*) > 0 UNION ALL SELECT 1, unclaimed_package || ' (' || source_url || ')' FROM g",
     "stream_dedupe": f"WITH {_FIRST} SELECT package FROM o",

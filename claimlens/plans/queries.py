@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from claimlens.operators import references as refs
 from claimlens.operators.deep import strict_or_null
 from claimlens.plans.views import fetch_log, files, table
 from claimlens.plans.views import registry as registry_log
+from claimlens.session import shared_dir
 from claimlens.sources import files as bodies
 from claimlens.sources import network, sinks, targets
 from claimlens.streaming import streams
@@ -312,6 +312,41 @@ def settings_line(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "region").select(k, line.alias("line"))
 
 
+@_query
+def host_with_scheme(spark: SparkSession, sf: str) -> DataFrame:
+    bare = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", urls.host_with_default_scheme(bare).alias("host"))
+
+
+@_query
+def clocks_and_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "events").select("event_id", "ts", F.octet_length("props").cast("bigint").alias("size"))
+    return own.select("event_id", measures.clock(F.col("ts")).alias("clock"), measures.kb_to_bytes(F.col("size")).alias("bytes"), measures.bytes_to_kb(F.col("size") * 100).alias("kb"))
+
+
+@_query
+def progress_bars(spark: SparkSession, sf: str) -> DataFrame:
+    share = measures.percent(F.col("p_size"), F.lit(50))
+    return table(spark, sf, "part").select("p_partkey", measures.progress_bar(share).alias("bar"))
+
+
+@_query
+def fifo_order(spark: SparkSession, sf: str) -> DataFrame:
+    queue = queueing.fifo(fetch_log(spark, sf).select("host", F.col("event_id").alias("ord")))
+    return queue.groupBy("host").agg(F.min("ord").alias("head"), F.max("ord").alias("tail"), F.count("*").alias("n"))
+
+
+@_query
+def random_host_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return queueing.random_host(_pending(spark, sf), _blocked(spark, sf), 7)
+
+
+@_query
+def refresh_needed(spark: SparkSession, sf: str) -> DataFrame:
+    s = queueing.statistics(_pending(spark, sf), _blocked(spark, sf))
+    return s.select(queueing.needs_refresh(F.col("available_domains"), F.col("total_domains")).alias("refresh"))
+
+
 @_query
 def job_types(spark: SparkSession, sf: str) -> DataFrame:
     return fetch_log(spark, sf).groupBy("job_type").agg(F.count("*").alias("n")).join(spark.range(3).select(F.col("id").alias("code"), measures.job_type(F.col("id").cast("int")).alias("job_type")), "job_type").select("code", "job_type", "n")
@@ -339,8 +374,7 @@ def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimlens-")
-    path = f"{where}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/in")
     stream = streams.file_stream(spark, f"{path}/in", rows.schema)
     return streams.drain(make(stream), f"s{uuid.uuid4().hex}", f"{path}/state", mode)
@@ -355,3 +389,10 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 def stream_rate_state(spark: SparkSession, sf: str) -> DataFrame:
     got = _streamed(spark, fetch_log(spark, sf).coalesce(1), lambda s: streams.host_states(s, MAX_RATE), "update")
     return got.groupBy("host").agg(F.max_by(F.struct("*"), F.col("sent") + F.col("rejected")).alias("x")).select("x.*")
+
+
+@_query
+def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks that the watermark closed; the last ones stay open until later events."""
+    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1)
+    return _streamed(spark, rows, streams.throughput, "append")
