@@ -377,7 +377,7 @@ def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame],
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/in")
     stream = streams.file_stream(spark, f"{path}/in", rows.schema)
-    return streams.drain(make(stream), f"s{uuid.uuid4().hex}", f"{path}/state", mode)
+    return streams.drain(make(stream), f"{path}/out", f"{path}/state", mode)
 
 
 @_query

@@ -63,11 +63,20 @@ def throughput(events: DataFrame, time: str = "ts", delay: str = "10 seconds", t
     return seen.select(F.col("w.start").alias("tick"), F.col("count").alias("n"), (F.col("count") / 2.0).alias("rps"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what is there, wait for its end, and give the rows of its memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run the stream over what is there, wait for its end, and give the rows that it put out.
+
+    Each batch goes to a folder of its own, which a repeated batch overwrites.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.parquet(path).select(*stream.columns)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:

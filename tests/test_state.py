@@ -50,7 +50,7 @@ def test_stream_ends_in_the_same_state(spark, tmp_path):
         log(spark, rows[40 * k : 40 * k + 40]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = log(spark, rows[:1]).schema
     stream = streams.host_states(streams.file_stream(spark, str(tmp_path / "in"), schema, max_files=1))
-    got = streams.drain(stream, "states", str(tmp_path / "state"), "update")
+    got = streams.drain(stream, str(tmp_path / "states"), str(tmp_path / "state"), "update")
     last = got.groupBy("host").agg(F.max_by(F.struct("*"), F.col("sent") + F.col("rejected")).alias("x")).select("x.*")
     assert {r.host: tuple(r)[1:] for r in last.collect()} == replayed(rows, 30.0)
 
@@ -59,9 +59,9 @@ def test_stream_forms(spark, tmp_path):
     files = spark.createDataFrame([("u1", "require('aa') require('bb')", START), ("u2", "require('aa')", START + dt.timedelta(seconds=60))], "url string, body string, ts timestamp")
     files.write.parquet(str(tmp_path / "in"))
     stream = streams.file_stream(spark, str(tmp_path / "in"), files.schema)
-    assert {r.package for r in streams.drain(streams.new_packages(stream), "packages", str(tmp_path / "c1")).collect()} == {"aa", "bb"}
-    assert {r.package for r in streams.drain(streams.new_packages_within(stream, "ts", "1 hour"), "within", str(tmp_path / "c2")).collect()} == {"aa", "bb"}
-    ticks = streams.drain(streams.throughput(stream), "ticks", str(tmp_path / "c3"))
+    assert {r.package for r in streams.drain(streams.new_packages(stream), str(tmp_path / "packages"), str(tmp_path / "c1")).collect()} == {"aa", "bb"}
+    assert {r.package for r in streams.drain(streams.new_packages_within(stream, "ts", "1 hour"), str(tmp_path / "within"), str(tmp_path / "c2")).collect()} == {"aa", "bb"}
+    ticks = streams.drain(streams.throughput(stream), str(tmp_path / "ticks"), str(tmp_path / "c3"))
     assert [(r.n, r.rps) for r in ticks.collect()] == [(1, 0.5)]
     streams.to_files(streams.new_packages(stream), str(tmp_path / "out"), str(tmp_path / "c4"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
