@@ -136,9 +136,11 @@ def _bin(name: str, cuts: list[float]) -> Column:
 
 def learn(labelled: DataFrame, names: list[str], *, max_rules: int = MAX_RULES) -> list[list[Condition]]:
     """Rules that single out rows with bad = 1, from rows (doc_id, bad, names...), bad being 0 or 1."""
-    probabilities = [i / BINS for i in range(1, BINS)]
+    probabilities = [i / BINS for i in range(BINS + 1)]
     cuts_of = labelled.agg(*[F.percentile_approx(c, probabilities, 10_000).alias(c) for c in names]).first()
-    cuts = {c: sorted({float(x) for x in cuts_of[c] or []}) for c in names}
+    seen = {c: sorted({float(x) for x in cuts_of[c] or []}) for c in names}
+    # Thresholds stand half-way between values, so that none hugs what good rows happen to have.
+    cuts = {c: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for c, v in seen.items()}
     names = [c for c in names if cuts[c]]
     if not names:
         return []
