@@ -417,14 +417,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mask = np.concatenate([np.zeros(0, np.uint32), *[_unpack(m[2], np.uint32) for m in marks]])
             place = own.starts[doc] + at
             start = np.concatenate([place[mask & np.uint32(1 << k) > 0] - k for k in range(SPAN)])
-            depth = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
-            gone = np.cumsum(depth[:n]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
+            start = np.unique(start)
+            # Disjoint spans: a string that begins beyond the end of the one before opens a new one.
+            apart = start[1:] > start[:-1] + LENGTH
+            step = np.zeros(n + 1, np.int8)
+            step[start[np.concatenate([np.ones(min(1, len(start)), bool), apart])]] = 1
+            step[start[np.concatenate([apart, np.ones(min(1, len(start)), bool)])] + LENGTH] -= 1
+            gone = np.cumsum(step[:n], dtype=np.int8) > 0
+            total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             opening = own.starts[own.lengths > 0]
             first[opening] = gone[opening]
-            edges = np.concatenate([[0], np.cumsum(first)])
+            edges = np.concatenate([np.zeros(1, np.int32), np.cumsum(first, dtype=np.int32)])
             out = []
             for i in range(len(own.ids)):
                 a, b = int(own.starts[i]), int(own.ends[i])
