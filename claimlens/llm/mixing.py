@@ -87,24 +87,40 @@ def _thresholds(sizes: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
     return last.select("source_key", "times", F.when((F.col("upto") <= F.col("rest")) | near, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
-    """doc_id, size, source_size, target and the number of times that the mix takes each document."""
-    key = F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
-    sizes = stage_table(docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), word_count(F.col(text_col)).alias("size"), hash32(F.col(id_col)).alias("hash")), "sizes")
+def _key(source: Column) -> Column:
+    return F.struct(source.isNull().alias("missing"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most_times: float) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all rows, and for each source its target, whole times and threshold (broadcast if they are few)."""
+    sizes = stage_table(docs.select(F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), hash32(F.col(id_col)).alias("hash")), "sizes")
     targets = stage_table(source_targets(sizes, weights, most_times), "targets")
     small = targets.count() <= BROADCAST_SOURCES
-    limits = _thresholds(sizes, targets, small).join(targets, "source_key")
-    side = F.broadcast if small else (lambda x: x)
-    times = F.least(F.col("times") + (F.col("hash") <= F.col("threshold")).cast("long"), F.lit(int(most_times)))
-    rows = sizes.join(side(limits), "source_key")
-    return rows.select("doc_id", "source_key", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
-
-
-def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each row as many times as it is taken, with their own columns."""
-    taken = mix(docs, id_col=id_col, source_col=source_col, **options).where("times > 0")
-    source = F.when(~F.col("source_key.missing"), F.col("source_key.name"))
-    taken = taken.groupBy(F.col("doc_id").alias("__mix_id"), source.alias("__mix_source")).agg(F.max("times").alias("__mix_times"))
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__mix_id"]) & docs[source_col].cast("string").eqNullSafe(taken["__mix_source"]))
-    copies = rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_copy"))
-    return copies.drop("__mix_copy")
+    limits = stage_table(_thresholds(sizes, targets, small).join(targets, "source_key"), "limits")
+    return sizes, F.broadcast(limits) if small else limits
+
+
+def _times(most_times: float, digest: Column) -> Column:
+    return F.least(F.col("times") + (digest <= F.col("threshold")).cast("long"), F.lit(int(most_times)))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
+    """doc_id, size, source_size, target and the number of times that the mix takes each document."""
+    sizes, limits = _planned(docs, id_col, text_col, source_col, weights, most_times)
+    times = _times(most_times, F.col("hash"))
+    return sizes.join(limits, "source_key").select("doc_id", "source_key", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
+    """The documents of the mix, each row as many times as it is taken, with their own columns.
+
+    What a row is taken follows from its source and the hash of its id, so texts stay where they are.
+    """
+    _, limits = _planned(docs, id_col, text_col, source_col, weights, most_times)
+    side = limits.select(F.col("source_key").alias("__mix_key"), "times", "threshold")
+    times = _times(most_times, F.col("__mix_hash"))
+    own = [F.col(c).alias(f"__own_{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, _key(F.col(source_col)).alias("__key"), hash32(F.col(id_col)).alias("__mix_hash"))
+    copies = rows.join(side, F.col("__key") == F.col("__mix_key")).withColumn("__times", times).where("__times > 0")
+    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return copies.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)])
