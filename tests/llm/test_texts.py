@@ -246,6 +246,7 @@ def test_predictions_add_up():
     part.context, part.word = (x.ravel() for x in np.meshgrid(np.arange(contexts), np.arange(words + 1), indexing="ij"))
     wide = lambda x: np.hstack([x, np.zeros((contexts, 1), int)]).ravel()
     part.count, part.tables, part.seats, part.heavy = wide(count), wide(tables), np.append(seats, 0), np.full(words + 1, -1)
+    part.hot = np.full(len(part.word), -1)
     known = float((count.sum(0) > 0).sum())
     shared = {"context_count": count.sum(1), "context_tables": tables.sum(1), "heavy_tables": np.zeros(0), "heavy_seats": np.zeros(0), "tables": float(tables.sum()), "root_tables": float(seats.sum()), "vocabulary": known}
     p = part.predictive(shared).reshape(contexts, words + 1)
