@@ -246,9 +246,12 @@ def test_predictions_add_up():
     part.context, part.word = (x.ravel() for x in np.meshgrid(np.arange(contexts), np.arange(words + 1), indexing="ij"))
     wide = lambda x: np.hstack([x, np.zeros((contexts, 1), int)]).ravel()
     part.count, part.tables, part.seats, part.heavy = wide(count), wide(tables), np.append(seats, 0), np.full(words + 1, -1)
-    part.hot = np.full(len(part.word), -1)
+    # The dishes of the first word are heavy: the part holds a share of their customers, the whole is shared.
+    part.hot = np.where(part.word == 0, part.context, -1)
+    part.heavy[0] = 0
     known = float((count.sum(0) > 0).sum())
-    shared = {"context_count": count.sum(1), "context_tables": tables.sum(1), "heavy_tables": np.zeros(0), "heavy_seats": np.zeros(0), "tables": float(tables.sum()), "root_tables": float(seats.sum()), "vocabulary": known}
+    shared = {"context_count": count.sum(1), "context_tables": tables.sum(1), "heavy_tables": tables.sum(0)[:1], "heavy_seats": seats[:1], "hot_count": count[:, 0], "hot_tables": tables[:, 0], "tables": float(tables.sum()), "root_tables": float(seats.sum()), "vocabulary": known}
+    part.count, part.tables = np.where(part.hot < 0, part.count, 0), np.where(part.hot < 0, part.tables, 0)
     p = part.predictive(shared).reshape(contexts, words + 1)
     assert known == words and np.allclose(p.sum(axis=1), 1.0)
 
