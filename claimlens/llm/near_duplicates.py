@@ -42,7 +42,7 @@ BAND_ROWS = 4
 SAMPLES = 512
 SKETCH_WORDS = 16
 #: Shingles of a block of documents whose full sets meet another block's.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 100_000
 #: The similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Least similarity that a sketch has to show.
