@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.names import normalized, regex_references, worth_checking
@@ -37,6 +37,6 @@ def first_sources(refs: DataFrame, order: tuple[str, ...] = ("page_id", "pos"),
 
 
 def first_references(refs: DataFrame, order: tuple[str, ...] = ("page_id", "pos")) -> DataFrame:
-    """The whole first row of each package, by rank."""
-    w = Window.partitionBy("package").orderBy(*order)
-    return refs.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    """The whole first row of each package; partial results here too, where a ranking would sort a popular package in one task."""
+    first = refs.groupBy("package").agg(F.min_by(F.struct(*refs.columns), F.struct(*order)).alias("row"))
+    return first.select("row.*")
