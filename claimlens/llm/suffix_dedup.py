@@ -45,7 +45,7 @@ LENGTH = 50
 GRAM = 20
 #: Grams inside one string of LENGTH bytes, and most bytes of it before a suffix.
 SPAN = LENGTH - GRAM + 1
-RUN_BYTES = 8_000_000
+RUN_BYTES = 5_000_000
 BLOCK_BYTES = 500_000
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 32_000_000
@@ -187,8 +187,11 @@ def _words(text: np.ndarray, at: np.ndarray, before: bool, limit: np.ndarray, wi
     """A row of `width` bytes from each place, going forward or backward, zero past the text's border; and how many are real."""
     real = np.clip(np.where(before, at - limit, limit - at), 0, width)
     steps = np.arange(width)
-    i = at[:, None] - 1 - steps if before else at[:, None] + steps
-    rows = np.where(steps < real[:, None], text[np.clip(i, 0, max(0, len(text) - 1))], 0).astype(np.uint8)
+    rows = np.zeros((len(at), width), np.uint8)
+    for k in range(0, len(at), 8192):  # places of all bytes at once would take eight times the rows
+        a = at[k : k + 8192, None]
+        i = a - 1 - steps if before else a + steps
+        rows[k : k + 8192] = np.where(steps < real[k : k + 8192, None], text[np.clip(i, 0, max(0, len(text) - 1))], 0)
     return rows, real
 
 
