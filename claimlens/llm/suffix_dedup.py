@@ -48,7 +48,7 @@ SPAN = LENGTH - GRAM + 1
 RUN_BYTES = 5_000_000
 BLOCK_BYTES = 500_000
 #: Bytes of text for each range of hashes.
-RANGE_BYTES = 32_000_000
+RANGE_BYTES = 10_000_000
 _KEY_BITS = 40
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = (np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -385,6 +385,7 @@ def _resolved(table: pa.Table) -> pa.Table:
     flat = base[run] + np.fromiter((x[1] for x in order), np.int64, len(order))
     prefix = np.array(prefixes, np.int64)
     all_of = {c: np.concatenate([f[c] for f in found])[flat] for c in ("n_right", "left", "n_left", "id", "doc", "at")}
+    del found, strings, order, prefixes
     mask = np.zeros(len(flat), np.uint32)
     before = np.zeros(len(flat), np.uint64)
     for j in range(SPAN):
