@@ -49,6 +49,8 @@ RUN_BYTES = 5_000_000
 BLOCK_BYTES = 500_000
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 10_000_000
+#: Bytes of front-coded suffixes sent on at once.
+BATCH_BYTES = 1_000_000
 _KEY_BITS = 40
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = (np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -150,10 +152,19 @@ def _sampled(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return at, (g[at] * _power(2)) >> np.uint64(64 - _KEY_BITS)
 
 
-def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each key; and where each range starts among sorted keys."""
-    r = (keys.astype(np.float64) * (ranges / (1 << _KEY_BITS))).astype(np.int64)
-    return r, np.searchsorted(r, np.arange(ranges + 1))
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (keys.astype(np.float64) * (ranges / (1 << _KEY_BITS))).astype(np.int64)
+
+
+def _slices(r: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, start, end) of each range that sorted r holds: work grows with the run, not with the number of ranges."""
+    found, start = np.unique(r, return_index=True)
+    return list(zip(found.tolist(), start.tolist(), np.append(start[1:], len(r)).tolist(), strict=True))
+
+
+def _sent(rows: list[tuple[int | None, int, bytes]], name: str) -> pa.RecordBatch:
+    ranges, runs, payloads = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(ranges, pa.int64()), pa.array(runs, pa.int64()), pa.array(payloads, pa.binary())], names=["range", "run_id", name])
 
 
 def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -166,9 +177,8 @@ def _keys(ranges: int):
         for batch in batches:
             for row in _rows_of(batch):
                 keys = np.unique(_Run(row).samples()[2])
-                _, at = _by_range(keys, ranges)
-                found = [r for r in range(ranges) if at[r] < at[r + 1]]
-                yield pa.record_batch([pa.array(found, pa.int64()), pa.array([row["run_id"]] * len(found), pa.int64()), pa.array([_pack(keys[at[r] : at[r + 1]]) for r in found], pa.binary())], names=["range", "run_id", "keys"])
+                if len(keys):
+                    yield _sent([(r, row["run_id"], _pack(keys[a:b])) for r, a, b in _slices(_range_of(keys, ranges))], "keys")
 
     return run
 
@@ -234,7 +244,7 @@ def _entries(ranges: int):
             return
         right, n_right = _words(own.body, place, False, own.ends[doc], LENGTH)
         left, n_left = _words(own.body, place, True, own.starts[doc], SPAN - 1)
-        r, _ = _by_range(key, ranges)
+        r = _range_of(key, ranges)
         rw, lw = _sort_words(right), _sort_words(left)
         o = np.lexsort([place, n_left, n_right, *lw, *rw, r])
         same = np.ones(len(o) - 1, bool)
@@ -245,16 +255,18 @@ def _entries(ranges: int):
         ids = own.ids[doc[o]]
         later = ids > ids[group]
         told = o[later]
-        yield self_told(row["run_id"], doc[told], place[told] - own.starts[doc[told]], _all_windows(n_left[told], n_right[told]))
+        yield _sent([(None, row["run_id"], _marks(doc[told], place[told] - own.starts[doc[told]], _all_windows(n_left[told], n_right[told])))], "payload")
         o = o[~later]
-        bounds = np.searchsorted(r[o], np.arange(ranges + 1))
-        for i in range(ranges):
-            if bounds[i] < bounds[i + 1]:
-                e = o[bounds[i] : bounds[i + 1]]
-                yield pa.record_batch([pa.array([i], pa.int64()), pa.array([row["run_id"]], pa.int64()), pa.array([_front_coded(right[e], n_right[e], left[e], n_left[e], own.ids[doc[e]], doc[e], place[e] - own.starts[doc[e]])], pa.binary())], names=["range", "run_id", "payload"])
-
-    def self_told(run_id: int, doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([None], pa.int64()), pa.array([run_id], pa.int64()), pa.array([_marks(doc, at, mask)], pa.binary())], names=["range", "run_id", "payload"])
+        out, size = [], 0
+        for i, a, b in _slices(r[o]):
+            e = o[a:b]
+            out.append((i, row["run_id"], _front_coded(right[e], n_right[e], left[e], n_left[e], own.ids[doc[e]], doc[e], place[e] - own.starts[doc[e]])))
+            size += len(out[-1][2])
+            if size >= BATCH_BYTES:
+                yield _sent(out, "payload")
+                out, size = [], 0
+        if out:
+            yield _sent(out, "payload")
 
     return run
 
