@@ -1,17 +1,19 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling over Spark.
 
-A word is predicted from a context: the class, among CONTEXTS, that the word
-before it hashes to (frequent words have a class of their own in practice). Each
-context is a restaurant; all share the root restaurant as parent, which falls
-back on the uniform distribution over the training vocabulary and one unknown
-word. A sweep seats the customers of every (context, word) dish anew, given the
+A word is predicted from a context, the word before it, keyed by its 64-bit hash.
+Each context is a restaurant; all share the root restaurant as parent, which
+falls back on the uniform distribution over the training vocabulary and one
+unknown word. A sweep seats the customers of every (context, word) dish anew, given the
 tables of the other dishes; tables become the root's customers. Predictive
 probabilities are averaged over the sweeps after the burn-in.
 
 The work is dealt by word: one part holds every occurrence of its words, so the
 counts of a dish, the root's counts of a word, and the scores are local to it.
-What parts share are the customers and tables of each context and of HEAVY
-words: vectors of bounded length, summed by Spark and broadcast. A word with more
+The customers and tables of contexts are summed over parts by ranges of the
+context's hash and sent back to the parts that hold them; there are as many
+ranges as parts, and a part has one entry a context, so a frequent context is no
+heavier than the number of parts. What is broadcast are sums of HEAVY words and
+dishes, and of the latter's contexts: vectors of bounded length. A word with more
 than a quarter of a part's tokens, if that is over 1 / HEAVY of all (so at most
 HEAVY words), is dealt by word and context, which splits it over many parts. A
 dish with as many tokens is dealt by document as well: its parts add up its
@@ -42,7 +44,6 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.tables import remainder, stage_table
 
-CONTEXTS = 16_384
 HEAVY = 1_000_000
 HOLDOUT = 10
 DISCOUNT, STRENGTH = 0.75, 1.0
@@ -93,25 +94,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _contexts(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The class of the word before each, in texts of these sizes; before the first stands the end token."""
+    """The hash of the word before each, in texts of these sizes; before the first stands the end token."""
     start = np.zeros(len(words), bool)
     start[np.cumsum(sizes) - sizes] = True
-    before = np.where(start, np.uint64(END), np.concatenate([words[:1], words[:-1]]))
-    return (_mixed(before) % np.uint64(CONTEXTS)).astype(np.uint16)
+    return np.where(start, np.uint64(END), np.concatenate([words[:1], words[:-1]]))
 
 
 def _dish_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return _mixed(words ^ (contexts.astype(np.uint64) * _STEP))
+    return _mixed(words ^ (contexts * _STEP))
 
 
 @dataclass(frozen=True)
 class Split:
-    """Heavy words, and heavy dishes by key with the place of their word among the former and their context."""
+    """Heavy words, and heavy dishes by key with the places of their word among the former and of their context among `contexts`."""
 
     words: np.ndarray
     dishes: np.ndarray
     dish_word: np.ndarray
     dish_context: np.ndarray
+    contexts: np.ndarray
 
 
 def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -136,7 +137,7 @@ def _heavy(share: float):
             _, first, dishes = np.unique(_dish_keys(h[within], context[within]), return_index=True, return_counts=True)
             many = first[dishes >= max(2.0, share * len(h))]
             word = [None, *words[often].view(np.int64).tolist(), *h[within][many].view(np.int64).tolist()]
-            of = [None] * (1 + int(often.sum())) + context[within][many].tolist()
+            of = [None] * (1 + int(often.sum())) + context[within][many].view(np.int64).tolist()
             n = [len(h), *counts[often].tolist(), *dishes[dishes >= max(2.0, share * len(h))].tolist()]
             yield pa.record_batch([pa.array(word, pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64())], names=["word", "context", "n"])
 
@@ -145,7 +146,7 @@ def _heavy(share: float):
 
 def _dealt(split: Split, parts: int):
     """Occurrences by part, from chunks of documents: word, context, document and whether the document trains."""
-    names = ["part", "chunk", "docs", "train", "words", "at", "context", "doc"]
+    names = ["part", "chunk", "docs", "train", "words", "at", "contexts", "context", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, base = 0, TaskContext.get().partitionId() << 20
@@ -176,7 +177,8 @@ def _dealt(split: Split, parts: int):
                     continue
                 words, at = np.unique(word[o], return_inverse=True)
                 steps = np.diff(at, prepend=0).astype(np.uint8)
-                rows.append((p, base | made, packed_ids, packed_train, _pack(words), _pack(steps), _pack(context[o]), _pack(doc[o].astype(np.uint16))))
+                contexts, of = np.unique(context[o], return_inverse=True)
+                rows.append((p, base | made, packed_ids, packed_train, _pack(words), _pack(steps), _pack(contexts), _pack(of.astype(np.uint32)), _pack(doc[o].astype(np.uint16))))
             made += 1
             ids, train, found, held = [], [], [], 0
             if len(seen) > 2_000_000:
@@ -197,25 +199,27 @@ def _dealt(split: Split, parts: int):
     return run
 
 
-_DEALT = "part long, chunk long, docs binary, train binary, words binary, at binary, context binary, doc binary"
-_STATE = "part long, words binary, dish_word binary, dish_context binary, dish_count binary, tables binary, seats binary, occurrences binary, rows binary, ids binary"
+_DEALT = "part long, chunk long, docs binary, train binary, words binary, at binary, contexts binary, context binary, doc binary"
+_STATE = "part long, words binary, contexts binary, dish_word binary, dish_context binary, dish_count binary, tables binary, seats binary, occurrences binary, rows binary, ids binary"
 
 
 def _joined(table: pa.Table) -> pa.Table:
     """One row for a part: its words, its dishes with their training customers, and what to score: (row, dish) counts."""
-    rows = table.select(["chunk", "docs", "train", "words", "at", "context", "doc"]).to_pylist()
+    rows = table.select(["chunk", "docs", "train", "words", "at", "contexts", "context", "doc"]).to_pylist()
     lists = [_unpack(r["words"], np.uint64) for r in rows]
     words = np.unique(np.concatenate(lists))
+    before = [_unpack(r["contexts"], np.uint64) for r in rows]
+    contexts = np.unique(np.concatenate(before))
     word, context, train, row, ids = [], [], [], [], {}
-    for r, own in zip(rows, lists, strict=True):
+    for r, own, own_before in zip(rows, lists, before, strict=True):
         at = np.searchsorted(words, own)[np.cumsum(_unpack(r["at"], np.uint8), dtype=np.int64)]
         d = _unpack(r["doc"], np.uint16).astype(np.int64)
         docs = _unpack(r["docs"], np.int64)
-        word.append(at), context.append(_unpack(r["context"], np.uint16))
+        word.append(at), context.append(np.searchsorted(contexts, own_before)[_unpack(r["context"], np.uint32)])
         train.append(_unpack(r["train"], np.uint8)[d]), row.append(d + (r["chunk"] << 16))
         ids[r["chunk"]] = docs
     word, context, train, row = map(np.concatenate, (word, context, train, row))
-    dishes, dish = np.unique(word.astype(np.uint64) * np.uint64(CONTEXTS) + context, return_inverse=True)
+    dishes, dish = np.unique(word * len(contexts) + context, return_inverse=True)
     count = np.bincount(dish, train, len(dishes)).astype(np.int64)
     order = np.argsort(row, kind="stable")
     o_row, o_dish = row[order], dish[order]
@@ -227,11 +231,12 @@ def _joined(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.append(first, len(new)))
     own_ids = np.array([ids[k >> 16][k & 0xFFFF] for k in keys.tolist()], np.int64)
     occurrences = _bundle([_pack(x.astype(np.uint32)) for x in (sizes, o_dish[new], times)])
-    by_word = np.bincount((dishes // np.uint64(CONTEXTS)).astype(np.int64), np.minimum(count, 1), len(words))
+    by_word = np.bincount(dishes // len(contexts), np.minimum(count, 1), len(words))
     packed = [
         _pack(words),
-        _pack((dishes // np.uint64(CONTEXTS)).astype(np.uint32)),
-        _pack((dishes % np.uint64(CONTEXTS)).astype(np.uint16)),
+        _pack(contexts),
+        _pack((dishes // len(contexts)).astype(np.uint32)),
+        _pack((dishes % len(contexts)).astype(np.uint32)),
         _pack(count.astype(np.uint32)),
         _pack(np.minimum(count, 1).astype(np.uint32)),
         _pack(np.minimum(by_word, 1).astype(np.uint32)),
@@ -239,7 +244,7 @@ def _joined(table: pa.Table) -> pa.Table:
         _pack(keys),
         _pack(own_ids),
     ]
-    names = ["part", "words", "dish_word", "dish_context", "dish_count", "tables", "seats", "occurrences", "rows", "ids"]
+    names = ["part", "words", "contexts", "dish_word", "dish_context", "dish_count", "tables", "seats", "occurrences", "rows", "ids"]
     return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=names)
 
 
@@ -281,27 +286,40 @@ class _Part:
 
     def __init__(self, row: dict, split: Split, tables: str = "tables", seats: str = "seats"):
         self.part = int(row["part"])
-        self.words = _unpack(row["words"], np.uint64)
-        self.word, self.context = _unpack(row["dish_word"], np.uint32).astype(np.int64), _unpack(row["dish_context"], np.uint16).astype(np.int64)
+        self.words, self.contexts = _unpack(row["words"], np.uint64), _unpack(row["contexts"], np.uint64)
+        self.word, self.context = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("dish_word", "dish_context"))
         self.count, self.tables = _unpack(row["dish_count"], np.uint32).astype(np.int64), _unpack(row[tables], np.uint32).astype(np.int64)
         self.seats = _unpack(row[seats], np.uint32).astype(np.int64)
         # Places among the heavy words and dishes, or -1.
         self.heavy = _place(self.words, split.words)
-        self.hot = _place(_dish_keys(self.words[self.word], self.context), split.dishes)
+        self.hot = _place(_dish_keys(self.words[self.word], self.contexts[self.context]), split.dishes)
+        self.hot_context = _place(self.contexts, split.contexts)
 
     def per_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.words)).astype(np.int64)
 
+    def per_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers here of each context, and tables without those of heavy dishes."""
+        sums = (np.bincount(self.context, x, len(self.contexts)) for x in (self.count, np.where(self.hot < 0, self.tables, 0)))
+        return tuple(x.astype(np.int64) for x in sums)
+
+    def local(self, shared: dict, counts: bytes, tables: bytes) -> dict:
+        """What the parts share, with the customers and tables over all parts of the contexts here."""
+        t, hot = _unpack(tables, np.int64).copy(), self.hot_context >= 0
+        t[hot] = shared["hot_context_tables"][self.hot_context[hot]]
+        return shared | {"context_count": _unpack(counts, np.int64), "context_tables": t}
+
     def sums(self, split: Split) -> np.ndarray:
-        """Customers and tables of contexts and of heavy words; customers of heavy dishes; words and root tables of the others."""
+        """Customers and tables of heavy words; customers of heavy dishes; tables of their contexts; words and root tables of the others; all customers and tables."""
         own = np.where(self.hot < 0, self.tables, 0)
         big = np.flatnonzero(self.heavy[self.word] >= 0)
         slot = self.heavy[self.word[big]]
         hot = np.flatnonzero(self.hot >= 0)
         light = self.heavy < 0
-        last = [(self.per_word(self.count)[light] > 0).sum(), self.seats[light].sum()]
-        n = len(split.words)
-        return np.concatenate([np.bincount(self.context, self.count, CONTEXTS), np.bincount(self.context, own, CONTEXTS), np.bincount(slot, self.count[big], n), np.bincount(slot, own[big], n), np.bincount(self.hot[hot], self.count[hot], len(split.dishes)), last])
+        last = [(self.per_word(self.count)[light] > 0).sum(), self.seats[light].sum(), self.count.sum(), own.sum()]
+        n, near = len(split.words), np.flatnonzero(self.hot_context >= 0)
+        by_context = np.bincount(self.hot_context[near], self.per_context()[1][near], len(split.contexts))
+        return np.concatenate([np.bincount(slot, self.count[big], n), np.bincount(slot, own[big], n), np.bincount(self.hot[hot], self.count[hot], len(split.dishes)), by_context, last])
 
     def root(self, shared: dict) -> np.ndarray:
         """The root's predictive probability of each word."""
@@ -344,7 +362,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _summed(parts: DataFrame, split: Split, before: dict | None, sweep: int) -> dict:
-    """What the parts share: 2 * CONTEXTS + 3 * HEAVY sums at most, and totals."""
+    """What the parts share but for contexts: 4 * HEAVY sums at most, and totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -356,22 +374,22 @@ def _summed(parts: DataFrame, split: Split, before: dict | None, sweep: int) ->
             slots = np.flatnonzero(total)
             yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(total[slots], pa.float64())], names=["slot", "value"])
 
-    n, h = len(split.words), len(split.dishes)
-    v = np.zeros(2 * (CONTEXTS + n) + h + 2)
+    n, h, k = len(split.words), len(split.dishes), len(split.contexts)
+    v = np.zeros(2 * n + h + k + 4)
     for slot, value in parts.mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value")).collect():
         v[slot] = value
-    counts, tables, heavy_count, heavy_tables, hot_count, (words, seats) = np.split(v, np.cumsum([CONTEXTS, CONTEXTS, n, n, h]))
+    heavy_count, heavy_tables, hot_count, context_tables, (words, seats, tokens_seen, tables) = np.split(v, np.cumsum([n, n, h, k]))
     rng = np.random.default_rng([SEED, sweep + 1])
     hot_count = hot_count.astype(np.int64)
     if before is None:
         hot_tables = np.minimum(hot_count, 1)
     else:
         root = (before["heavy_tables"] - ROOT_DISCOUNT * before["heavy_seats"] + root_weight(before)) / (ROOT_STRENGTH + before["tables"])
-        hot_tables = seated(rng, hot_count, (STRENGTH + DISCOUNT * before["context_tables"][split.dish_context]) * root[split.dish_word], DISCOUNT)
-    tables = tables + np.bincount(split.dish_context, hot_tables, CONTEXTS)
+        hot_tables = seated(rng, hot_count, (STRENGTH + DISCOUNT * before["hot_context_tables"][split.dish_context]) * root[split.dish_word], DISCOUNT)
+    context_tables = context_tables + np.bincount(split.dish_context, hot_tables, k)
     heavy_tables = heavy_tables + np.bincount(split.dish_word, hot_tables, n)
-    shared = {"context_count": counts, "context_tables": tables, "heavy_count": heavy_count, "heavy_tables": heavy_tables, "hot_count": hot_count, "hot_tables": hot_tables}
-    shared |= {"tokens": float(counts.sum()), "tables": float(tables.sum()), "vocabulary": float(words + (heavy_count > 0).sum())}
+    shared = {"hot_context_tables": context_tables, "heavy_count": heavy_count, "heavy_tables": heavy_tables, "hot_count": hot_count, "hot_tables": hot_tables}
+    shared |= {"tokens": float(tokens_seen), "tables": float(tables + hot_tables.sum()), "vocabulary": float(words + (heavy_count > 0).sum())}
     if before is None:
         shared["heavy_seats"] = np.minimum(heavy_tables, 1)
     else:
@@ -384,10 +402,41 @@ def _split(often: list) -> Split:
     """From rows (word, context), the context null for words; at most 1 / share of either."""
     words = np.sort(np.array([r[0] for r in often if r[1] is None], np.int64).view(np.uint64))
     pairs = [(r[0], r[1]) for r in often if r[1] is not None]
-    word, context = np.array([p[0] for p in pairs], np.int64).view(np.uint64), np.array([p[1] for p in pairs], np.int64)
+    word, context = (np.array([p[i] for p in pairs], np.int64).view(np.uint64) for i in (0, 1))
     keys = _dish_keys(word, context)
     order = np.argsort(keys)
-    return Split(words, keys[order], np.searchsorted(words, word[order]), context[order])
+    contexts, at = np.unique(context[order], return_inverse=True)
+    return Split(words, keys[order], np.searchsorted(words, word[order]), at, contexts)
+
+
+def _over_parts(own: DataFrame, ranges: int, label: str) -> DataFrame:
+    """(part, total): for rows (part, contexts, own), the sums over all parts of what each has of its contexts."""
+    edges = np.array([i * (1 << 64) // ranges for i in range(ranges)], np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                contexts, values = _unpack(row["contexts"], np.uint64), _unpack(row["own"], np.int64)
+                bounds = np.append(np.searchsorted(contexts, edges), len(contexts)).tolist()
+                cells = [(row["part"], i, _pack(contexts[a:b]), _pack(values[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+                yield pa.record_batch([pa.array(c) for c in zip(*cells, strict=True)], names=["part", "range", "contexts", "own"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [_unpack(x, np.uint64) for x in table.column("contexts").to_pylist()]
+        values = np.concatenate([_unpack(x, np.int64) for x in table.column("own").to_pylist()])
+        _, at = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.bincount(at, values).astype(np.int64)[at]
+        ends = np.cumsum([0, *map(len, lists)]).tolist()
+        packed = [_pack(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.table([table.column("part"), table.column("range"), pa.array(packed, pa.binary())], names=["part", "range", "total"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by("range").column("total").to_pylist()
+        return pa.table([table.column("part")[:1], pa.array([_pack(np.concatenate([_unpack(x, np.int64) for x in ordered]))], pa.binary())], names=["part", "total"])
+
+    cells = own.mapInArrow(cut, "part long, range long, contexts binary, own binary")
+    sums = cells.groupBy("range").applyInArrow(add, "part long, range long, total binary")
+    return stage_table(sums.groupBy("part").applyInArrow(gather, "part long, total binary"), label)
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -417,8 +466,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     dealt = texts.mapInArrow(_dealt(split, parts), _DEALT)
     state = stage_table(dealt.groupBy("part").applyInArrow(_joined, _STATE), "restaurants")
     shared = _summed(state, split, None, -1)
-    names = ["part", "words", "dish_word", "dish_context", "dish_count", "tables", "seats"]
-    used: list[tuple[DataFrame, dict]] = []
+
+    def of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                part = _Part(row, split)
+                yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([_pack(x)], pa.binary()) for x in part.per_context()]], names=["part", "context_count", "context_tables"])
+
+    names = ["part", "words", "contexts", "dish_word", "dish_context", "dish_count", "tables", "seats"]
+    keys = state.select("part", "contexts")
+    first = stage_table(state.select(*names).mapInArrow(of_contexts, "part long, context_count binary, context_tables binary"), "contexts")
+    counts, tables = (_over_parts(keys.join(first.select("part", F.col(c).alias("own")), "part"), parts, c) for c in ("context_count", "context_tables"))
+    state = state.join(counts.withColumnRenamed("total", "context_count"), "part")
+    names = [*names, "context_count"]
+    used: list[tuple[DataFrame, DataFrame, dict]] = []
     seats = state.select(*names)
     for sweep in range(BURN_IN + SWEEPS):
 
@@ -426,24 +487,27 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
             for batch in batches:
                 for row in _rows(batch):
                     part = _Part(row, split)
-                    part.reseat(shared, sweep)
-                    yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([_pack(x.astype(np.uint32))], pa.binary()) for x in (part.tables, part.seats)]], names=["part", "tables", "seats"])
+                    part.reseat(part.local(shared, row["context_count"], row["total"]), sweep)
+                    packed = [*[_pack(x.astype(np.uint32)) for x in (part.tables, part.seats)], _pack(part.per_context()[1])]
+                    yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "tables", "seats", "own"])
 
-        new = stage_table(seats.mapInArrow(reseated, "part long, tables binary, seats binary"), f"sweep{sweep}")
-        seats = state.drop("tables", "seats", "occurrences", "rows", "ids").join(new, "part").select(*names)
+        new = stage_table(seats.join(tables, "part").mapInArrow(reseated, "part long, tables binary, seats binary, own binary"), f"sweep{sweep}")
+        tables = _over_parts(keys.join(new.select("part", "own"), "part"), parts, f"tables{sweep}")
+        seats = state.drop("tables", "seats", "occurrences", "rows", "ids").join(new.drop("own"), "part").select(*names)
         shared = _summed(seats, split, shared, sweep)
         if sweep >= BURN_IN:
-            used.append((new, shared))
+            used.append((new, tables, shared))
     joined = state.drop("tables", "seats")
-    for i, (new, _) in enumerate(used):
+    for i, (new, tables, _) in enumerate(used):
         joined = joined.join(new.select("part", F.col("tables").alias(f"tables{i}"), F.col("seats").alias(f"seats{i}")), "part")
-    vectors = [x[1] for x in used]
+        joined = joined.join(tables.withColumnRenamed("total", f"total{i}"), "part")
+    vectors = [x[2] for x in used]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 samples = [_Part(row, split, f"tables{i}", f"seats{i}") for i in range(len(vectors))]
-                p = sum(x.predictive(v) for x, v in zip(samples, vectors, strict=True)) / len(vectors)
+                p = sum(x.predictive(x.local(v, row["context_count"], row[f"total{i}"])) for i, (x, v) in enumerate(zip(samples, vectors, strict=True))) / len(vectors)
                 part, v = samples[0], vectors[0]
                 c = part.counts(v)
                 base = np.log10((c + 0.1) / (v["tokens"] + 0.1 * (v["vocabulary"] + 1)))

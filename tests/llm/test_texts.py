@@ -234,6 +234,23 @@ def test_language_model_is_a_distribution(spark, part_tokens):
     assert 0 < sum(10 ** got[i] for i in held) + 10 ** got[one] < 1
 
 
+@pytest.mark.parametrize("part_tokens", [150, 10**6])
+def test_every_word_has_a_context_of_its_own(spark, part_tokens):
+    # Two words that share a class among 16,384.
+    classes = {}
+    for i in range(10_000):
+        h = np.array([pitman_yor.xxhash.xxh3_64_intdigest(f"c{i}".encode())], np.uint64)
+        a, b = classes.setdefault(int(pitman_yor._mixed(h)[0]) % 16_384, f"c{i}"), f"c{i}"
+        if a != b:
+            break
+    train = [(i, f"{a} x" if i % 2 else f"{b} y", None, None) for i in range(200) if rest(i, 10)]
+    held = [i for i in range(1000, 2000) if rest(i, 10) == 0][:4]
+    ask = [(i, t, None, None) for i, t in zip(held, (f"{a} x", f"{a} y", f"{b} x", f"{b} y"), strict=True)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(table(spark, train + ask), part_tokens=part_tokens).collect()}
+    ax, ay, bx, by = (got[i] for i in held)
+    assert ax > ay + 1 and by > bx + 1
+
+
 def test_predictions_add_up():
     """Over all words and one unknown word, a context's predictive probabilities are a distribution."""
     rng = np.random.default_rng(2)
