@@ -410,6 +410,16 @@ def test_ids_are_those_of_the_library():
         assert own.encode_ordinary(t) == reader.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(TOKENIZER)
+    encode = lambda t: reader.encode(t, add_special_tokens=False).ids
+    rows = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext |> <|endoftext|", "é<|endoftext|>  y"]))
+    assert 50256 in encode(rows[0][1])
+    unpacked(packing.pack(table(spark, [(i, t, None, None) for i, t in rows]), TOKENIZER).collect(), rows, encode, 2048)
+
+
 # The pipeline
 
 
