@@ -373,10 +373,14 @@ def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("page_id", strict_or_null(F.col("body")).isNull().alias("fallback"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """What the stream puts out; with an order, batches of bounded size follow it."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/in")
-    stream = streams.file_stream(spark, f"{path}/in", rows.schema)
+    if order:
+        streams.write_in_order(rows, f"{path}/in", *order)
+    else:
+        rows.write.parquet(f"{path}/in")
+    stream = streams.file_stream(spark, f"{path}/in", rows.schema, max_files=streams.MAX_FILES if order else None)
     return streams.drain(make(stream), f"{path}/out", f"{path}/state", mode)
 
 
@@ -387,12 +391,12 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def stream_rate_state(spark: SparkSession, sf: str) -> DataFrame:
-    got = _streamed(spark, fetch_log(spark, sf).coalesce(1), lambda s: streams.host_states(s, MAX_RATE), "update")
+    got = _streamed(spark, fetch_log(spark, sf), lambda s: streams.host_states(s, MAX_RATE), "update", ("ts", "event_id"))
     return got.groupBy("host").agg(F.max_by(F.struct("*"), F.col("sent") + F.col("rejected")).alias("x")).select("x.*")
 
 
 @_query
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     """Ticks that the watermark closed; the last ones stay open until later events."""
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1)
-    return _streamed(spark, rows, streams.throughput, "append")
+    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, rows, streams.throughput, "append", ("ts",))

@@ -55,6 +55,25 @@ def test_stream_ends_in_the_same_state(spark, tmp_path):
     assert {r.host: tuple(r)[1:] for r in last.collect()} == replayed(rows, 30.0)
 
 
+def test_streamed_logs_come_in_bounded_batches(spark, monkeypatch):
+    from pathlib import Path
+
+    from claimlens.plans.queries import QUERIES
+    from claimlens.session import shared_dir
+
+    sf, top = "/root/testdata/sf0.001", Path(shared_dir(spark).removeprefix("file:"))
+    one = QUERIES["stream_throughput"](spark, sf).collect()
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    monkeypatch.setattr(streams, "FILE_ROWS", -(-n // 5), raising=False)
+    monkeypatch.setattr(streams, "MAX_FILES", 1, raising=False)
+    for name, want in (("stream_throughput", one), ("stream_rate_state", QUERIES["rate_state_final"](spark, sf).collect())):
+        before = set(top.glob("stream-*"))
+        assert sorted(map(tuple, QUERIES[name](spark, sf).collect())) == sorted(map(tuple, want))
+        (path,) = set(top.glob("stream-*")) - before
+        sizes = [spark.read.parquet(str(f)).count() for f in path.glob("in/part-*")]
+        assert sum(sizes) == n and max(sizes) < n / 2 and len(list(path.glob("out/batch=[0-9]*"))) >= 5
+
+
 def test_stream_forms(spark, tmp_path):
     files = spark.createDataFrame([("u1", "require('aa') require('bb')", START), ("u2", "require('aa')", START + dt.timedelta(seconds=60))], "url string, body string, ts timestamp")
     files.write.parquet(str(tmp_path / "in"))
