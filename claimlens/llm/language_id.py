@@ -8,9 +8,11 @@ is turned into a score by isotonic calibration on texts that the models did not
 see, and a text whose cross-entropy is above what such texts of its language
 reach is marked as not accepted.
 
-The models learn from a sample of SAMPLE_CHARS characters a language, chosen by
-a hash of the id; their size, and so the broadcast, is bounded by that and by
-MOST_LANGUAGES. Every text is read whole, each distinct word of a batch once.
+The models learn from a sample of SAMPLE_CHARS characters a language: pieces of
+PIECE_CHARS, taken in the order of a hash of id and place until the next would be
+too much. The first piece with a letter is always taken and learned from. The
+size of the models, and so the broadcast, is bounded by that and by
+MOST_LANGUAGES. Every text is judged whole, each distinct word of a batch once.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with
 no language learned, all texts are `und`; rows whose lang is null are not
@@ -36,6 +38,10 @@ from claimlens.llm.tables import remainder, stage_table
 ORDER = 4
 DISCOUNT = 0.75
 SAMPLE_CHARS = 2_000_000
+#: Texts are sampled in pieces of so many characters.
+PIECE_CHARS = 20_000
+#: Bits of the hash that one histogram of pieces resolves.
+STEP_BITS = 8
 MOST_LANGUAGES = 256
 HOLDOUT = 5
 #: Share of calibration texts of a language that stay accepted.
@@ -226,20 +232,65 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
 
 
+def _limits(pieces: DataFrame, langs: list[str], sample_chars: int) -> dict[str, int]:
+    """For each language the last hash up to which its pieces (lang, h, chars) make up at most sample_chars.
+
+    Histograms of buckets of the hash are nested: each looks into the one bucket
+    of a language in which the sample ends, till it holds one piece.
+    """
+    limits = {lang: (1 << 63) - 1 for lang in langs}
+    taken: dict[str, int] = dict.fromkeys(langs, 0)
+    inside: dict[str, int | None] = dict.fromkeys(langs)
+    for bits in range(64 - STEP_BITS, -1, -STEP_BITS):
+        rows = pieces.select("lang", "chars", "h")
+        if bits < 64 - STEP_BITS:
+            bucket = F.lit(None).cast("long")
+            for lang, b in inside.items():
+                bucket = F.when(F.col("lang") == lang, F.lit(b).cast("long")).otherwise(bucket)
+            rows = rows.where(F.shiftright("h", bits + STEP_BITS) == bucket)
+        buckets = rows.groupBy("lang", F.shiftright("h", bits).alias("b")).agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
+        inside = {}
+        last = None
+        for r in sorted(buckets.collect(), key=lambda r: (r["lang"], r["b"])):
+            if r["lang"] == last:
+                continue
+            if taken[r["lang"]] + r["chars"] <= sample_chars:
+                taken[r["lang"]] += r["chars"]
+                continue
+            last = r["lang"]
+            limits[last] = (r["b"] << bits) - 1
+            if r["n"] > 1:
+                inside[last] = r["b"]
+        if not inside:
+            break
+    return limits
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: int = HOLDOUT, sample_chars: int = SAMPLE_CHARS) -> Models | None:
     """Models of all languages from the rows outside the held-out fold."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder("doc_id", holdout) != 0))
-    sums = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sums) > MOST_LANGUAGES:
+    # Where the first letter stands decides which piece can be learned from.
+    letter = F.when(F.col("text").rlike(r"\p{L}"), F.floor(F.char_length(F.regexp_extract("text", r"(?s)^(\P{L}*+)\p{L}", 1)) / PIECE_CHARS))
+    place = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("text") / PIECE_CHARS).cast("int") - 1, F.lit(0)))).alias("place")
+    pieces = known.select("lang", "doc_id", F.char_length("text").alias("length"), letter.alias("letter"), place)
+    size = F.least(F.col("length") - F.col("place") * PIECE_CHARS, F.lit(PIECE_CHARS)).cast("long")
+    pieces = stage_table(pieces.select("lang", "doc_id", "place", (F.col("place") == F.col("letter")).alias("letter"), size.alias("chars"), F.xxhash64(F.lit("sample"), "doc_id", "place").alias("h")), "language-pieces")
+    firsts = pieces.groupBy("lang").agg(F.min(F.when(F.col("letter"), F.struct("h", "doc_id", "place"))).alias("first")).limit(MOST_LANGUAGES + 1).collect()
+    if len(firsts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sums:
+    if not firsts:
         return None
-    share = F.lit(0)
-    for r in sums:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, sample_chars / max(1, r["chars"])) * (1 << 20))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share)
-    sample = stage_table(sample.withColumn("tune", F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(4)) == 0), "language-sample")
+    limits = _limits(pieces, [r["lang"] for r in firsts], sample_chars)
+    rows = [(r["lang"], limits[r["lang"]], *(r["first"][c] if r["first"] else None for c in ("doc_id", "place"))) for r in firsts]
+    taking = docs.sparkSession.createDataFrame(rows, f"lang string, limit long, first_id {known.schema['doc_id'].dataType.simpleString()}, first_place int")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    taken = (F.col("h") <= F.col("limit")) | (first & F.col("place").eqNullSafe(F.col("first_place")))
+    # The hash is read again from the texts, so that only pieces taken are cut out.
+    cut = known.select("*", place).withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "place")).join(F.broadcast(taking), "lang").where(taken)
+    tune = ~first & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(4)) == 0)
+    sample = cut.select("doc_id", F.substring("text", F.col("place") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"), "lang", tune.alias("tune"))
+    sample = stage_table(sample, "language-sample")
     counts = sample.where("not tune").select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").applyInArrow(_learned, "lang string, ord int, floor double, h binary, p binary, w binary").collect()  # bounded by the sample
     models = _assembled(rows)

@@ -173,6 +173,24 @@ def test_language_edges(spark, edge, empty):
     assert language_id.identify(digits, models).first().lang_pred == "und"
 
 
+def test_every_language_keeps_a_text_to_learn_from(spark):
+    tune = F.pmod(F.xxhash64(F.lit("tune"), "id"), F.lit(4)) == 0
+    ids = [r.id for r in spark.range(10_000).where(tune).collect() if rest(r.id, language_id.HOLDOUT)]
+    # One text, put aside by its hash; only a text without letters beside it; one that is longer than the sample by far.
+    rows = [(ids[0], "uno dos tres", "es", None), (ids[1], "eins zwei drei", "de", None), (ids[2], "12 34", "de", None), (ids[3], "123 " * 20_000 + "ett två tre " * 100_000, "sv", None)]
+    assert set(language_id.fit(table(spark, rows), sample_chars=1).languages) == {"es", "de", "sv"}
+
+
+def test_samples_fill_their_budget(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE_CHARS", 10)
+    rows = [(lang, i * 2654435761 * (1 << 31) % (1 << 64) - (1 << 63) if lang == "a" else i, 10) for lang in "ab" for i in range(500)]
+    pieces = spark.createDataFrame([*rows, ("c", 5, 10)], "lang string, h long, chars long")
+    got = language_id._limits(pieces, ["a", "b", "c"], 1234)
+    for lang in "ab":
+        assert sum(n for x, h, n in rows if x == lang and h <= got[lang]) == 1230
+    assert got["c"] == (1 << 63) - 1
+
+
 def test_character_models_are_distributions(spark):
     words = {"abba": 3, "abc": 2, "cab": 1, "b": 5}
     orders, _ = language_id._train(words)
