@@ -24,9 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(seen, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         lower = stage_table(lower, "labels-near")
-        root = lower.select(F.col("id").alias("root"), F.col("component").alias("further"))
-        jumped = lower.join(root, lower["component"] == root["root"], "left")
-        new = jumped.select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
+        # Labels that point further: one row for each, however many nodes bear it, so that Spark broadcasts them while they are few.
+        named = lower.select("component").distinct()
+        further = lower.where("component < id").join(named.withColumnRenamed("component", "id"), "id", "left_semi").select(F.col("id").alias("component"), F.col("component").alias("further"))
+        new = lower.join(further, "component", "left").select("id", "old", F.coalesce("further", "component").alias("component"))
         labels = stage_table(new, "labels")
         if not labels.where("component < old").limit(1).count():
             return labels.select("id", "component")

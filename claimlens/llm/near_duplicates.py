@@ -1,17 +1,20 @@
 """MinHash near-duplicates: banded candidates, checked by odd sketches, confirmed on full shingle sets.
 
-Documents with equal shingle sets form one class. The smallest document of each
-class gets MinHash samples: groups of them are the bands that name buckets, and
-all are folded into a bitmap of parities (an odd sketch). The population count
-of the XOR of two sketches estimates a high similarity closely, so few pairs
-need their full sets.
-
-No step pairs all members of a bucket. First each member meets one centre of
-its bucket, another in every band. Of the links that the sketches leave, the
-best of each document is confirmed on full sets; then those that still join two
-components; and at last, where buckets hold several components, the documents
-outside the largest meet the others in blocks, so that no link between
-components is lost to the choice of centres. Links inside a component need no test, as they change nothing.
+Documents with equal shingle sets form one class, a node of the graph of links.
+Each class has MinHash samples: groups of them are the bands that name buckets,
+and all are folded into a bitmap of parities (an odd sketch). The population
+count of the XOR of two sketches estimates a high similarity closely, so few
+pairs need their full sets.
+
+No step pairs all members of a bucket. First each member meets the least node of
+its bucket; as nodes are numbered at random, a group of near copies has the same
+one in most bands, so that a node has few links. Where buckets then still hold
+several components, each member meets a node that its bucket draws, if that is
+of another component. At last, where buckets hold several components even so,
+the nodes outside the largest meet the others in blocks, so that no link between
+components is lost to the choice of centres; a block returns a spanning forest,
+never all of its links. All links are confirmed on full sets. Links inside a
+component need no test, as they change nothing.
 
 Parameters give a pair of similarity 0.8 a chance of 5e-8 to share no bucket,
 and of about 1e-6 to be dropped by the sketches (they pass five standard
@@ -19,9 +22,10 @@ deviations below the threshold).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows share a
-component and are kept together; a row without id takes the component of an
-equal text, else none, and is kept then; an empty table gives an empty result;
-other columns are ignored or, in `drop_near_copies`, carried along.
+component and are kept together; an id with several texts stands in the component
+of each; a row without id takes the component of an equal set, else none, and is
+kept then; an empty table gives an empty result; other columns are ignored or, in
+`drop_near_copies`, carried along.
 """
 
 from __future__ import annotations
@@ -35,14 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.components import components
-from claimlens.llm.tables import restrict, stage_table
+from claimlens.llm.tables import BROADCAST_IDS, restrict, stage_table
 
 BANDS = 32
 BAND_ROWS = 4
 SAMPLES = 512
 SKETCH_WORDS = 16
-#: Shingles of a block of documents whose full sets meet another block's.
-BLOCK_SHINGLES = 100_000
+#: Weight of a block of nodes whose full sets meet another block's: their shingles, and NODE_WEIGHT for each node.
+BLOCK_WEIGHT = 100_000
+NODE_WEIGHT = 100
 #: The similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Least similarity that a sketch has to show.
@@ -104,13 +109,13 @@ def _signatures(width: int):
         samples = _Samples()
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
                 low = samples.of(s)
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), samples.sketch(low), samples.bands(low)))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n", "set_hash", "sketch", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "text_hash", "n", "set_hash", "sketch", "bands"])
 
     return run
 
@@ -118,8 +123,9 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+            found = [shingles(t, width) for t in batch.column(0).to_pylist()]
+            hashes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
+            yield pa.record_batch([hashes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["set_hash", "s"])
 
     return run
 
@@ -138,11 +144,15 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = stage_table(pairs.select("a").union(pairs.select("b")).distinct(), "near-ids")
-    sets = stage_table(restrict(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>").dropDuplicates(["id"]), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sizes and sketches, and then full shingle sets, are similar enough."""
+    for c in "ab":
+        signed = classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = pairs.join(signed, c)
+    pairs = pairs.where(_similar_size("na", "nb")).where(_differing("sa", "sb") <= _sketch_odds()).select("a", "b")
+    both = stage_table(pairs, "near-candidates")
+    for c in "ab":
+        both = both.join(sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
     counted = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
     return counted.where(100 * F.col("inter") >= PERCENT * (F.col("total") - F.col("inter"))).select("a", "b")
 
@@ -160,19 +170,21 @@ def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stage_table(known.unionByName(roots.join(labels, "id", "left_anti")), "near-labels")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a = pairs.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    a = a.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return a.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def _unsure(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Members (node, bucket, c, low) of the buckets that hold several components c, the least being low; None without any."""
+    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("c"))
+    split = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket", "low")
+    unsure = stage_table(placed.join(split, "bucket"), "open-members")
+    return unsure if unsure.limit(1).count() else None
 
 
 def _crossing(percent: int, odds: int):
-    """Links between a block of outsiders and a block of documents, on full sets; only links leave the task."""
+    """Between a block of outsiders and a block of nodes: links on full sets that join two components, never more than components."""
 
     def run(table: pa.Table) -> pa.Table:
         outside = np.asarray(table.column("outside"))
-        ids, of, n = (np.asarray(table.column(c)) for c in ("id", "c", "n"))
+        ids, n = (np.asarray(table.column(c)) for c in ("node", "n"))
+        of = np.unique(np.asarray(table.column("c")), return_inverse=True)[1]
         sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(ids), SKETCH_WORDS).view(np.uint64)
         sets = table.column("s").combine_chunks()
         bounds, values = np.asarray(sets.offsets), np.asarray(sets.values).view(np.uint64)
@@ -189,33 +201,30 @@ def _crossing(percent: int, odds: int):
             at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
             shared = np.add.reduceat(own[at] == joined, np.cumsum([0, *map(len, lists[:-1])]), dtype=np.int64)
             linked = near[100 * shared >= percent * (n[near] + n[i] - shared)]
-            a += [int(ids[i])] * len(linked)
-            b += ids[linked].tolist()
+            others, first = np.unique(of[linked], return_index=True)
+            a += [int(ids[i])] * len(others)
+            b += ids[linked[first]].tolist()
+            of[np.isin(of, others)] = of[i]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _left_between(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame | None:
-    """Links that the centres did not tell, between components that share a bucket; None if no bucket holds two.
+def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that the centres did not tell, between components that share a bucket.
 
-    Documents whose buckets hang together form a cluster. Its largest component
-    is the core; the others' documents are outsiders, who meet the whole cluster
-    on full sets, in blocks of BLOCK_SHINGLES on either side.
+    Components whose buckets hang together form a cluster. Its largest component
+    is the core; the others' nodes are outsiders, who meet the whole cluster on
+    full sets, in blocks of BLOCK_WEIGHT on either side.
     """
-    placed = members.join(labels, "id", "left").select("id", "band", "bucket", "centre", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("band", "bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "bucket")
-    unsure = stage_table(placed.join(split, ["band", "bucket"]).select("id", "centre", "c").distinct(), "open-members")
-    if not unsure.limit(1).count():
-        return None
-    clusters = components(unsure.select(F.col("id").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
-    inside = unsure.select("id", "c").distinct().join(clusters, "id").join(reps.select("id", "n", "sketch"), "id")
+    clusters = components(unsure.where("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("c"), F.col("component").alias("cluster"))
+    inside = unsure.select("node", "c").distinct().join(clusters, "c").join(classes.select("node", "n", "sketch"), "node")
     inside = stage_table(inside, "clusters")
-    parts = inside.groupBy("cluster", "c").agg(F.sum("n").alias("n"))
+    parts = inside.groupBy("cluster", "c").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("n"))
     shape = parts.groupBy("cluster").agg(F.max_by("c", F.struct("n", "c")).alias("core"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    blocks = (F.ceil(F.col(x) / BLOCK_SHINGLES).cast("int") for x in ("all", "rest"))
+    blocks = (F.ceil(F.col(x) / BLOCK_WEIGHT).cast("int") for x in ("all", "rest"))
     shape = shape.withColumn("rest", F.col("all") - F.col("most")).select("cluster", "core", *[F.greatest(b, F.lit(1)).alias(k) for k, b in zip(("rows", "columns"), blocks, strict=True)])
-    known = inside.join(shape, "cluster").withColumn("draw", F.xxhash64("id"))
+    known = inside.join(shape, "cluster").withColumn("draw", F.xxhash64("node"))
 
     def row(outside: bool) -> DataFrame:
         own, other = ("columns", "rows") if outside else ("rows", "columns")
@@ -223,54 +232,62 @@ def _left_between(members: DataFrame, labels: DataFrame, reps: DataFrame, texts:
         fixed = F.pmod(F.col("draw"), F.col(own)).cast("int")
         x, y = (spread.alias("x"), fixed.alias("y")) if outside else (fixed.alias("x"), spread.alias("y"))
         out = known.where(F.col("c") != F.col("core")) if outside else known
-        return out.select("cluster", "id", "c", "n", "sketch", F.lit(outside).alias("outside"), x, y)
+        return out.select("cluster", "node", "c", "n", "sketch", F.lit(outside).alias("outside"), x, y)
 
-    ids = stage_table(inside.select("id").distinct(), "cluster-ids")
-    sets = restrict(texts, ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "id long, s array<long>").dropDuplicates(["id"])
-    met = row(True).unionByName(row(False)).join(sets, "id")
+    met = row(True).unionByName(row(False)).join(sets, "node")
     found = met.groupBy("cluster", "x", "y").applyInArrow(_crossing(PERCENT, _sketch_odds()), "a long, b long")
-    return stage_table(found.distinct(), "near-late")
+    return stage_table(found, "near-late")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One node for each shingle set: its smallest id, size, sketch and bands. Nodes are numbered in the order of a hash."""
+    found = rows.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    # The table fixes the numbers: they are drawn once, when it is written.
+    return stage_table(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """doc_id, text_hash, n, component and kept for every row."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = stage_table(texts.mapInArrow(_signatures(width), "doc_id long, text_hash long, n long, set_hash binary, sketch array<long>, bands array<long>"), "signatures")
+    classes = _classes(rows)
+
+    members = classes.where("rep is not null").select("node", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = stage_table(members.join(buckets, "bucket"), "bucket-members")
+    open_nodes = stage_table(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "set_hash"), "open-nodes")
+    sets = restrict(texts, open_nodes.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
+    sets = stage_table(sets.join(open_nodes.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
+
+    star = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    labels = _relabelled(_linked(star, classes, sets), None)
+    unsure = _unsure(members, labels)
+    if unsure is not None:
+        drawn = unsure.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", "x.node", "x.c")
+        drawn = drawn.withColumnsRenamed({"node": "b", "c": "cb"})
+        pairs = unsure.join(drawn, "bucket").where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
+        labels = _relabelled(_linked(pairs, classes, sets), labels)
+        unsure = _unsure(unsure.select("node", "bucket"), labels)
+    if unsure is not None:
+        labels = _relabelled(_left_between(unsure, classes, sets), labels)
+
+    labels = labels.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node")
+    least = labels.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = labels.join(least, "component").select("node", "least")
+    known = classes.select("node", "set_hash", "rep").join(labels, "node", "left").select("set_hash", F.coalesce("least", "rep").alias("component"))
+    component = F.coalesce("component", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return rows.join(known, "set_hash", "left").select("doc_id", "text_hash", "n", component.alias("component_id"), kept.alias("kept"))
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest of its component) for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage_table(texts.mapInArrow(_signatures(width), "doc_id long, n long, set_hash binary, sketch array<long>, bands array<long>"), "signatures")
-    classes = stage_table(rows.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    first = classes.where("rep is not null").select(F.col("rep").alias("id"), "set_hash")
-    reps = rows.select(F.col("doc_id").alias("id"), "set_hash", "n", "sketch", "bands").join(first, ["id", "set_hash"]).dropDuplicates(["id"])
-    reps = stage_table(reps.drop("set_hash"), "representatives")
-
-    members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    draw = F.struct(F.xxhash64("bucket", "id").alias("draw"), F.col("id"))
-    buckets = members.groupBy("band", "bucket").agg(F.min(draw).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = buckets.select("band", "bucket", F.col("centre.id").alias("centre"))
-    members = stage_table(members.join(buckets, ["band", "bucket"]), "bucket-members")
-
-    star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    signed = reps.select("id", "n", "sketch")
-    left, right = (signed.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    star = star.join(left, "a").join(right, "b").where(_similar_size("na", "nb")).select("a", "b", _differing("sa", "sb").alias("odd"))
-    star = stage_table(star.where(F.col("odd") <= _sketch_odds()), "near-candidates")
-
-    ends = star.select(F.col("a").alias("id"), "a", "b", "odd").unionByName(star.select(F.col("b").alias("id"), "a", "b", "odd"))
-    best = ends.groupBy("id").agg(F.min(F.struct("odd", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    best = stage_table(best, "near-best")
-    labels = _relabelled(_confirmed(best, texts, width), None)
-    rest = stage_table(_across(star.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "near-rest")
-    labels = _relabelled(_confirmed(rest, texts, width), labels)
-
-    late = _left_between(members, labels, reps, texts, width)
-    if late is not None:
-        labels = _relabelled(late, labels)
-
-    member = rows.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    return _labelled(docs, id_col, text_col, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns."""
-    gone = near_components(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return restrict(docs, stage_table(gone, "near-copies"), id_col, "left_anti")
+    rows = _labelled(docs, id_col, text_col, width).where("not kept and doc_id is not null")
+    gone = stage_table(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near-copies")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, (docs[id_col] == side["__id"]) & (F.xxhash64(docs[text_col]) == side["__hash"]), "left_anti")

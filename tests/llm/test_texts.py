@@ -78,14 +78,43 @@ def test_components_are_exact(spark, width):
 
 def test_links_between_outsiders_are_found(spark, monkeypatch):
     # With no confirmed centre links, all has to come from the meeting of clusters.
-    confirmed = near_duplicates._confirmed
-    monkeypatch.setattr(near_duplicates, "_confirmed", lambda pairs, docs, width: confirmed(pairs.limit(0), docs, width))
-    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 1000)
+    linked = near_duplicates._linked
+    monkeypatch.setattr(near_duplicates, "_linked", lambda pairs, classes, sets: linked(pairs.limit(0), classes, sets))
+    monkeypatch.setattr(near_duplicates, "BLOCK_WEIGHT", 5000)
     rows = near_copies(40, 3)
     got = near_duplicates.near_components(table(spark, [(i, t, None, None) for i, t in rows]), width=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
 
 
+def test_links_stay_few_in_a_large_group(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), None, None))
+    counts = []
+
+    def counted(links):
+        out = components(links)
+        counts.append(links.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "components", counted)
+    got = near_duplicates.near_components(table(spark, rows), width=2).collect()
+    assert {r.component_id for r in got} == {0} and sum(counts) <= 6 * len(rows)
+
+
+def test_an_id_with_two_texts_stands_in_two_components(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    texts = [(1, x), (1, y), (2, [*x[:-1], "z"]), (3, [*y[:-1], "z"]), (4, x[:-2]), (4, ["other"])]
+    df = table(spark, [(i, " ".join(w), None, None) for i, w in texts])
+    assert sorted(r.component_id for r in near_duplicates.near_components(df, width=2).collect()) == [1, 1, 1, 1, 1, 4]
+    assert sorted((r.doc_id, r.text[0]) for r in near_duplicates.drop_near_copies(df, width=2).collect()) == [(1, "x"), (1, "y"), (4, "o")]
+
+
 def test_near_duplicates_of_documents(spark):
     got = QUERIES["op2_near_duplicates"](spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(documents(spark), 2)
