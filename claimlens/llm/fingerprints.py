@@ -5,9 +5,10 @@ canonical bytes are compared, so a group never holds two different texts. The
 comparison is an aggregate (how many distinct canonical texts a digest has)
 whose partial results collapse a hot group of copies in every task.
 
-Normalisation folds compatibility characters and composes a base with up to two
-combining marks by a table made from Python's Unicode data; it does not compose
-Hangul letters or reorder marks. Texts of ASCII and plain Latin letters skip it.
+Normalisation (NFKC) and full case folding are those of the ICU library that
+Spark itself ships for its collations, called by the SQL function `reflect`; texts
+of ASCII only are lower-cased. Tests hold both against Python's Unicode data for
+every assigned code point.
 
 Defined cases: a null text counts as empty; a null id orders before all others;
 repeated rows are documents of their own in (doc_id, text hash) order; the only
@@ -17,10 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
-import json
-import unicodedata
-import zlib
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,48 +28,22 @@ from claimlens.llm.tables import BROADCAST_IDS, let, restrict, stage_table
 LANES = 4
 #: Documents in one range of ids when neighbours are looked up.
 RANGE_ROWS = 1024
-_MARKS = r"̀-ͯٓ-़ٕাৗାୖୗாௗౖೂೕೖാൗ්ාෟီ゙゚"
-#: Characters beyond ASCII and these may change under normalisation: a quick test that most texts pass.
-_UNSURE = r"[^¡-§©«-®°±¶·»¿-ıЀ-џ‐-‖‘-‟€]"
-_SLOTS = 8192
-
-
-@functools.cache
-def _folds() -> str:
-    """Slots of (from, to): every character of the basic plane that NFKC changes, and every pair that it composes."""
-    slots: list[list[dict]] = [[] for _ in range(_SLOTS)]
-    for code in range(0xA0, 0x10000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        c = chr(code)
-        parts = unicodedata.decomposition(c).split()
-        found = [(c, unicodedata.normalize("NFKC", c))]
-        if len(parts) == 2 and parts[0][0] != "<":
-            pair = "".join(chr(int(p, 16)) for p in parts)
-            found.append((pair, unicodedata.normalize("NFKC", pair)))
-        for a, b in found:
-            if a != b:
-                slots[zlib.crc32(a.encode()) % _SLOTS].append({"a": a, "b": b})
-    return json.dumps(slots)
-
-
-def _fold_once(text: Column) -> Column:
-    table = F.from_json(F.lit(_folds()), "array<array<struct<a:string,b:string>>>")
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).[{_MARKS}]?"), F.lit(0))
-
-    def folded(piece: Column) -> Column:
-        slot = F.element_at(table, (F.crc32(piece.cast("binary")) % _SLOTS + 1).cast("int"))
-        return F.coalesce(F.get(F.filter(slot, lambda e: e["a"] == piece), F.lit(0))["b"], piece)
-
-    return F.array_join(F.transform(pieces, folded), "")
+#: Ranges are cut in two steps of at most so many each, which bounds what is collected and broadcast; past their product ranges grow.
+MOST_CUTS = 1024
+
+
+def _icu(kind: str, method: str, text: Column) -> Column:
+    return F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(True))
 
 
 def canonical(text: Column) -> Column:
+    """NFKC, full case folding, and runs of white space as one blank."""
     text = F.coalesce(text, F.lit(""))
-    plain = (F.octet_length(text) == F.char_length(text)) | ~F.regexp_like(F.regexp_replace(text, r"[\x00-\x7f]+", ""), F.lit(_UNSURE))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    folded = _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", text))
     # Normalisation turns other white space into blanks, but for these.
-    folded = F.translate(_fold_once(_fold_once(_fold_once(text))), "\x85\u1680\u2028\u2029", "    ")
-    text = F.lower(F.when(plain, text).otherwise(folded))
+    folded = F.translate(folded, "\x85\u1680\u2028\u2029", "    ")
+    text = F.when(ascii_only, F.lower(text)).otherwise(folded)
     # Single blanks, by far the most common, match neither branch.
     return F.trim(F.regexp_replace(text, r" *[\t-\r][ \t-\r]*| {2,}", " "))
 
@@ -102,46 +74,85 @@ def exact_groups(docs: DataFrame, digests: DataFrame, *, id_col: str = "doc_id",
     return plain.join(mixed, "digest", "left_anti").unionByName(apart)
 
 
+def _cut(value: Column, bounds: Column) -> Column:
+    """The place of a value among sorted distinct bounds; a value equal to one has a place of its own, so that a repeated id stands alone."""
+    below = F.size(F.filter(bounds, lambda b: b <= value))
+    return 2 * below - F.coalesce(F.get(bounds, below - 1) == value, F.lit(False)).cast("int")
+
+
+def _steps(rows: int) -> int:
+    return int(min(MOST_CUTS, max(1, math.ceil(math.sqrt(rows / RANGE_ROWS)))))
+
+
+def _cuts(n: int) -> Column:
+    """Sorted distinct bounds that cut doc_id into n parts of about equal counts, as an aggregate."""
+    if n < 2:
+        return F.array().cast("array<bigint>")
+    return F.array_distinct(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n))
+
+
+def _parted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with part, ascending by (doc_id, h), and h, the text's hash.
+
+    Ids are cut at counted bounds, first over all, then inside each range; an id
+    that repeats, or a missing one, is cut by the hash of its texts, which orders
+    rows of one id; only rows equal in both stay in one part however many they are.
+    """
+    n = docs.count()
+    steps = _steps(n)
+    first = docs.select(_cuts(steps).alias("b")).first()[0] if steps > 1 and n else None
+    top = F.lit(0) if not first else F.coalesce(_cut(F.col("doc_id"), F.lit(list(first)).cast("array<bigint>")), F.lit(-1))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.when(F.col("doc_id").isNull(), -1).otherwise(top).cast("long").alias("top"))
+    inner = stage_table(rows.groupBy("top").agg(_cuts(steps).alias("bounds")), "id-bounds")
+    rows = rows.join(F.broadcast(inner), "top")
+    low = F.when(F.col("doc_id").isNull(), 0).otherwise(_cut(F.col("doc_id"), F.col("bounds"))).cast("long")
+    rows = rows.select("doc_id", "text", "h", (F.col("top") * (1 << 11) + low).alias("range"))
+    # Only a range of one id can be cut by hashes and stay in order.
+    crowded = rows.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(f"n > {4 * RANGE_ROWS} and a <=> b")
+    pieces = F.least(F.ceil(F.col("n") / RANGE_ROWS), F.lit(1 << 20))
+    crowded = stage_table(crowded.select("range", pieces.alias("pieces")), "crowded")
+    rows = rows.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded, "range", "left")
+    piece = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.coalesce("pieces", F.lit(1)))
+    return rows.select("doc_id", "text", "h", (F.col("range") * (1 << 21) + piece).cast("long").alias("part"))
+
+
 def _following(firsts: DataFrame) -> DataFrame:
-    """(part, next_part) of the parts that hold rows; the last one's is null. Windows hold 1,024 parts at most."""
-    parts = firsts.select("part", F.floor(F.col("part") / 1024).alias("block"))
+    """(part, next_part) of the parts that hold rows; the last one's is null. No window spans all parts."""
+    parts = firsts.select("part", F.shiftright("part", 32).alias("block"))
     blocks = parts.groupBy("block").agg(F.min("part").alias("block_first"))
     blocks = blocks.select("block", F.lead("block_first").over(Window.orderBy("block")).alias("after"))
     inside = F.lead("part").over(Window.partitionBy("block").orderBy("part"))
     return parts.withColumn("inner", inside).join(blocks, "block").select("part", F.coalesce("inner", "after").alias("next_part"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id, text, ...) with next_<column>: the value in the next row by ascending doc_id; after the last, the first.
+def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, text, derived columns, and next_<column> of each: the value in the next row by ascending doc_id; after the last, the first.
 
-    Ids are cut into ranges of about RANGE_ROWS rows; each range gets a copy of
+    Rows are cut into ranges of about RANGE_ROWS rows; each range gets a copy of
     the first row of the following one, so that no window spans the table.
+    Derived columns are computed once for each row and copy.
     """
-    n, low, high = docs.select(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // RANGE_ROWS))))
-    part = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    columns = ["text", *(derived or {})]
+    dealt = _parted(docs.select("doc_id", "text"))
     # The hash is in the key as repeated ids need an order that every run agrees on.
-    key = F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id"), F.xxhash64(*columns).alias("h"))
-    dealt = docs.select("doc_id", *columns, part.alias("part"), key.alias("key"))
+    dealt = dealt.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h"))
     firsts = stage_table(dealt.groupBy("part").agg(F.min("key").alias("key")), "firsts")
     order, lowest = _following(firsts), firsts.agg(F.min("part")).first()[0]
     order = order.select("part", F.coalesce("next_part", F.lit(lowest)).alias("from_part"))
     border = order.join(firsts.withColumnRenamed("part", "from_part"), "from_part")
     border = stage_table(border.select(F.col("part").alias("to_part"), F.col("key.doc_id").alias("first_id"), F.col("key.h").alias("first_h")), "borders")
     side = F.broadcast(border) if firsts.count() <= BROADCAST_IDS else border
-    copies = dealt.join(side, dealt["doc_id"].eqNullSafe(side["first_id"]) & (dealt["key.h"] == side["first_h"]))
-    copies = copies.select("doc_id", *columns, F.col("to_part").alias("part"), "key", F.lit(True).alias("copy")).dropDuplicates(["part"])
-    every = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
+    copies = dealt.join(side, dealt["doc_id"].eqNullSafe(side["first_id"]) & (dealt["h"] == side["first_h"]))
+    copies = copies.select("doc_id", "text", F.col("to_part").alias("part"), "key", F.lit(True).alias("copy")).dropDuplicates(["part"])
+    every = dealt.select("doc_id", "text", "part", "key", F.lit(False).alias("copy")).unionByName(copies).withColumns(derived or {})
     w = Window.partitionBy("part").orderBy("copy", "key")
     return every.select("doc_id", *columns, "copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("not copy").drop("copy")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half comes from the next document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), digest(canonical(text), lanes).alias("fingerprint"))
-    rows = with_next(base, ["text", "fingerprint"])
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_next(base, {"fingerprint": digest(canonical(F.col("text")), lanes)})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import unicodedata
 
@@ -99,11 +100,25 @@ def test_only_indexed_rules_run(spark):
     assert [(r.rule, r.n_run) for r in got] == [("site7.net/a/", 1), (None, 0)]
 
 
+def folded(text):
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
 def test_canonical(spark):
-    rows = ["Ａé", "Ae\u0301", "A\u00e9 \u00a0\t\u2003B\u2028c", "ﬁ", "x\x85y", "\u1e69", "s\u0323\u0307"]
+    rows = ["Ａé", "Ae\u0301", "A\u00e9 \u00a0\t\u2003B\u2028c", "ﬁ", "x\x85y", "\u1e69", "s\u0323\u0307", "s\u0307\u0323", "Straße", "STRASSE", "\U0001d400", "\u1112\u1161\u11ab", "\ud55c", "ΣΑΣ"]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(fingerprints.canonical(F.col("t"))).collect()]
-    assert got == ["aé", "aé", "aé b c", "fi", "x y", "ṩ", "ṩ"]
-    assert all(unicodedata.normalize("NFKC", x) == x for x in got)
+    assert got == ["aé", "aé", "aé b c", "fi", "x y", "ṩ", "ṩ", "ṩ", "strasse", "strasse", "a", "한", "한", "σασ"]
+
+
+def test_canonical_is_normalised_and_folded_for_all_characters(spark):
+    rng = random.Random(4)
+    assigned = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs") and not chr(i).isspace()]
+    marks = [c for c in assigned if unicodedata.combining(c)]
+    jamo = [chr(i) for i in range(0x1100, 0x1200)]
+    mixed = ["".join(rng.choice(kind) for kind in rng.choices([assigned, marks, jamo], [1, 3, 1], k=rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [t for t in assigned + mixed if not any(c.isspace() or c in "\x1c\x1d\x1e\x1f" for c in t + folded(t))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    assert not [r.t for r in df.select("t", fingerprints.canonical(F.col("t")).alias("c")).collect() if r.c != folded(r.t)]
 
 
 def expected_edits(rows):
@@ -137,11 +152,28 @@ def test_fingerprints_of_odd_rows(spark, edge):
     assert got[3].near_next == 1.0
 
 
-def test_following_over_many_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [lambda i: i * i * 37, lambda i: i, lambda i: 10**12 if i == 59 else -i, lambda i: 2 ** (i % 60)])
+def test_following_over_many_ranges(spark, monkeypatch, spread):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
-    rows = [(i * i * 37, str(i), None, None) for i in range(60)]
-    got = fingerprints.with_next(table(spark, rows).select("doc_id", "text"), ["text"]).collect()
-    assert {(r.text, r.next_text) for r in got} == {(str(i), str((i + 1) % 60)) for i in range(60)}
+    rows = [(spread(i), str(i), None, None) for i in range(60)]
+    got = fingerprints.with_next(table(spark, rows).select("doc_id", "text")).collect()
+    order = [t for _, t, _, _ in sorted(rows)]
+    assert {(r.text, r.next_text) for r in got} == set(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_ranges_are_bounded_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 50)
+    sparse = [(i, f"a{i}", None, None) for i in range(2000)] + [(10**12, "far", None, None)]
+    crowded = [(7, f"b{i}", None, None) for i in range(1000)] + [(None, f"c{i}", None, None) for i in range(1000)]
+    for rows in (sparse, sparse + crowded):
+        parts = fingerprints._parted(table(spark, rows).select("doc_id", "text"))
+        assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 4 * 50
+        ordered = parts.orderBy("part").select("part", "doc_id", "h").collect()
+        spans = collections.defaultdict(list)
+        for r in ordered:
+            spans[r.part].append((r.doc_id is not None, r.doc_id or 0, r.h))
+        ends = [(min(v), max(v)) for v in spans.values()]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
 
 
 def test_groups_compare_bytes(spark):
