@@ -3,25 +3,29 @@
 A word is predicted from a context, the word before it, keyed by its 64-bit hash.
 Each context is a restaurant; all share the root restaurant as parent, which
 falls back on the uniform distribution over the training vocabulary and one
-unknown word. A sweep seats the customers of every (context, word) dish anew, given the
-tables of the other dishes; tables become the root's customers. Predictive
-probabilities are averaged over the sweeps after the burn-in.
-
-The work is dealt by word: one part holds every occurrence of its words, so the
-counts of a dish, the root's counts of a word, and the scores are local to it.
-The customers and tables of contexts are summed over parts by ranges of the
-context's hash and sent back to the parts that hold them; there are as many
-ranges as parts, and a part has one entry a context, so a frequent context is no
-heavier than the number of parts. What is broadcast are sums of HEAVY words and
-dishes, and of the latter's contexts: vectors of bounded length. A word with more
-than a quarter of a part's tokens, if that is over 1 / HEAVY of all (so at most
-HEAVY words), is dealt by word and context, which splits it over many parts. A
-dish with as many tokens is dealt by document as well: its parts add up its
-customers, and the driver seats it, as it does the heavy words' root tables.
-
-Dishes of up to EXACT customers are seated one by one; for the rest of a larger
-dish, the number of new tables is drawn for blocks of customers, each a quarter
-of those seated before.
+unknown word. Predictive probabilities are averaged over the sweeps after the
+burn-in.
+
+The work is dealt by context, so that restaurants stand whole in one part; parts
+share the root only. In a sweep a part empties the dishes of its restaurants in
+turn and seats their customers again, given all other tables: an emptied dish is
+taken out of the totals of its restaurant and of the root first, and TURNS turns
+see what the turns before have seated. The state of a dish is the list of the
+customers that opened a table. It is drawn customer by customer, and a Metropolis
+test then corrects for the order of drawing, so that a dish is distributed as its
+restaurant asks. The tables become the root's customers: they are added up by
+ranges of the words' hashes, where the root is seated likewise, and what the root
+holds of its words goes back to each part.
+
+A context with more than a quarter of a part's tokens, if that is over 1 / HEAVY
+of all (so at most HEAVY contexts), is dealt by context and word, which splits it
+over many parts; its totals are broadcast. A dish with as many tokens is dealt by
+document as well: its parts add up its customers, and the driver seats it.
+
+Past the first EXACT customers of a dish, more than all but heavy ones have, the
+next one to open a table is drawn at once from the product of the chances before
+it, which has the same distribution as asking each; tests compare both with the
+exact one.
 
 Defined cases: a null text is empty: one end token; repeated rows are scored
 alike and count as often as they stand; without training rows every token has
@@ -31,7 +35,7 @@ no training fold; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,17 +46,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.tables import remainder, stage_table
+from claimlens.llm.tables import drop_staged, remainder, stage_buckets, stage_table, staged_so_far
 
 HEAVY = 1_000_000
 HOLDOUT = 10
 DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BURN_IN, SWEEPS = 1, 2
-EXACT = 32
+TURNS = 5
+#: Customers of a dish that are asked one by one; from there on openings are drawn one after the other.
+EXACT = 1 << 18
+#: Customers whose openings are bits of one word.
+MASK = 32
+#: Customers that are asked at once, but for those of one dish.
+BLOCK_CUSTOMERS = 1 << 18
 CHUNK_TOKENS = 1_000_000
+#: Documents of a chunk: their numbers and a bit for training fit 16 bits.
+CHUNK_DOCS = 32_767
 #: Tokens of a part.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
+#: Spark's own limit for the buckets of a table; beyond it parts share buckets.
+MOST_BUCKETS = 100_000
+#: Words whose hashes a task keeps; it begins anew beyond.
+MOST_SEEN = 200_000
 SEED = 77
 #: The end token's hash; no word is empty, so none has it by its text.
 END = xxhash.xxh3_64_intdigest(b"")
@@ -106,13 +122,12 @@ def _dish_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Split:
-    """Heavy words, and heavy dishes by key with the places of their word among the former and of their context among `contexts`."""
+    """Heavy contexts, and heavy dishes by key with their context's place among the former and their word."""
 
-    words: np.ndarray
+    contexts: np.ndarray
     dishes: np.ndarray
-    dish_word: np.ndarray
     dish_context: np.ndarray
-    contexts: np.ndarray
+    dish_word: np.ndarray
 
 
 def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -125,28 +140,30 @@ def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 def _heavy(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch of training rows: all tokens (word null), and words and dishes that make up `share` of them."""
+        """Of each batch of training rows: all tokens (context null), and contexts (word null) and dishes that make up `share` of them."""
         for batch in batches:
             seen: dict[bytes, int] = {}
             lists = [_hashed(t, seen) for t in batch.column(0).to_pylist()]
             h = np.fromiter((x for y in lists for x in y), np.uint64, sum(map(len, lists)))
+            least = max(2.0, share * len(h))
+            # Every word is a context once for each time that it is a token.
             words, counts = np.unique(h, return_counts=True)
-            often = counts >= max(2.0, share * len(h))
+            often = counts >= least
             context = _contexts(h, np.fromiter(map(len, lists), np.int64, len(lists)))
-            within = np.isin(h, words[often])
+            within = np.isin(context, words[often])
             _, first, dishes = np.unique(_dish_keys(h[within], context[within]), return_index=True, return_counts=True)
-            many = first[dishes >= max(2.0, share * len(h))]
-            word = [None, *words[often].view(np.int64).tolist(), *h[within][many].view(np.int64).tolist()]
-            of = [None] * (1 + int(often.sum())) + context[within][many].view(np.int64).tolist()
-            n = [len(h), *counts[often].tolist(), *dishes[dishes >= max(2.0, share * len(h))].tolist()]
-            yield pa.record_batch([pa.array(word, pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64())], names=["word", "context", "n"])
+            many = first[dishes >= least]
+            of = [None, *words[often].view(np.int64).tolist(), *context[within][many].view(np.int64).tolist()]
+            word = [None] * (1 + int(often.sum())) + h[within][many].view(np.int64).tolist()
+            n = [len(h), *counts[often].tolist(), *dishes[dishes >= least].tolist()]
+            yield pa.record_batch([pa.array(of, pa.int64()), pa.array(word, pa.int64()), pa.array(n, pa.int64())], names=["context", "word", "n"])
 
     return run
 
 
 def _dealt(split: Split, parts: int):
-    """Occurrences by part, from chunks of documents: word, context, document and whether the document trains."""
-    names = ["part", "chunk", "docs", "train", "words", "at", "contexts", "context", "doc"]
+    """Occurrences by part, from chunks of documents: context, word, document and whether it trains; a chunk's ids go under -1 - chunk."""
+    names = ["part", "chunk", "ids", "contexts", "at", "words", "word", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, base = 0, TaskContext.get().partitionId() << 20
@@ -158,30 +175,27 @@ def _dealt(split: Split, parts: int):
 
         def full() -> pa.RecordBatch:
             nonlocal made, ids, train, found, held, seen
+            chunk = base | made
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             word = np.concatenate(found)
-            doc = np.repeat(np.arange(len(found)), sizes)
+            doc = np.repeat(np.arange(len(found)) << 1 | np.array(train, np.int64), sizes).astype(np.uint16)
             context = _contexts(word, sizes)
             key = _dish_keys(word, context)
-            spread = np.where(np.isin(word, split.words), key, _mixed(word))
-            spread = np.where(np.isin(key, split.dishes), _mixed(key + np.uint64(base | made) * _STEP), spread)
+            spread = np.where(np.isin(context, split.contexts), key, _mixed(context))
+            spread = np.where(np.isin(key, split.dishes), _mixed(key + np.array(chunk, np.uint64) * _STEP), spread)
             part = (spread % np.uint64(parts)).astype(np.int64)
-            rows = []
-            packed_ids = _pack(np.array([NO_ID if x is None else x for x in ids], np.int64))
-            packed_train = _pack(np.array(train, np.uint8))
-            order = np.lexsort([context, word, part])  # stable, so documents stay in order
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                o = order[bounds[p] : bounds[p + 1]]
-                if not len(o):
-                    continue
-                words, at = np.unique(word[o], return_inverse=True)
+            order = np.lexsort([word, context, part])  # stable, so documents stay in order
+            occurring, first = np.unique(part[order], return_index=True)
+            rows = [(-1 - chunk, chunk, _pack(np.array([NO_ID if x is None else x for x in ids], np.int64)), *[None] * 5)]
+            for p, a, b in zip(occurring.tolist(), first, np.append(first[1:], len(order)), strict=True):
+                o = order[a:b]
+                contexts, at = np.unique(context[o], return_inverse=True)
+                words, of = np.unique(word[o], return_inverse=True)
                 steps = np.diff(at, prepend=0).astype(np.uint8)
-                contexts, of = np.unique(context[o], return_inverse=True)
-                rows.append((p, base | made, packed_ids, packed_train, _pack(words), _pack(steps), _pack(contexts), _pack(of.astype(np.uint32)), _pack(doc[o].astype(np.uint16))))
+                rows.append((p, chunk, None, _pack(contexts), _pack(steps), _pack(words), _pack(of.astype(np.uint32)), _pack(doc[o])))
             made += 1
             ids, train, found, held = [], [], [], 0
-            if len(seen) > 2_000_000:
+            if len(seen) > MOST_SEEN:
                 seen = {}
             columns = list(zip(*rows, strict=True))
             return pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=names)
@@ -191,7 +205,7 @@ def _dealt(split: Split, parts: int):
                 h = np.array(_hashed(text, seen), np.uint64)
                 ids.append(doc_id), train.append(bool(learns)), found.append(h)
                 held += len(h)
-                if held >= CHUNK_TOKENS or len(found) >= 65_535:
+                if held >= CHUNK_TOKENS or len(found) >= CHUNK_DOCS:
                     yield full()
         if found:
             yield full()
@@ -199,53 +213,46 @@ def _dealt(split: Split, parts: int):
     return run
 
 
-_DEALT = "part long, chunk long, docs binary, train binary, words binary, at binary, contexts binary, context binary, doc binary"
-_STATE = "part long, words binary, contexts binary, dish_word binary, dish_context binary, dish_count binary, tables binary, seats binary, occurrences binary, rows binary, ids binary"
+_DEALT = "part long, chunk long, ids binary, contexts binary, at binary, words binary, word binary, doc binary"
+_STATE = "part long, words binary, contexts binary, dish_word binary, dish_context binary, dish_count binary, occurrences binary, rows binary, ids binary"
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    """One row for a part: its words, its dishes with their training customers, and what to score: (row, dish) counts."""
-    rows = table.select(["chunk", "docs", "train", "words", "at", "contexts", "context", "doc"]).to_pylist()
-    lists = [_unpack(r["words"], np.uint64) for r in rows]
-    words = np.unique(np.concatenate(lists))
-    before = [_unpack(r["contexts"], np.uint64) for r in rows]
-    contexts = np.unique(np.concatenate(before))
-    word, context, train, row, ids = [], [], [], [], {}
+    """One row for a part: its dishes with their training customers, and what to score: (row, dish) counts. Ids of a chunk pass as they are."""
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    part = table.column("part")[0].as_py()
+    if part < 0:
+        return pa.table([pa.array([part], pa.int64()), *[pa.array([None], pa.binary())] * 7, pa.array([table.column("ids")[0].as_py()], pa.binary())], names=names)
+    rows = table.select(["chunk", "contexts", "at", "words", "word", "doc"]).to_pylist()
+    lists, before = ([_unpack(r[c], np.uint64) for r in rows] for c in ("words", "contexts"))
+    words, contexts = np.unique(np.concatenate(lists)), np.unique(np.concatenate(before))
+    dish, train, row = [], [], []
     for r, own, own_before in zip(rows, lists, before, strict=True):
-        at = np.searchsorted(words, own)[np.cumsum(_unpack(r["at"], np.uint8), dtype=np.int64)]
-        d = _unpack(r["doc"], np.uint16).astype(np.int64)
-        docs = _unpack(r["docs"], np.int64)
-        word.append(at), context.append(np.searchsorted(contexts, own_before)[_unpack(r["context"], np.uint32)])
-        train.append(_unpack(r["train"], np.uint8)[d]), row.append(d + (r["chunk"] << 16))
-        ids[r["chunk"]] = docs
-    word, context, train, row = map(np.concatenate, (word, context, train, row))
-    dishes, dish = np.unique(word * len(contexts) + context, return_inverse=True)
+        context = np.searchsorted(contexts, own_before)[np.cumsum(_unpack(r["at"], np.uint8), dtype=np.int64)]
+        d = _unpack(r["doc"], np.uint16)
+        dish.append(context * len(words) + np.searchsorted(words, own)[_unpack(r["word"], np.uint32)])
+        train.append((d & 1).astype(np.uint8)), row.append((d >> 1).astype(np.int64) + (r["chunk"] << 16))
+    dish, train, row = map(np.concatenate, (dish, train, row))
+    dishes, dish = np.unique(dish, return_inverse=True)
     count = np.bincount(dish, train, len(dishes)).astype(np.int64)
     order = np.argsort(row, kind="stable")
     o_row, o_dish = row[order], dish[order]
-    # Within a row equal dishes stand together, as chunks are sorted by word and context.
+    # Within a row equal dishes stand together, as chunks are sorted by context and word.
     new = np.flatnonzero(np.concatenate([[True], (o_row[1:] != o_row[:-1]) | (o_dish[1:] != o_dish[:-1])]))
     times = np.diff(np.append(new, len(order)))
     first = np.flatnonzero(np.concatenate([[True], o_row[new][1:] != o_row[new][:-1]]))
-    keys = o_row[new][first]
     sizes = np.diff(np.append(first, len(new)))
-    own_ids = np.array([ids[k >> 16][k & 0xFFFF] for k in keys.tolist()], np.int64)
-    occurrences = _bundle([_pack(x.astype(np.uint32)) for x in (sizes, o_dish[new], times)])
-    by_word = np.bincount(dishes // len(contexts), np.minimum(count, 1), len(words))
     packed = [
         _pack(words),
         _pack(contexts),
-        _pack((dishes // len(contexts)).astype(np.uint32)),
-        _pack((dishes % len(contexts)).astype(np.uint32)),
+        _pack((dishes % len(words)).astype(np.uint32)),
+        _pack((dishes // len(words)).astype(np.uint32)),
         _pack(count.astype(np.uint32)),
-        _pack(np.minimum(count, 1).astype(np.uint32)),
-        _pack(np.minimum(by_word, 1).astype(np.uint32)),
-        occurrences,
-        _pack(keys),
-        _pack(own_ids),
+        _bundle([_pack(x.astype(np.uint32)) for x in (sizes, o_dish[new], times)]),
+        _pack(o_row[new][first]),
+        None,
     ]
-    names = ["part", "words", "contexts", "dish_word", "dish_context", "dish_count", "tables", "seats", "occurrences", "rows", "ids"]
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=names)
+    return pa.table([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=names)
 
 
 def _bundle(parts: list[bytes]) -> bytes:
@@ -261,99 +268,270 @@ def _unbundle(raw: bytes) -> list[bytes]:
     return out
 
 
-def seated(rng: np.random.Generator, n: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
-    """Tables that n customers of each dish take, a new one weighing `weight` against the customers at the others."""
-    t = np.minimum(n, 1).astype(float)
-    active = np.flatnonzero(n > 1)
-    for k in range(1, EXACT):
-        active = active[n[active] > k]
-        w = weight[active]
-        t[active] += rng.random(len(active)) < w / (w + k - discount * t[active])
-    active = active[n[active] > EXACT]
-    done = np.full(len(active), EXACT, np.int64)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For arguments from 8 up, to ten digits."""
+    y = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y / 1260)) / x
+
+
+@dataclass
+class Seats:
+    """Which customers of each dish opened tables: bits of `mask` for the first MASK, then (late_dish, late_at), sorted."""
+
+    mask: np.ndarray
+    late_dish: np.ndarray
+    late_at: np.ndarray
+
+    def tables(self) -> np.ndarray:
+        return np.bitwise_count(self.mask).astype(np.int64) + np.bincount(self.late_dish, minlength=len(self.mask))
+
+    def take(self, dishes: np.ndarray) -> Seats:
+        place = np.full(len(self.mask), -1)
+        place[dishes] = np.arange(len(dishes))
+        own = place[self.late_dish] >= 0
+        return Seats(self.mask[dishes], place[self.late_dish[own]], self.late_at[own])._sorted()
+
+    def put(self, dishes: np.ndarray, new: Seats) -> None:
+        self.mask[dishes] = new.mask
+        gone = np.zeros(len(self.mask), bool)
+        gone[dishes] = True
+        kept = ~gone[self.late_dish]
+        self.late_dish = np.concatenate([self.late_dish[kept], dishes[new.late_dish]])
+        self.late_at = np.concatenate([self.late_at[kept], new.late_at])
+
+    def _sorted(self) -> Seats:
+        order = np.lexsort([self.late_at, self.late_dish])
+        return Seats(self.mask, self.late_dish[order], self.late_at[order])
+
+    def packed(self) -> bytes:
+        return _bundle([_pack(self.mask), _pack(self.late_dish.astype(np.int64)), _pack(self.late_at.astype(np.int64))])
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Seats:
+        return Seats(*[_unpack(x, t).copy() for x, t in zip(_unbundle(raw), (np.uint32, np.int64, np.int64), strict=True)])
+
+    @staticmethod
+    def first(n: np.ndarray) -> Seats:
+        return Seats(np.minimum(n, 1).astype(np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+Weight = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each run of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _before(opens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tables that each customer but a dish's first finds: one, and what those before have opened."""
+    upto = np.cumsum(opens) - opens
+    return 1 + upto - np.repeat(upto[np.cumsum(sizes) - sizes], sizes)
+
+
+def _openings(rng: np.random.Generator, dish: np.ndarray, k: np.ndarray, sizes: np.ndarray, weight: Weight, discount: float) -> np.ndarray:
+    """Which customers open a table, asked one after the other with a draw each.
+
+    A customer's answer depends on the tables that it finds. All are asked at
+    once, again and again with the tables that the last answers make, for as long
+    as answers change: those are the answers of asking one after the other.
+    """
+    draw = rng.random(len(k))
+    out = np.zeros(len(k), np.int64)
+    at, opens = np.arange(len(k)), out.copy()
+    while len(at):
+        t = _before(opens, sizes)
+        w = weight(dish, t)
+        new = (draw * (k - discount * t + w) < w).astype(np.int64)
+        out[at] = new
+        starts = np.cumsum(sizes) - sizes
+        open_still = np.logical_or.reduceat(new != opens, starts)
+        opens = new
+        if open_still.mean() < 0.7:
+            keep = np.repeat(open_still, sizes)
+            at, dish, k, draw, opens, sizes = at[keep], dish[keep], k[keep], draw[keep], opens[keep], sizes[open_still]
+    return out
+
+
+def seat(rng: np.random.Generator, n: np.ndarray, weight: Weight, discount: float, old: Seats | None = None) -> Seats:
+    """The n customers of each dish, seated anew; weight(dishes, tables) is that of another table for dishes that have so many.
+
+    Customer after customer opens a table by its weight against k - discount *
+    tables of the k that sit already. The product of the normalising sums of all
+    draws, new against old, is what a Metropolis test needs to give the openings
+    the distribution in which no order of drawing shows.
+    """
+    out = Seats.first(n)
+    total, total_old = np.zeros(len(n)), np.zeros(len(n))
+    tables, tables_old = np.minimum(n, 1), np.minimum(n, 1)
+    several = np.flatnonzero(n > 1)
+    late: list[tuple[np.ndarray, np.ndarray]] = []
+    # Blocks of dishes, so that arrays stay small.
+    block = np.cumsum(np.minimum(n[several], EXACT)) // BLOCK_CUSTOMERS
+    for dishes in np.split(several, np.flatnonzero(np.diff(block)) + 1) if len(several) else []:
+        sizes = np.minimum(n[dishes], EXACT) - 1
+        dish, k = np.repeat(dishes, sizes), _runs(sizes) + 1
+        starts = np.cumsum(sizes) - sizes
+        paths = [(_openings(rng, dish, k, sizes, weight, discount), total, tables)]
+        if old is not None:
+            opened = (k < MASK) & (old.mask[dish] >> np.minimum(k, MASK - 1).astype(np.uint32) & np.uint32(1)).astype(bool)
+            place = np.full(len(n), -1)
+            place[dishes] = starts
+            own = (place[old.late_dish] >= 0) & (old.late_at < EXACT)
+            opened[place[old.late_dish[own]] + old.late_at[own] - 1] = True
+            paths.append((opened.astype(np.int64), total_old, tables_old))
+        for opens, sums, count in paths:
+            t = _before(opens, sizes)
+            sums[dishes] = np.add.reduceat(np.log(k - discount * t + weight(dish, t)), starts)
+            count[dishes] = 1 + np.add.reduceat(opens, starts)
+        new = np.flatnonzero(paths[0][0])
+        early = new[k[new] < MASK]
+        np.bitwise_or.at(out.mask, dish[early], np.uint32(1) << k[early].astype(np.uint32))
+        later = new[k[new] >= MASK]
+        late.append((dish[later], k[later]))
+    late += _jumps(rng, n, weight, discount, tables, total)
+    if late:
+        out = Seats(out.mask, *[np.concatenate(x).astype(np.int64) for x in zip(*late, strict=True)])._sorted()
+    if old is None:
+        return out
+    total_old += _late_total(n, weight, discount, old, tables_old)
+    accepted = np.log(rng.random(len(n))) < total - total_old
+    new, kept = accepted[out.late_dish], ~accepted[old.late_dish]
+    both = [np.concatenate([x[new], y[kept]]) for x, y in ((out.late_dish, old.late_dish), (out.late_at, old.late_at))]
+    return Seats(np.where(accepted, out.mask, old.mask), *both)._sorted()
+
+
+def _jumps(rng: np.random.Generator, n: np.ndarray, weight: Weight, discount: float, tables: np.ndarray, total: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Openings past the first EXACT customers, from one to the next; adds to the dishes' tables and totals."""
+    active = np.flatnonzero(n > EXACT)
+    start = np.full(len(active), EXACT, np.int64)
+    found = []
     while len(active):
-        block = np.minimum(done // 4, n[active] - done)
-        w = weight[active]
-        t[active] += rng.binomial(block, w / (w + np.maximum(done + block / 2 - discount * t[active], 0.1)))
-        done = done + block
-        left = done < n[active]
-        active, done = active[left], done[left]
-    return np.minimum(t, n).astype(np.int64)
+        t = tables[active]
+        w, shift = weight(active, t), discount * t
+
+        def stays(upto: np.ndarray, w=w, shift=shift) -> np.ndarray:
+            return _log_gamma(upto - shift) - _log_gamma(upto - shift + w)
+
+        # The chance that no customer up to a place opens a table falls below the draw where one does.
+        draw = np.log(rng.random(len(active))) + stays(start)
+        low, high = start.copy(), n[active].copy()
+        opens = stays(high) < draw
+        while (searched := opens & (high - low > 1)).any():
+            mid = (low + high) // 2
+            past = stays(mid) < draw
+            high, low = np.where(searched & past, mid, high), np.where(searched & ~past, mid, low)
+        total[active] += _log_gamma(high - shift + w) - _log_gamma(start - shift + w)
+        found.append((active[opens], high[opens] - 1))
+        tables[active[opens]] += 1
+        left = opens & (high < n[active])
+        active, start = active[left], high[left]
+    return found
+
+
+def _late_total(n: np.ndarray, weight: Weight, discount: float, seats: Seats, tables: np.ndarray) -> np.ndarray:
+    """The sum of the logarithms of the normalising sums past the first EXACT customers, who have opened `tables`."""
+    many, late = np.flatnonzero(n > EXACT), seats.late_at >= EXACT
+    dish = np.concatenate([seats.late_dish[late], many])
+    if not len(dish):
+        return np.zeros(len(n))
+    end = np.concatenate([seats.late_at[late] + 1, n[many]])
+    order = np.lexsort([np.repeat([0, 1], [late.sum(), len(many)]), end, dish])
+    dish, end = dish[order], end[order]
+    within = _runs(np.unique(dish, return_counts=True)[1])
+    start = np.where(within == 0, EXACT, np.concatenate([[0], end[:-1]]))
+    t = tables[dish] + within
+    w = weight(dish, t)
+    return np.bincount(dish, _log_gamma(end - discount * t + w) - _log_gamma(start - discount * t + w), len(n))
+
+
+@dataclass
+class Root:
+    """What a part knows of the root: customers and tables of its words, and the totals."""
+
+    count: np.ndarray
+    tables: np.ndarray
+    all_count: float
+    all_tables: float
+    vocabulary: float
+
+    def probability(self) -> np.ndarray:
+        """The root's predictive probability of each word; all words, and one unknown, are alike to the base."""
+        return (self.count - ROOT_DISCOUNT * self.tables + (ROOT_STRENGTH + ROOT_DISCOUNT * self.all_tables) / (self.vocabulary + 1)) / (ROOT_STRENGTH + self.all_count)
+
+    def weight(self, word: np.ndarray, own: np.ndarray, rest: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """For dishes of these words that put `own` customers here, which are taken out: the weight of another table in a restaurant with `rest` tables of other dishes."""
+        count = np.maximum(self.count[word] - own, 0)
+        tables = np.maximum(np.minimum(self.tables[word], count), 1)
+        base = (ROOT_STRENGTH + ROOT_DISCOUNT * (self.all_tables - self.tables[word] + tables)) / (self.vocabulary + 1)
+        top, bottom = count - ROOT_DISCOUNT * tables + base, ROOT_STRENGTH + self.all_count - own
+        return lambda i, t: (STRENGTH + DISCOUNT * (rest[i] + t)) * (top[i] + t) / (bottom[i] + t)
 
 
 class _Part:
-    """The words and dishes of one part, and the seats of this sweep."""
+    """The restaurants of one part."""
 
-    def __init__(self, row: dict, split: Split, tables: str = "tables", seats: str = "seats"):
+    def __init__(self, row: dict, split: Split):
         self.part = int(row["part"])
         self.words, self.contexts = _unpack(row["words"], np.uint64), _unpack(row["contexts"], np.uint64)
-        self.word, self.context = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("dish_word", "dish_context"))
-        self.count, self.tables = _unpack(row["dish_count"], np.uint32).astype(np.int64), _unpack(row[tables], np.uint32).astype(np.int64)
-        self.seats = _unpack(row[seats], np.uint32).astype(np.int64)
-        # Places among the heavy words and dishes, or -1.
-        self.heavy = _place(self.words, split.words)
+        self.word, self.context, self.count = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("dish_word", "dish_context", "dish_count"))
+        # Places among the heavy contexts and dishes, or -1.
+        self.heavy = _place(self.contexts, split.contexts)
         self.hot = _place(_dish_keys(self.words[self.word], self.contexts[self.context]), split.dishes)
-        self.hot_context = _place(self.contexts, split.contexts)
+
+    def own(self) -> np.ndarray:
+        """Customers of each dish that is seated here."""
+        return np.where(self.hot < 0, self.count, 0)
 
     def per_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, len(self.words)).astype(np.int64)
 
-    def per_context(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers here of each context, and tables without those of heavy dishes."""
-        sums = (np.bincount(self.context, x, len(self.contexts)) for x in (self.count, np.where(self.hot < 0, self.tables, 0)))
-        return tuple(x.astype(np.int64) for x in sums)
-
-    def local(self, shared: dict, counts: bytes, tables: bytes) -> dict:
-        """What the parts share, with the customers and tables over all parts of the contexts here."""
-        t, hot = _unpack(tables, np.int64).copy(), self.hot_context >= 0
-        t[hot] = shared["hot_context_tables"][self.hot_context[hot]]
-        return shared | {"context_count": _unpack(counts, np.int64), "context_tables": t}
-
-    def sums(self, split: Split) -> np.ndarray:
-        """Customers and tables of heavy words; customers of heavy dishes; tables of their contexts; words and root tables of the others; all customers and tables."""
-        own = np.where(self.hot < 0, self.tables, 0)
-        big = np.flatnonzero(self.heavy[self.word] >= 0)
-        slot = self.heavy[self.word[big]]
-        hot = np.flatnonzero(self.hot >= 0)
-        light = self.heavy < 0
-        last = [(self.per_word(self.count)[light] > 0).sum(), self.seats[light].sum(), self.count.sum(), own.sum()]
-        n, near = len(split.words), np.flatnonzero(self.hot_context >= 0)
-        by_context = np.bincount(self.hot_context[near], self.per_context()[1][near], len(split.contexts))
-        return np.concatenate([np.bincount(slot, self.count[big], n), np.bincount(slot, own[big], n), np.bincount(self.hot[hot], self.count[hot], len(split.dishes)), by_context, last])
-
-    def root(self, shared: dict) -> np.ndarray:
-        """The root's predictive probability of each word."""
-        split = self.heavy >= 0
-        t, s = self.per_word(self.tables), self.seats.copy()
-        t[split], s[split] = shared["heavy_tables"][self.heavy[split]], shared["heavy_seats"][self.heavy[split]]
-        return (t - ROOT_DISCOUNT * s + root_weight(shared)) / (ROOT_STRENGTH + shared["tables"])
-
-    def counts(self, shared: dict) -> np.ndarray:
-        """Training tokens of each word, over all parts."""
-        split = self.heavy >= 0
-        n = self.per_word(self.count)
-        n[split] = shared["heavy_count"][self.heavy[split]]
-        return n
-
-    def reseat(self, shared: dict, sweep: int) -> None:
-        rng = np.random.default_rng([SEED, sweep, self.part])
-        weight = (STRENGTH + DISCOUNT * shared["context_tables"][self.context]) * self.root(shared)[self.word]
-        self.tables = seated(rng, np.where(self.hot < 0, self.count, 0), weight, DISCOUNT)
-        t = self.per_word(self.tables)
-        self.seats = seated(rng, t, np.full(len(t), root_weight(shared)), ROOT_DISCOUNT)
+    def per_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, len(self.contexts)).astype(np.int64)
+
+    def sums(self, tables: np.ndarray, split: Split) -> bytes:
+        """Customers and tables here of heavy contexts, and customers of heavy dishes: slots and values."""
+        near, hot = np.flatnonzero(self.heavy >= 0), np.flatnonzero(self.hot >= 0)
+        n, out = len(split.contexts), np.zeros(2 * len(split.contexts) + len(split.dishes), np.int64)
+        np.add.at(out, self.heavy[near], self.per_context(self.count)[near])
+        np.add.at(out, n + self.heavy[near], self.per_context(tables)[near])
+        np.add.at(out, 2 * n + self.hot[hot], self.count[hot])
+        slots = np.flatnonzero(out)
+        return _bundle([_pack(slots), _pack(out[slots])])
 
-    def predictive(self, shared: dict) -> np.ndarray:
+    def reseat(self, seats: Seats | None, root: Root, shared: dict, sweep: int) -> Seats:
+        rng = np.random.default_rng([SEED, sweep, self.part])
+        n = self.own()
+        before = seats
+        seats = Seats.first(n) if seats is None else seats
+        tables = seats.tables()
+        here = self.per_context(tables)
+        far = np.where(self.heavy >= 0, shared["context_tables"][self.heavy] - here, 0) if len(shared["context_tables"]) else np.zeros_like(here)
+        several = np.flatnonzero(n > 1)
+        rank = np.arange(len(several)) - np.searchsorted(self.context[several], self.context[several])
+        for turn in range(TURNS):
+            dishes = several[rank % TURNS == turn]
+            if not len(dishes):
+                continue
+            own = tables[dishes]
+            rest = (here + far)[self.context[dishes]] - own
+            new = seat(rng, n[dishes], root.weight(self.word[dishes], own, rest), DISCOUNT, None if before is None else seats.take(dishes))
+            seats.put(dishes, new)
+            tables[dishes] = new.tables()
+            here += self.per_context_of(dishes, tables[dishes] - own)
+        return seats._sorted()
+
+    def per_context_of(self, dishes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context[dishes], values, len(self.contexts)).astype(np.int64)
+
+    def predictive(self, tables: np.ndarray, root: Root, shared: dict) -> np.ndarray:
         """The probability of each dish's word in its context."""
-        n, t = shared["context_count"][self.context], shared["context_tables"][self.context]
-        hot = self.hot >= 0
-        count, tables = self.count.copy(), self.tables.copy()
+        heavy, hot = self.heavy >= 0, self.hot >= 0
+        n, t = self.per_context(self.count), self.per_context(tables)
+        n[heavy], t[heavy] = shared["context_count"][self.heavy[heavy]], shared["context_tables"][self.heavy[heavy]]
+        count, tables = self.count.copy(), tables.copy()
         count[hot], tables[hot] = shared["hot_count"][self.hot[hot]], shared["hot_tables"][self.hot[hot]]
-        return (count - DISCOUNT * tables + (STRENGTH + DISCOUNT * t) * self.root(shared)[self.word]) / (STRENGTH + n)
-
-
-def root_weight(shared: dict) -> float:
-    """The weight of a new root table for one word: all words, and one unknown, are alike to the base."""
-    return (ROOT_STRENGTH + ROOT_DISCOUNT * shared["root_tables"]) / (shared["vocabulary"] + 1)
+        return (count - DISCOUNT * tables + (STRENGTH + DISCOUNT * t[self.context]) * root.probability()[self.word]) / (STRENGTH + n[self.context])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -361,169 +539,244 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-def _summed(parts: DataFrame, split: Split, before: dict | None, sweep: int) -> dict:
-    """What the parts share but for contexts: 4 * HEAVY sums at most, and totals."""
+def _summed(parts: DataFrame, slots: int) -> np.ndarray:
+    """The sums over parts of their `sums`: three for each heavy context or dish at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(slots, np.int64)
         for batch in batches:
-            for row in _rows(batch):
-                own = _Part(row, split).sums(split)
-                total = own if total is None else total + own
-        if total is not None:
-            slots = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(slots, pa.int64()), pa.array(total[slots], pa.float64())], names=["slot", "value"])
-
-    n, h, k = len(split.words), len(split.dishes), len(split.contexts)
-    v = np.zeros(2 * n + h + k + 4)
-    for slot, value in parts.mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value")).collect():
-        v[slot] = value
-    heavy_count, heavy_tables, hot_count, context_tables, (words, seats, tokens_seen, tables) = np.split(v, np.cumsum([n, n, h, k]))
-    rng = np.random.default_rng([SEED, sweep + 1])
-    hot_count = hot_count.astype(np.int64)
-    if before is None:
-        hot_tables = np.minimum(hot_count, 1)
-    else:
-        root = (before["heavy_tables"] - ROOT_DISCOUNT * before["heavy_seats"] + root_weight(before)) / (ROOT_STRENGTH + before["tables"])
-        hot_tables = seated(rng, hot_count, (STRENGTH + DISCOUNT * before["hot_context_tables"][split.dish_context]) * root[split.dish_word], DISCOUNT)
-    context_tables = context_tables + np.bincount(split.dish_context, hot_tables, k)
-    heavy_tables = heavy_tables + np.bincount(split.dish_word, hot_tables, n)
-    shared = {"hot_context_tables": context_tables, "heavy_count": heavy_count, "heavy_tables": heavy_tables, "hot_count": hot_count, "hot_tables": hot_tables}
-    shared |= {"tokens": float(tokens_seen), "tables": float(tables + hot_tables.sum()), "vocabulary": float(words + (heavy_count > 0).sum())}
-    if before is None:
-        shared["heavy_seats"] = np.minimum(heavy_tables, 1)
-    else:
-        shared["heavy_seats"] = seated(rng, heavy_tables.astype(np.int64), np.full(n, root_weight(before)), ROOT_DISCOUNT)
-    shared["root_tables"] = float(seats + shared["heavy_seats"].sum())
-    return shared
+            for x in batch.column(0).to_pylist():
+                at, values = (_unpack(y, np.int64) for y in _unbundle(x))
+                total[at] += values
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "value"])
+
+    out = np.zeros(slots, np.int64)
+    if slots:
+        for slot, value in parts.select("sums").mapInArrow(run, "slot long, value long").groupBy("slot").agg(F.sum("value")).collect():
+            out[slot] = value
+    return out
 
 
 def _split(often: list) -> Split:
-    """From rows (word, context), the context null for words; at most 1 / share of either."""
-    words = np.sort(np.array([r[0] for r in often if r[1] is None], np.int64).view(np.uint64))
+    """From rows (context, word), the word null for contexts; at most 1 / share of either."""
+    contexts = np.sort(np.array([r[0] for r in often if r[1] is None], np.int64).view(np.uint64))
     pairs = [(r[0], r[1]) for r in often if r[1] is not None]
-    word, context = (np.array([p[i] for p in pairs], np.int64).view(np.uint64) for i in (0, 1))
+    context, word = (np.array([p[i] for p in pairs], np.int64).view(np.uint64) for i in (0, 1))
     keys = _dish_keys(word, context)
     order = np.argsort(keys)
-    contexts, at = np.unique(context[order], return_inverse=True)
-    return Split(words, keys[order], np.searchsorted(words, word[order]), at, contexts)
+    return Split(contexts, keys[order], np.searchsorted(contexts, context[order]), word[order])
+
+
+_OWNED = "part long, range long, words binary, count binary, tables binary, seats binary, hot binary, all_count long, all_tables long, present long"
+#: The part number under which a range keeps the root's seats.
+_KEPT = -1
 
 
-def _over_parts(own: DataFrame, ranges: int, label: str) -> DataFrame:
-    """(part, total): for rows (part, contexts, own), the sums over all parts of what each has of its contexts."""
+def _root(own: DataFrame, ranges: int, split: Split, shared: dict | None, before: DataFrame | None, sweep: int) -> DataFrame:
+    """The root over parts: for rows (part, words, own) the sums by word, and the root's tables for them.
+
+    Each range of hashes answers every part with the sums and tables of its
+    words, and keeps its seats in a row of part _KEPT, with totals and what it
+    knows of heavy dishes' words. Without `shared`, sums are tokens, not seated.
+    """
     edges = np.array([i * (1 << 64) // ranges for i in range(ranges)], np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                contexts, values = _unpack(row["contexts"], np.uint64), _unpack(row["own"], np.int64)
-                bounds = np.append(np.searchsorted(contexts, edges), len(contexts)).tolist()
-                cells = [(row["part"], i, _pack(contexts[a:b]), _pack(values[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
-                yield pa.record_batch([pa.array(c) for c in zip(*cells, strict=True)], names=["part", "range", "contexts", "own"])
+                words, values = _unpack(row["words"], np.uint64), _unpack(row["own"], np.int64)
+                bounds = np.append(np.searchsorted(words, edges), len(words)).tolist()
+                cells = [(row["part"], i, _pack(words[a:b]), _pack(values[a:b]), None) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+                columns = list(zip(*cells, strict=True))
+                yield pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=["part", "range", "words", "own", "seats"])
 
     def add(table: pa.Table) -> pa.Table:
-        lists = [_unpack(x, np.uint64) for x in table.column("contexts").to_pylist()]
-        values = np.concatenate([_unpack(x, np.int64) for x in table.column("own").to_pylist()])
-        _, at = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = np.bincount(at, values).astype(np.int64)[at]
+        rows = table.to_pylist()
+        kept = next((r["seats"] for r in rows if r["part"] == _KEPT), None)
+        rows = [r for r in rows if r["part"] != _KEPT]
+        lists = [_unpack(r["words"], np.uint64) for r in rows]
+        words, at = np.unique(np.concatenate(lists), return_inverse=True)
+        count = np.bincount(at, np.concatenate([_unpack(r["own"], np.int64) for r in rows]), len(words)).astype(np.int64)
+        spot = np.searchsorted(words, split.dish_word)
+        here = np.flatnonzero((spot < len(words)) & (words[np.minimum(spot, len(words) - 1)] == split.dish_word)) if len(split.dish_word) else np.empty(0, np.int64)
+        if shared is None:
+            seats, tables = None, np.minimum(count, 1)
+        else:
+            np.add.at(count, spot[here], shared["hot_tables"][here])
+            old = Seats.unpacked(kept) if kept else None
+            own = old.tables() if old else np.minimum(count, 1)
+            base = 1 / (shared["vocabulary"] + 1)
+            rest = shared["root_tables"] - own
+            rng = np.random.default_rng([SEED, sweep, rows[0]["range"], 1])
+            # A word that has lost customers has lost openings beyond them.
+            seats = seat(rng, count, lambda i, t: (ROOT_STRENGTH + ROOT_DISCOUNT * (rest[i] + t)) * base, ROOT_DISCOUNT, old and _within(old, count))
+            tables = seats.tables()
         ends = np.cumsum([0, *map(len, lists)]).tolist()
-        packed = [_pack(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.table([table.column("part"), table.column("range"), pa.array(packed, pa.binary())], names=["part", "range", "total"])
+        out = [(r["part"], r["range"], None, _pack(count[at[a:b]]), _pack(tables[at[a:b]]), None, None, None, None, None) for r, a, b in zip(rows, ends, ends[1:], strict=False)]
+        hot = _bundle([_pack(here.astype(np.int64)), _pack(count[spot[here]]), _pack(tables[spot[here]])])
+        out.append((_KEPT, rows[0]["range"], _pack(words), None, None, seats and seats.packed(), hot, int(count.sum()), int(tables.sum()), int((count > 0).sum())))
+        names = [c.split() for c in _OWNED.split(", ")]
+        return pa.table([pa.array(c, pa.binary() if kind == "binary" else pa.int64()) for c, (_, kind) in zip(zip(*out, strict=True), names, strict=True)], names=[n for n, _ in names])
+
+    cells = own.mapInArrow(cut, "part long, range long, words binary, own binary, seats binary")
+    if before is not None:
+        cells = cells.unionByName(before.where(F.col("part") == _KEPT).select("part", "range", "words", F.lit(None).cast("binary").alias("own"), "seats"))
+    return stage_table(cells.groupBy("range").applyInArrow(add, _OWNED), "root")
 
-    def gather(table: pa.Table) -> pa.Table:
-        ordered = table.sort_by("range").column("total").to_pylist()
-        return pa.table([table.column("part")[:1], pa.array([_pack(np.concatenate([_unpack(x, np.int64) for x in ordered]))], pa.binary())], names=["part", "total"])
 
-    cells = own.mapInArrow(cut, "part long, range long, contexts binary, own binary")
-    sums = cells.groupBy("range").applyInArrow(add, "part long, range long, total binary")
-    return stage_table(sums.groupBy("part").applyInArrow(gather, "part long, total binary"), label)
+def _within(seats: Seats, n: np.ndarray) -> Seats:
+    """The seats without what customers past the first n have opened; a word new to the root has opened one."""
+    bits = (np.uint64(1) << np.minimum(n, MASK).astype(np.uint64)) - np.uint64(1)
+    mask = seats.mask & bits.astype(np.uint32) | np.minimum(n, 1).astype(np.uint32)
+    kept = seats.late_at < n[seats.late_dish]
+    return Seats(mask, seats.late_dish[kept], seats.late_at[kept])
+
+
+def _answers(owned: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(part, *names): the root's customers and tables of each part's words, from all ranges."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by("range")
+        packed = [_pack(np.concatenate([_unpack(x, np.int64) for x in ordered.column(c).to_pylist()])) for c in ("count", "tables")]
+        return pa.table([table.column("part")[:1], *[pa.array([x], pa.binary()) for x in packed]], names=["part", *names])
+
+    return owned.where(F.col("part") != _KEPT).select("part", "range", "count", "tables").groupBy("part").applyInArrow(gather, f"part long, {names[0]} binary, {names[1]} binary")
+
+
+def _known(owned: DataFrame, split: Split) -> dict:
+    """The root's totals, and its customers and tables of heavy dishes' words."""
+    kept = owned.where(F.col("part") == _KEPT)
+    count, tables, present = (int(x or 0) for x in kept.agg(F.sum("all_count"), F.sum("all_tables"), F.sum("present")).first())
+    out = {"root_count": count, "root_tables": tables, "present": present, "hot_root": np.zeros((2, len(split.dishes)), np.int64)}
+    if len(split.dishes):
+        for (raw,) in kept.select("hot").collect():
+            at, *values = (_unpack(x, np.int64) for x in _unbundle(raw))
+            out["hot_root"][:, at] = values
+    return out
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """The sums of each document of a chunk over all parts."""
-    lists = [[_unpack(b, t) for b, t in zip(_unbundle(x), (np.uint16, np.int64, np.uint32, np.uint32, float, float), strict=True)] for x in table.column("sums").to_pylist()]
-    row, ids, *values = (np.concatenate(x) for x in zip(*lists, strict=True))
-    seen, first, at = np.unique(row, return_index=True, return_inverse=True)
-    sums = [np.bincount(at, v, len(seen)) for v in values]
-    columns = [ids[first], sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]]
-    return pa.table([pa.array(c) for c in columns], names=["id", "n", "known", "base", "own"])
+    """The sums of each document of a chunk over all parts, with its id."""
+    ids = next(_unpack(x, np.int64) for x in table.column("ids").to_pylist() if x is not None)
+    lists = [[_unpack(b, t) for b, t in zip(_unbundle(x), (np.uint16, np.uint32, np.uint32, float, float), strict=True)] for x in table.column("sums").to_pylist() if x is not None]
+    row, *values = (np.concatenate(x) for x in zip(*lists, strict=True))
+    n, known, base, own = (np.bincount(row, v, len(ids)) for v in values)
+    return pa.table([pa.array(c) for c in (ids, n.astype(np.int64), known.astype(np.int64), base, own)], names=["id", "n", "known", "base", "own"])
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", holdout: int = HOLDOUT, part_tokens: int = PART_TOKENS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", holdout: int = HOLDOUT, part_tokens: int = PART_TOKENS, burn_in: int = BURN_IN, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
+    spark = docs.sparkSession
     learns = (remainder(id_col, holdout) != 0) & F.col(id_col).isNotNull()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learns.alias("train"))
     size = texts.where("train").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About six bytes make a token.
     share = max(part_tokens / 4 / max(1.0, size / 6), 1 / HEAVY)
-    found = texts.where("train").select("text").mapInArrow(_heavy(share), "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    found = texts.where("train").select("text").mapInArrow(_heavy(share), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
     found = stage_table(found, "heavy-candidates")
-    total = (found.where("word is null").agg(F.sum("n")).first()[0]) or 0
+    total = (found.where("context is null").agg(F.sum("n")).first()[0]) or 0
     # A word of that share over all has it in some batch; what is counted may miss batches, never words.
-    often = found.where(F.col("word").isNotNull() & (F.col("n") >= share * total)).select("word", "context").collect()
-    split = _split(often)
+    often = found.where(F.col("context").isNotNull() & (F.col("n") >= share * total)).select("context", "word").collect()
+    contexts = {r[0] for r in often if r[1] is None}
+    split = _split([r for r in often if r[0] in contexts])
     parts = int(max(8, -(-total // part_tokens)))
     dealt = texts.mapInArrow(_dealt(split, parts), _DEALT)
-    state = stage_table(dealt.groupBy("part").applyInArrow(_joined, _STATE), "restaurants")
-    shared = _summed(state, split, None, -1)
+    stored = stage_buckets(dealt.groupBy("part").applyInArrow(_joined, _STATE), "restaurants", "part", min(parts, MOST_BUCKETS))
+    state, ids = stored.where("part >= 0"), stored.where("part < 0").select((-1 - F.col("part")).alias("chunk"), "ids")
+    model = state.select("part", "words", "contexts", "dish_word", "dish_context", "dish_count")
+    n, h = len(split.contexts), len(split.dishes)
 
-    def of_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 part = _Part(row, split)
-                yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([_pack(x)], pa.binary()) for x in part.per_context()]], names=["part", "context_count", "context_tables"])
-
-    names = ["part", "words", "contexts", "dish_word", "dish_context", "dish_count", "tables", "seats"]
-    keys = state.select("part", "contexts")
-    first = stage_table(state.select(*names).mapInArrow(of_contexts, "part long, context_count binary, context_tables binary"), "contexts")
-    counts, tables = (_over_parts(keys.join(first.select("part", F.col(c).alias("own")), "part"), parts, c) for c in ("context_count", "context_tables"))
-    state = state.join(counts.withColumnRenamed("total", "context_count"), "part")
-    names = [*names, "context_count"]
+                packed = (row["words"], _pack(part.per_word(part.count)), part.sums(np.minimum(part.own(), 1), split))
+                yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "words", "own", "sums"])
+
+    first = stage_table(model.mapInArrow(started, "part long, words binary, own binary, sums binary"), "started")
+    context_count, context_tables, hot_count = np.split(_summed(first, 2 * n + h), [n, 2 * n])
+    tokens = _root(first.select("part", "words", "own"), parts, split, None, None, -1)
+    shared = _known(tokens, split)
+    shared |= {"tokens": shared["root_count"], "vocabulary": shared["present"], "context_count": context_count, "hot_count": hot_count, "hot_seats": Seats.first(hot_count), "hot_tables": np.minimum(hot_count, 1)}
+    shared["context_tables"] = context_tables + np.bincount(split.dish_context, shared["hot_tables"], n).astype(np.int64)
+    owned, seats = tokens, None
     used: list[tuple[DataFrame, DataFrame, dict]] = []
-    seats = state.select(*names)
-    for sweep in range(BURN_IN + SWEEPS):
+    for sweep in range(burn_in + sweeps):
+        mark = staged_so_far()
 
         def reseated(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in _rows(batch):
                     part = _Part(row, split)
-                    part.reseat(part.local(shared, row["context_count"], row["total"]), sweep)
-                    packed = [*[_pack(x.astype(np.uint32)) for x in (part.tables, part.seats)], _pack(part.per_context()[1])]
-                    yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "tables", "seats", "own"])
-
-        new = stage_table(seats.join(tables, "part").mapInArrow(reseated, "part long, tables binary, seats binary, own binary"), f"sweep{sweep}")
-        tables = _over_parts(keys.join(new.select("part", "own"), "part"), parts, f"tables{sweep}")
-        seats = state.drop("tables", "seats", "occurrences", "rows", "ids").join(new.drop("own"), "part").select(*names)
-        shared = _summed(seats, split, shared, sweep)
-        if sweep >= BURN_IN:
-            used.append((new, tables, shared))
-    joined = state.drop("tables", "seats")
-    for i, (new, tables, _) in enumerate(used):
-        joined = joined.join(new.select("part", F.col("tables").alias(f"tables{i}"), F.col("seats").alias(f"seats{i}")), "part")
-        joined = joined.join(tables.withColumnRenamed("total", f"total{i}"), "part")
-    vectors = [x[2] for x in used]
+                    old = Seats.unpacked(row["seats"]) if sweep else None
+                    new = part.reseat(old, _root_of(row, "root_n", "root_t", shared), shared, sweep)
+                    tables = new.tables()
+                    packed = (row["words"], _pack(part.per_word(tables)), new.packed(), part.sums(tables, split))
+                    yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "words", "own", "seats", "sums"])
+
+        rows = model.join(_answers(owned, ("root_n", "root_t")), "part")
+        if seats is not None:
+            rows = rows.join(seats, "part")
+        new = stage_table(rows.mapInArrow(reseated, "part long, words binary, own binary, seats binary, sums binary"), f"sweep{sweep}")
+        hot_seats, hot_tables = _hot(split, shared, sweep)
+        shared = shared | {"hot_seats": hot_seats, "hot_tables": hot_tables}
+        shared["context_tables"] = np.split(_summed(new, 2 * n + h), [n, 2 * n])[1] + np.bincount(split.dish_context, hot_tables, n).astype(np.int64)
+        owned = _root(new.select("part", "words", "own"), parts, split, shared, owned if sweep else None, sweep)
+        shared = shared | _known(owned, split)
+        seats = new.select("part", "seats")
+        if sweep >= burn_in:
+            used.append((seats, owned, shared))
+        if 0 < sweep <= burn_in:
+            drop_staged(spark, *spent)
+        spent = (mark, staged_so_far())
+
+    joined = state.join(_answers(tokens, ("tokens", "ones")).drop("ones"), "part")
+    for i, (seats, owned, _) in enumerate(used):
+        joined = joined.join(seats.withColumnRenamed("seats", f"seats{i}"), "part").join(_answers(owned, (f"root_n{i}", f"root_t{i}")), "part")
+    samples = [x[2] for x in used]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                samples = [_Part(row, split, f"tables{i}", f"seats{i}") for i in range(len(vectors))]
-                p = sum(x.predictive(x.local(v, row["context_count"], row[f"total{i}"])) for i, (x, v) in enumerate(zip(samples, vectors, strict=True))) / len(vectors)
-                part, v = samples[0], vectors[0]
-                c = part.counts(v)
-                base = np.log10((c + 0.1) / (v["tokens"] + 0.1 * (v["vocabulary"] + 1)))
+                part = _Part(row, split)
+                p = sum(part.predictive(Seats.unpacked(row[f"seats{i}"]).tables(), _root_of(row, f"root_n{i}", f"root_t{i}", v), v) for i, v in enumerate(samples)) / len(samples)
+                c = _unpack(row["tokens"], np.int64)
+                base = np.log10((c + 0.1) / (samples[0]["tokens"] + 0.1 * (samples[0]["vocabulary"] + 1)))
                 sizes, dish, times = (_unpack(b, np.uint32).astype(np.int64) for b in _unbundle(row["occurrences"]))
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 known, seen, own = (np.bincount(of, x[dish] * times, len(sizes)) for x in ((c > 0)[part.word], base[part.word], np.log10(p)))
-                n = np.bincount(of, times, len(sizes))
                 keys = _unpack(row["rows"], np.int64)
-                columns = [(keys & 0xFFFF).astype(np.uint16), _unpack(row["ids"], np.int64), n.astype(np.uint32), known.astype(np.uint32), seen, own]
+                columns = [(keys & 0xFFFF).astype(np.uint16), np.bincount(of, times, len(sizes)).astype(np.uint32), known.astype(np.uint32), seen, own]
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 16 != keys[:-1] >> 16]))
-                ends = np.append(first[1:], len(keys))
-                packed = [_bundle([_pack(c[a:b]) for c in columns]) for a, b in zip(first, ends, strict=True)]
+                packed = [_bundle([_pack(c[a:b]) for c in columns]) for a, b in zip(first, np.append(first[1:], len(keys)), strict=True)]
                 yield pa.record_batch([pa.array(keys[first] >> 16, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "sums"])
 
-    # One row for each part and chunk; the chunks add up their documents.
-    sums = joined.mapInArrow(scored, "chunk long, sums binary").groupBy("chunk").applyInArrow(_added, "id long, n long, known long, base double, own double")
+    # One row for each part and chunk, and the chunk's ids; the chunks add up their documents.
+    sums = joined.mapInArrow(scored, "chunk long, sums binary").select("chunk", "sums", F.lit(None).cast("binary").alias("ids"))
+    sums = sums.unionByName(ids.select("chunk", F.lit(None).cast("binary").alias("sums"), "ids"))
+    sums = sums.groupBy("chunk").applyInArrow(_added, "id long, n long, known long, base double, own double")
     sums = sums.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
     held_out, tokens_seen = remainder("doc_id", holdout) == 0, F.lit(int(shared["tokens"])).cast("long")
     return sums.select("doc_id", held_out.alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), tokens_seen.alias("train_tokens"), F.col("base").alias("base_score"), F.col("own").alias("score"))
+
+
+def _root_of(row: dict, count: str, tables: str, shared: dict) -> Root:
+    return Root(_unpack(row[count], np.int64), _unpack(row[tables], np.int64), shared["root_count"], shared["root_tables"], shared["vocabulary"])
+
+
+def _hot(split: Split, shared: dict, sweep: int) -> tuple[Seats, np.ndarray]:
+    """Heavy dishes, of which there are at most HEAVY, seated by the driver one after the other."""
+    seats, context_tables = shared["hot_seats"], shared["context_tables"].copy()
+    count, tables = shared["hot_root"]
+    root = Root(count, tables, shared["root_count"], shared["root_tables"], shared["vocabulary"])
+    out, own = Seats.first(shared["hot_count"]), seats.tables()
+    rng = np.random.default_rng([SEED, sweep])
+    for i in range(len(split.dishes)):
+        one, of = np.array([i]), split.dish_context[i]
+        rest = np.array([context_tables[of] - own[i]])
+        new = seat(rng, shared["hot_count"][one], root.weight(one, own[one], rest), DISCOUNT, seats.take(one) if sweep else None)
+        out.put(one, new)
+        context_tables[of] += int(new.tables()[0]) - own[i]
+    out = out._sorted()
+    return out, out.tables()

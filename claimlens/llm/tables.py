@@ -47,6 +47,16 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """Like stage_table, in buckets of a column: joins by it need no shuffle of this side."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(name)
+    _STAGED.append(path)
+    return spark.table(name)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

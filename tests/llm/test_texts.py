@@ -298,35 +298,148 @@ def test_every_word_has_a_context_of_its_own(spark, part_tokens):
     assert ax > ay + 1 and by > bx + 1
 
 
+def part_of(count):
+    """A part that holds the dishes of count (contexts by words)."""
+    contexts, words = count.shape
+    pack = pitman_yor._pack
+    u64, u32 = (lambda k: pack(np.arange(1, k + 1, dtype=np.uint64))), (lambda x: pack(x.ravel().astype(np.uint32)))
+    context, word = np.meshgrid(np.arange(contexts), np.arange(words), indexing="ij")
+    none = np.empty(0, np.uint64)
+    row = {"part": 0, "words": u64(words), "contexts": u64(contexts), "dish_word": u32(word), "dish_context": u32(context), "dish_count": u32(count)}
+    return pitman_yor._Part(row, pitman_yor.Split(none, none, none.astype(int), none))
+
+
 def test_predictions_add_up():
     """Over all words and one unknown word, a context's predictive probabilities are a distribution."""
     rng = np.random.default_rng(2)
-    words, contexts = 50, 7
-    count = rng.poisson(2.0, (contexts, words))
+    contexts, words = 7, 50
+    count = np.hstack([rng.poisson(2.0, (contexts, words)), np.zeros((contexts, 1), int)])
     tables = np.minimum(count, 1 + rng.poisson(0.5, count.shape)) * (count > 0)
-    seats = np.minimum(tables.sum(0), 1)
-    part = pitman_yor._Part.__new__(pitman_yor._Part)
-    part.words = np.arange(words + 1, dtype=np.uint64)
-    part.context, part.word = (x.ravel() for x in np.meshgrid(np.arange(contexts), np.arange(words + 1), indexing="ij"))
-    wide = lambda x: np.hstack([x, np.zeros((contexts, 1), int)]).ravel()
-    part.count, part.tables, part.seats, part.heavy = wide(count), wide(tables), np.append(seats, 0), np.full(words + 1, -1)
-    # The dishes of the first word are heavy: the part holds a share of their customers, the whole is shared.
-    part.hot = np.where(part.word == 0, part.context, -1)
-    part.heavy[0] = 0
-    known = float((count.sum(0) > 0).sum())
-    shared = {"context_count": count.sum(1), "context_tables": tables.sum(1), "heavy_tables": tables.sum(0)[:1], "heavy_seats": seats[:1], "hot_count": count[:, 0], "hot_tables": tables[:, 0], "tables": float(tables.sum()), "root_tables": float(seats.sum()), "vocabulary": known}
-    part.count, part.tables = np.where(part.hot < 0, part.count, 0), np.where(part.hot < 0, part.tables, 0)
-    p = part.predictive(shared).reshape(contexts, words + 1)
-    assert known == words and np.allclose(p.sum(axis=1), 1.0)
-
-
-def test_seating():
-    rng = np.random.default_rng(1)
-    n = np.array([0, 1, 2, 500, 100_000])
-    t = pitman_yor.seated(rng, n, np.full(5, 0.5), 0.75)
-    assert t[0] == 0 and t[1] == 1 and (t <= n).all() and t[4] > t[3] > 1
-    many = pitman_yor.seated(rng, np.full(20_000, 2), np.full(20_000, 1.0), 0.5)
-    assert abs((many == 2).mean() - 1 / 1.5) < 0.02
+    seats, part = np.minimum(tables.sum(0), 1), part_of(count)
+    root = pitman_yor.Root(tables.sum(0), seats, tables.sum(), seats.sum(), words)
+    for hot in (False, True):
+        shared = {"context_count": np.array([count[0].sum()]), "context_tables": np.array([tables[0].sum()]), "hot_count": count[0, :1], "hot_tables": tables[0, :1]}
+        if hot:  # The first context is split over parts, its first dish by documents too: the part holds a share, the whole is shared.
+            part.heavy, part.hot = np.where(np.arange(contexts) == 0, 0, -1), np.where(np.arange(count.size) == 0, 0, -1)
+            part.count[0] //= 2
+        p = part.predictive(np.where(part.hot < 0, tables.ravel(), 0), root, shared).reshape(count.shape)
+        assert np.allclose(p.sum(axis=1), 1.0)
+
+
+def openings(n, weight, discount):
+    """The exact distribution of a dish's number of tables, over all ways to open them."""
+    ways = {1: 1.0}
+    for k in range(1, n):
+        more = collections.defaultdict(float)
+        for t, p in ways.items():
+            more[t] += p * (k - discount * t)
+            more[t + 1] += p * weight(t)
+        ways = more
+    total = sum(ways.values())
+    return np.array([ways.get(t, 0.0) / total for t in range(n + 1)])
+
+
+@pytest.mark.parametrize(("n", "asked"), [(2, 1 << 18), (3, 1 << 18), (7, 1 << 18), (48, 1 << 18), (48, 32), (90, 40)])
+def test_seats_have_the_exact_distribution(monkeypatch, n, asked):
+    """Also past the customers that are asked one by one."""
+    monkeypatch.setattr(pitman_yor, "EXACT", asked)
+    weight = lambda t: (1 + 0.75 * (2 + t)) * (0.4 + t) / (9 + t)
+    rng = np.random.default_rng(n)
+    dishes = 20_000
+    seats = pitman_yor.seat(rng, np.full(dishes, n), lambda _, t: weight(t), 0.75)
+    for _ in range(80):
+        seats = pitman_yor.seat(rng, np.full(dishes, n), lambda _, t: weight(t), 0.75, seats)
+    got = np.bincount(seats.tables(), minlength=n + 1) / dishes
+    assert np.abs(got - openings(n, weight, 0.75)).max() < 0.012
+
+
+@pytest.mark.parametrize("asked", [1 << 18, 100])
+def test_drawing_at_once_is_asking_each(monkeypatch, asked):
+    """Without the test for the order of drawing: many customers, against one after the other."""
+    monkeypatch.setattr(pitman_yor, "EXACT", asked)
+    rng = np.random.default_rng(5)
+    n, dishes, w = 300, 4000, 3.0
+    at_once = pitman_yor.seat(rng, np.full(dishes, n), lambda _, t: np.full(len(t), w), 0.6).tables()
+    t = np.ones(dishes)
+    for k in range(1, n):
+        t += rng.random(dishes) * (k - 0.6 * t + w) < w
+    assert abs(at_once.mean() - t.mean()) < 0.25 and abs(at_once.std() / t.std() - 1) < 0.06
+
+
+def brute_gibbs(count, sweeps, rng):
+    """Averaged predictive probabilities from a plain sampler that moves one customer at a time, tables with their sizes."""
+    contexts, words = count.shape
+    d, s, d0, s0 = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    known = int((count.sum(0) > 0).sum())
+    room = [[[] for _ in range(words)] for _ in range(contexts)]
+    top = [[] for _ in range(words)]
+
+    def root_p(w):
+        t, n = sum(map(len, top)), sum(map(sum, top))
+        return (sum(top[w]) - d0 * len(top[w]) + (s0 + d0 * t) / (known + 1)) / (s0 + n)
+
+    def sit(tables, weight, discount):
+        share = [x - discount for x in tables] + [weight]
+        k = rng.choices(range(len(share)), share)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def add(c, w):
+        if sit(room[c][w], (s + d * sum(map(len, room[c]))) * root_p(w), d):
+            sit(top[w], (s0 + d0 * sum(map(len, top))) / (known + 1), d0)
+
+    customers = [(c, w) for c in range(contexts) for w in range(words) for _ in range(count[c, w])]
+    for c, w in customers:
+        add(c, w)
+    total = np.zeros(count.shape)
+    for _ in range(sweeps):
+        for c, w in customers:
+            if leave(room[c][w]):
+                leave(top[w])
+            add(c, w)
+        root = np.array([root_p(w) for w in range(words)])
+        tables = np.array([[len(x) for x in r] for r in room])
+        total += (count - d * tables + (s + d * tables.sum(1)[:, None]) * root) / (s + count.sum(1)[:, None])
+    return total / sweeps
+
+
+def test_sweeps_agree_with_a_plain_sampler():
+    """To 0.02, as a sweep's restaurants see each other's new tables in the root only in the next one."""
+    count = np.array([[6, 3, 0, 1], [0, 9, 2, 1], [4, 0, 0, 2]])
+    want = brute_gibbs(count, 3000, random.Random(1))
+    part, rng = part_of(count), np.random.default_rng(1)
+    words, known = count.sum(0), 4
+    root = pitman_yor.Root(words, np.minimum(words, 1), words.sum(), known, known)
+    shared = {k: np.empty(0, int) for k in ("context_count", "context_tables", "hot_count", "hot_tables")}
+    seats = top = None
+    total, sweeps = np.zeros(count.shape), 4000
+    for sweep in range(sweeps):
+        seats = part.reseat(seats, root, shared, sweep)
+        n = part.per_word(seats.tables())
+        before = np.minimum(n, 1) if top is None else top.tables()
+        rest = before.sum() - before
+        top = pitman_yor.seat(rng, n, lambda i, t, rest=rest: (pitman_yor.ROOT_STRENGTH + pitman_yor.ROOT_DISCOUNT * (rest[i] + t)) / (known + 1), pitman_yor.ROOT_DISCOUNT, top and pitman_yor._within(top, n))
+        root = pitman_yor.Root(n, top.tables(), n.sum(), top.tables().sum(), known)
+        total += part.predictive(seats.tables(), root, shared).reshape(count.shape)
+    assert np.abs(total / sweeps - want).max() < 0.02
+
+
+def test_a_common_pair_is_split_over_parts(spark):
+    """A pair that makes up a third of all tokens is scored alike however many parts there are."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("ha" if rng.random() < 0.6 else f"w{rng.randrange(40)}" for _ in range(30)), None, None) for i in range(200)]
+    few, many = ({r.doc_id: (r.n_known, round(r.base_score, 6), r.score) for r in pitman_yor.score(table(spark, rows), part_tokens=p).collect()} for p in (10**6, 300))
+    assert all(few[i][:2] == many[i][:2] and abs(few[i][2] / many[i][2] - 1) < 0.05 for i in few)
 
 
 # Repeated passages
@@ -436,6 +549,15 @@ def test_packing_round_trip(spark):
     assert sum(2048 - f for f in fills) <= 0.02 * 2048 * len(fills) + 2048
 
 
+def test_leftovers_of_many_partitions_are_merged(spark):
+    rows = [(i, f"word{i} " * 10, None, None) for i in range(640)]
+    for partitions in (1, 80):
+        got = packing.pack(table(spark, rows).repartition(partitions), TOKENIZER).collect()
+        tokens = sum(r.length for r in got)
+        assert len({r.sequence_id for r in got}) <= tokens / 2048 * 1.1 + 3
+        assert sorted((r.doc_id, r.start) for r in got if r.start == 0) == [(i, 0) for i in range(640)]
+
+
 def test_packing_edges(spark, edge, empty):
     encode = packing.byte_level_encoding(TOKENIZER).encode_ordinary
     rows = [(i, t) for i, t, _, _ in EDGE if i not in (None, 11)]
