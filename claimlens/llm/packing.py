@@ -3,8 +3,9 @@
 Each partition keeps a fixed number of open windows. A piece goes to the open
 window that it fits best; when none has room, the fullest window is emitted and
 a new one opened. What stays open at the end of the partitions is merged in
-groups of partitions, largest piece first. Only piece descriptions are shuffled,
-never token ids.
+groups of MERGE partitions, largest piece first, and the windows that this leaves
+with a gap of LEFT_GAP or more in groups of MERGE_LEFT such groups. Only piece
+descriptions are shuffled, never token ids.
 
 Defined cases: a null or empty text is the end token alone; a repeated row is
 packed again; an empty table gives no pieces; other columns are ignored; a text
@@ -31,8 +32,10 @@ END_ID = 1
 OPEN_WINDOWS = 64
 #: A gap of at least this many tokens in a window about to be emitted takes the head of the next piece.
 CUT_GAP = 48
-#: Partitions whose leftovers are merged together.
-MERGE = 16
+#: Partitions whose leftovers are merged together, and such groups whose leftovers are.
+MERGE, MERGE_LEFT = 4, 16
+#: The gap from which a merged window is merged once more.
+LEFT_GAP = 256
 _FIELDS = [
     pa.field("doc_id", pa.int64()),
     pa.field("start", pa.int64()),
@@ -145,18 +148,20 @@ def _rows(rows: list[tuple], closed: bool, part: int) -> pa.RecordBatch:
     return pa.record_batch(arrays, schema=pa.schema([*_FIELDS, pa.field("closed", pa.bool_()), pa.field("merge_group", pa.int64())]))
 
 
-def _merger(size: int):
+def _merger(size: int, first_id: int, left_gap: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
         order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
-        windows, ids, offsets = _Windows(size, 0, (1 << 62) | (group << 32)), [], []
+        windows, ids, offsets = _Windows(size, 0, first_id | (group << 32)), [], []
         for length in order.column("length").to_pylist():
             window = windows.best(length)
             window = windows.new_id() if window is None else window
             ids.append(window)
             offsets.append(windows.put(window, length))
+        closed = [windows.used.get(x, size) > size - left_gap for x in ids]
         keep = [order.column(f.name) for f in _FIELDS[:5]]
-        return pa.table([*keep, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema=pa.schema(_FIELDS))
+        arrays = [pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(closed, pa.bool_()), pa.array([group // MERGE_LEFT] * len(ids), pa.int64())]
+        return pa.table([*keep, *arrays], names=[*[f.name for f in _FIELDS], "closed", "merge_group"])
 
     return run
 
@@ -168,8 +173,9 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     Every token id, the closing `end_id` included, lies in exactly one piece.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = texts.mapInArrow(_packer(tokenizer, size, open_windows, cut_gap, end_id), f"{_DDL}, closed boolean, merge_group long")
-    pieces = stage_table(pieces, "packed")
-    names = [f.name for f in _FIELDS]
-    left = pieces.where("not closed").groupBy("merge_group").applyInArrow(_merger(size), _DDL)
-    return pieces.where("closed").select(*names).unionByName(left)
+    ddl = f"{_DDL}, closed boolean, merge_group long"
+    pieces = stage_table(texts.mapInArrow(_packer(tokenizer, size, open_windows, cut_gap, end_id), ddl), "packed")
+    merged = stage_table(pieces.where("not closed").groupBy("merge_group").applyInArrow(_merger(size, 1 << 61, LEFT_GAP), ddl), "merged")
+    left = merged.where("not closed").groupBy("merge_group").applyInArrow(_merger(size, 1 << 62, LEFT_GAP), ddl)
+    done = pieces.where("closed").unionByName(merged.where("closed")).unionByName(left)
+    return done.select(*[f.name for f in _FIELDS])
