@@ -11,6 +11,8 @@ import argparse
 import logging
 import sys
 
+from pyspark import SparkConf
+
 from claimlens import scan
 from claimlens.config import Settings
 from claimlens.session import session
@@ -51,12 +53,13 @@ def main(args: list[str] | None = None) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
-    spark = session(a.master or f"local[{a.workers}]")
+    # spark-submit and spark-defaults.conf name the cluster's master; only without one is it this machine.
+    spark = session(a.master or (None if SparkConf().contains("spark.master") else f"local[{a.workers}]"))
     try:
         found = scan.findings(spark, settings, spark.read.parquet(a.registry), spark.read.parquet(a.fetched) if a.fetched else None).cache()
         if a.output:
             write_report(found, a.output, settings.format, a.verbose, a.silent)
-        print_summary(found, a.silent)
+        print_summary(found, a.silent, a.verbose)
     except OSError as e:
         print(e, file=sys.stderr)
         return 1

@@ -78,18 +78,26 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
     return F.round((end - start) / 1_000_000.0).cast("bigint")
 
 
-def settings_line(workers: Column, timeout: Column, rate: Column, max_kb: Column, no_limit: Column, deep: Column, proxies: Column) -> Column:
-    """The settings in one line; parts that do not apply are left out."""
-    return F.concat_ws(
+# The wording of settings and reports.
+
+
+def settings_line(rate: Column, max_kb: Column, no_limit: Column, deep: Column, tls_unchecked: Column, headers: Column, proxies: Column, proxy_asked: Column) -> Column:
+    """The settings in one line; parts that do not apply are left out. A proxy that was asked for may be none when no probe lived."""
+    parts = F.concat_ws(
         ", ",
-        F.concat(F.lit("workers: "), workers.cast("string")),
-        F.concat(F.lit("timeout: "), timeout.cast("string"), F.lit("s")),
-        F.concat(F.lit("max rate: "), rate.cast("string"), F.lit("/s")),
-        F.when(no_limit, F.lit("no size limit")).otherwise(F.concat(F.lit("max size: "), max_kb.cast("string"), F.lit(" KB"))),
-        F.when(deep, F.lit("deep scan")),
-        F.when(proxies > 0, F.concat(F.lit("proxies: "), proxies.cast("string"))),
+        F.format_string("Rate Limit: Auto (Max %s/s)", rate.cast("string")),
+        F.when(no_limit, F.lit("File Size Limit: Disabled")).otherwise(F.format_string("File Size Limit: %s KB", max_kb.cast("string"))),
+        F.when(deep, F.lit("Deep Scan: Enabled")),
+        F.when(tls_unchecked, F.lit("TLS Verification: Disabled")),
+        F.when(headers > 0, F.format_string("Custom Headers: %s", headers.cast("string"))),
+        F.when(proxies > 0, F.format_string("Using %s Live Proxies", proxies.cast("string"))).when(proxy_asked, F.lit("Proxy: None (check failed)")),
     )
+    return F.concat(F.lit("Settings: "), parts)
+
+
+REPORT_HEAD, REPORT_PACKAGE, REPORT_SOURCE = "Found %d unclaimed dependencies:", "  [+] Package: %s", "      Source:  %s"
 
 
 def report_line(package: Column, source: Column, verbose: bool = False) -> Column:
-    return F.format_string("%s (%s)", package, source) if verbose else package
+    """A finding's line, and its source on a second one if verbose."""
+    return F.format_string(f"{REPORT_PACKAGE}\n{REPORT_SOURCE}", package, source) if verbose else F.format_string(REPORT_PACKAGE, package)

@@ -7,8 +7,9 @@ dynamic imports and static imports and exports.
 `deep_strict` keeps to the places that a walk over statements, calls, function
 bodies, let/const initialisers, assignments, if, for and return reaches. It is a
 small tokeniser and descent in Python over batches, and answers null where the
-text is no plain script (module syntax, or what it cannot read), for which the
-pattern of regex mode is used.
+text is no plain script (module syntax, or what it cannot read, such as brackets
+nested beyond Python's recursion limit), for which the pattern of regex mode is
+used. `deep_full` passes over what stands inside template literals.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ class _Walk:
     def __init__(self, text: str):
         self.t, self.out = _tokens(text), []
         self.close: dict[int, int] = {}
+        self.open: dict[int, int] = {}
         stack: list[int] = []
         for i, (kind, x, _) in enumerate(self.t):
             if kind == "mark" and x in _PAIR:
@@ -87,7 +89,8 @@ class _Walk:
             elif kind == "mark" and x in ")]}":
                 if not stack or _PAIR[self.t[stack[-1]][1]] != x:
                     raise _Unreadable
-                self.close[stack.pop()] = i
+                self.close[stack[-1]] = i
+                self.open[i] = stack.pop()
         if stack:
             raise _Unreadable
 
@@ -233,7 +236,7 @@ class _Walk:
             if k < end and self.at(self.close[k] + 1, end) == "{" and self.close[self.close[k] + 1] == end - 1:
                 self.statements(self.close[k] + 2, end - 1)
                 return
-        last = self.opening(end - 1)
+        last = self.open.get(end - 1)
         if last is not None and last > i and self.t[last][1] == "(" and self.plain(i, last):
             args = [x for x in self.split(last + 1, end - 1, ",") if x[0] < x[1]]
             if last == i + 1 and self.t[i][:2] == ("name", "require") and args and args[0][1] - args[0][0] == 1 and self.t[args[0][0]][0] == "text":
@@ -242,9 +245,6 @@ class _Walk:
             for a, b in args:
                 self.expression(a, b)
 
-    def opening(self, closing: int) -> int | None:
-        return next((o for o, c in self.close.items() if c == closing), None)
-
     def plain(self, i: int, end: int) -> bool:
         """Whether the tokens are one operand: names, literals, member access, calls and brackets side by side."""
         operand = False

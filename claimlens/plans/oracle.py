@@ -19,9 +19,9 @@ m AS (SELECT page_id, url, unnest(x) AS name, (generate_subscripts(x, 1) - 1)::B
 n AS (SELECT *, CASE WHEN starts_with(name, '@') THEN CASE WHEN instr(name, '/') > 0 THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE name END ELSE split_part(name, '/', 1) END AS package FROM m),
 k AS (SELECT * FROM n WHERE left(package, 1) NOT IN ('.', '/', '\\') AND strlen(package) >= 2)"""
 _FIRST = f"{_FOUND}, o AS (SELECT package, arg_min(url, page_id * 1000000 + pos) AS source_url FROM k GROUP BY package)"
-_FINDINGS = f"{_FIRST}, {_R}, g AS (SELECT package AS unclaimed_package, source_url FROM o WHERE package NOT IN (SELECT package FROM r WHERE status <> 404))"
-_OUTCOME = f"""{_FIRST}, {_R}, v AS (SELECT o.package, source_url, coalesce(status, 404)::BIGINT AS status,
-CASE coalesce(status, 404) WHEN 404 THEN 'unclaimed' WHEN 200 THEN 'claimed' ELSE 'unknown' END AS outcome FROM o LEFT JOIN r ON o.package = r.package)"""
+_FINDINGS = f"{_FIRST}, {_R}, g AS (SELECT package AS unclaimed_package, source_url FROM o WHERE package NOT IN (SELECT package FROM r WHERE status IS NULL OR error IS NOT NULL OR status <> 404))"
+_OUTCOME = f"""{_FIRST}, {_R}, v AS (SELECT o.package, source_url, CASE WHEN r.package IS NULL THEN 404 ELSE status END::BIGINT AS status,
+CASE WHEN r.package IS NULL THEN 'unclaimed' WHEN status IS NULL OR error IS NOT NULL THEN 'failed' WHEN status = 404 THEN 'unclaimed' WHEN status = 200 THEN 'claimed' ELSE 'unknown' END AS outcome FROM o LEFT JOIN r ON o.package = r.package)"""
 _SPEC = """s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '@' || replace(p_name, ' ', '/') || '/deep' WHEN 1 THEN replace(p_name, ' ', '-') || '/client'
 WHEN 2 THEN './' || replace(p_name, ' ', '-') WHEN 3 THEN left(p_name, 1) ELSE '  ' || replace(p_name, ' ', '-') || ' ' END AS name FROM part),
 n AS (SELECT p_partkey, CASE WHEN starts_with(trim(name), '@') THEN split_part(trim(name), '/', 1) || '/' || split_part(trim(name), '/', 2) ELSE split_part(trim(name), '/', 1) END AS package FROM s)"""
@@ -48,7 +48,24 @@ _QUEUE = f"{_REPLAY}, {_BLOCKED}, {_PENDING}"
 _ETA = """CASE WHEN current = 0 OR elapsed < 1 THEN 'calculating...' WHEN total <= current OR remains <= 0 THEN 'done' WHEN remains < 60 THEN remains || 's'
 WHEN remains < 3600 THEN (remains // 60) || 'm' || (remains % 60) || 's' ELSE (remains // 3600) || 'h' || (remains % 3600 // 60) || 'm' END"""
 
+# Forms of the bodies by page_id % 6: what syntax shows there, by the names that the view makes them of.
+_NAMES = """y AS (SELECT p.page_id, replace(t.p_name, ' ', '-') AS pk, replace(t.p_name, ' ', '.') AS dk, replace(t.p_name, ' ', '') AS wk, lower(replace(t.p_type, ' ', '-')) AS ty FROM pages p JOIN part t ON t.p_partkey = p.page_id)"""
+_SYNTAX = """d AS (SELECT page_id, unnest(x) AS name, (generate_subscripts(x, 1) - 1)::BIGINT AS pos FROM s),
+n AS (SELECT *, CASE WHEN starts_with(name, '@') THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE split_part(name, '/', 1) END AS package FROM d)"""
+_WORTH = "left(package, 1) NOT IN ('.', '/', '\\') AND strlen(package) >= 2"
+
 SQL: dict[str, str] = {
+    "deep_refs_full": f"""WITH {_NAMES}, s AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN [pk, '@' || ty || '/' || dk] WHEN 1 THEN [wk, pk] WHEN 2 THEN [pk, wk] WHEN 3 THEN [pk || '/sub', 'x', wk]
+WHEN 4 THEN [wk] ELSE [wk, '@' || ty || '/' || wk || '/deep'] END AS x FROM y), {_SYNTAX} SELECT page_id, pos, package FROM n WHERE {_WORTH}""",
+    "deep_refs_strict": f"""WITH {_NAMES}, s AS (SELECT page_id, CASE page_id % 6 WHEN 3 THEN [pk || '/sub', 'x', wk] WHEN 5 THEN ['@' || ty || '/' || wk || '/deep'] ELSE [] END AS x FROM y), {_SYNTAX},
+{_F}, a AS (SELECT page_id, regexp_extract_all(body, {_text(names.REFERENCE)}, 1) AS x FROM f WHERE page_id % 6 NOT IN (3, 5)),
+m AS (SELECT page_id, unnest(x) AS name, (generate_subscripts(x, 1) - 1)::BIGINT AS pos FROM a),
+w AS (SELECT page_id, pos, CASE WHEN starts_with(name, '@') THEN CASE WHEN instr(name, '/') > 0 THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE name END ELSE split_part(name, '/', 1) END AS package FROM m)
+SELECT page_id, pos, package FROM n WHERE {_WORTH} UNION ALL SELECT page_id, pos, package FROM w WHERE {_WORTH}""",
+    "deep_fallback": f"WITH {_NAMES} SELECT page_id, page_id % 6 NOT IN (3, 5) AS fallback FROM y",
+    "body_text": """WITH d AS (SELECT doc_id, text, list_max(list_filter(range(0, 1025), lambda k: strlen(left(text, k)) <= 1024 AND k <= length(text))) AS k FROM documents),
+c AS (SELECT doc_id, left(text, k) || CASE WHEN strlen(left(text, k)) < least(1024, strlen(text)) THEN chr(65533) ELSE '' END AS body FROM d)
+SELECT doc_id, length(body)::BIGINT AS n_chars, md5(body) AS md5 FROM c""",
     "flagship_unclaimed": f"WITH {_FINDINGS} SELECT * FROM g",
     "refs_regex": f"WITH {_FOUND} SELECT page_id, pos, name FROM m",
     "refs_per_file": f"WITH {_FOUND} SELECT page_id, len(x)::BIGINT AS n_refs FROM a",
@@ -100,15 +117,16 @@ g AS (SELECT unnest(range((SELECT min(tick) FROM s), (SELECT max(tick) FROM s) +
 c AS (SELECT *, (us - start) / 1000000.0::DOUBLE AS elapsed FROM d), g AS (SELECT *, CAST(floor(elapsed / current * (total - current)) AS BIGINT) AS remains FROM c)
 SELECT event_id, current::BIGINT AS current, current::DOUBLE / total * 100 AS percent, {_ETA} AS eta FROM g""",
     "log_filter": "SELECT * FROM (SELECT event_id, (['INFO', 'DEBUG', 'WARN', 'ERROR', 'SUCCESS', 'WARN_PUBLIC', 'FATAL'])[event_id % 7 + 1] AS level FROM events) WHERE level IN ('INFO', 'SUCCESS', 'WARN_PUBLIC', 'FATAL')",
-    "settings_line": """SELECT r_regionkey, concat_ws(', ', 'workers: ' || (r_regionkey + 25), 'timeout: 10s', 'max rate: 30/s', CASE WHEN r_regionkey % 2 = 1 THEN 'no size limit' ELSE 'max size: 10240 KB' END,
-CASE WHEN r_regionkey % 3 = 0 THEN 'deep scan' END, CASE WHEN r_regionkey > 2 THEN 'proxies: ' || (r_regionkey - 2) END) AS line FROM region""",
+    "settings_line": """SELECT r_regionkey, 'Settings: ' || concat_ws(', ', 'Rate Limit: Auto (Max ' || (r_regionkey + 25) || '/s)', CASE WHEN r_regionkey % 2 = 1 THEN 'File Size Limit: Disabled' ELSE 'File Size Limit: 10240 KB' END,
+CASE WHEN r_regionkey % 3 = 0 THEN 'Deep Scan: Enabled' END, CASE WHEN r_regionkey % 4 = 1 THEN 'TLS Verification: Disabled' END, CASE WHEN r_regionkey > 1 THEN 'Custom Headers: ' || (r_regionkey - 1) END,
+CASE WHEN r_regionkey > 2 THEN 'Using ' || (r_regionkey - 2) || ' Live Proxies' WHEN r_regionkey = 2 THEN 'Proxy: None (check failed)' END) AS line FROM region""",
     "host_with_scheme": f"SELECT page_id, {_HOST} AS host FROM pages",
     "clocks_and_sizes": "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, (strlen(props) * 1024)::BIGINT AS bytes, (strlen(props) * 100 // 1024)::BIGINT AS kb FROM events",
     "progress_bars": "SELECT p_partkey, rpad(repeat('█', floor(p_size::DOUBLE / 50 * 100 / 100 * 40)::INT), 40, ' ') AS bar FROM part",
     "fifo_order": f"WITH {_L} SELECT host, min(event_id) AS head, max(event_id) AS tail, count(*) AS n FROM l GROUP BY host",
     "refresh_needed": f"WITH RECURSIVE {_QUEUE} SELECT (SELECT count(*) FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b)) < (SELECT count(*) FROM q) // 3 AS refresh",
     "job_types": f"WITH {_L} SELECT c.code::BIGINT AS code, c.job_type, count(*) AS n FROM l JOIN (VALUES {', '.join(f'({i}, {_text(x)})' for i, x in enumerate(measures.JOB_TYPES))}) c(code, job_type) ON c.job_type = l.job_type GROUP BY 1, 2",
-    "report_lines": f"WITH {_FINDINGS} SELECT 0::BIGINT AS ord, 'Found ' || count(*) || ' unclaimed dependencies:' AS line FROM g HAVING count(*) > 0 UNION ALL SELECT 1, unclaimed_package || ' (' || source_url || ')' FROM g",
+    "report_lines": f"WITH {_FINDINGS} SELECT 0::BIGINT AS ord, 'Found ' || count(*) || ' unclaimed dependencies:' AS line FROM g HAVING count(*) > 0 UNION ALL SELECT 1, '  [+] Package: ' || unclaimed_package || chr(10) || '      Source:  ' || source_url FROM g",
     "stream_dedupe": f"WITH {_FIRST} SELECT package FROM o",
 }
 SQL["stream_rate_state"] = SQL["rate_state_final"]

@@ -177,6 +177,13 @@ def body_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.octet_length(part).cast("bigint").alias("size"), F.md5(part).alias("md5"), cut.alias("cut"))
 
 
+@_query
+def body_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies cut to the limit, which may split a character, as text."""
+    body = bodies.as_text(bodies.truncated(F.encode("text", "UTF-8"), 1)[0])
+    return table(spark, sf, "documents").select("doc_id", F.char_length(body).cast("bigint").alias("n_chars"), F.md5(body).alias("md5"))
+
+
 @_query
 def extension_filter(spark: SparkSession, sf: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, (".js", ".TS", ".jsx", ".d.ts", ".mjs", ".Js"))), (F.col("p_partkey") % 6 + 1).cast("int"))
@@ -308,7 +315,7 @@ def log_filter(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def settings_line(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("r_regionkey")
-    line = measures.settings_line(k + 25, F.lit(10), F.lit(30), F.lit(10240), k % 2 == 1, k % 3 == 0, k - 2)
+    line = measures.settings_line(k + 25, F.lit(10240), k % 2 == 1, k % 3 == 0, k % 4 == 1, k - 1, k - 2, k == 2)
     return table(spark, sf, "region").select(k, line.alias("line"))
 
 

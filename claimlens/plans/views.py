@@ -20,10 +20,11 @@ FROM (SELECT p.page_id, p.url, replace(t.p_name, ' ', '-') AS pk, replace(t.p_na
       FROM {pages} p JOIN {part} t ON t.p_partkey = p.page_id) f
 """
 
-#: Answers of the registry; names that it lacks count as 404.
+#: Answers of the registry; names that it lacks count as 404, and some lookups have failed, with or without an error.
 REGISTRY = """
 SELECT DISTINCT package,
-  CASE WHEN length(package) % 3 = 0 THEN 404 WHEN package LIKE 'old%' THEN 429 ELSE 200 END AS status
+  CASE WHEN length(package) % 14 = 1 THEN 'timeout' END AS error,
+  CASE WHEN length(package) % 7 = 1 THEN NULL WHEN length(package) % 3 = 0 THEN 404 WHEN package LIKE 'old%' THEN 429 ELSE 200 END AS status
 FROM (SELECT replace(p_name, ' ', '-') AS package FROM {part}
       UNION ALL SELECT replace(p_name, ' ', '') FROM {part}) n
 """

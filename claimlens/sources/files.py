@@ -28,11 +28,16 @@ def truncated(body: Column, max_kb: int, no_limit: bool = False) -> tuple[Column
     return part, F.octet_length(part) == max_kb * 1024
 
 
+def as_text(body: Column) -> Column:
+    """The bytes as UTF-8; what is none, such as a character that the limit cut, becomes the replacement character."""
+    return F.make_valid_utf8(body.cast("string"))
+
+
 def stored_files(spark: SparkSession, root: str, max_kb: int = 10_240, no_limit: bool = False) -> DataFrame:
     """(source_url, body) of script files; the size gate is pushed to the listing, before any content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[jJ][sS],[tT][sS]}").load(root)
     kept = files.where(within_limit(F.col("length"), max_kb, no_limit))
-    return kept.select(F.col("path").alias("source_url"), F.decode("content", "UTF-8").alias("body"))
+    return kept.select(F.col("path").alias("source_url"), as_text(F.col("content")).alias("body"))
 
 
 def local_files(targets: DataFrame, max_kb: int = 10_240, no_limit: bool = False) -> DataFrame:
@@ -65,4 +70,4 @@ def fetched_files(targets: DataFrame, fetched: DataFrame, max_kb: int = 10_240,
     good = fetched.where(F.col("error").isNull() & (F.col("status") < 400))
     body, cut = truncated(F.col("body").cast("binary"), max_kb, no_limit)
     rows = targets.where(is_remote(F.col("target"))).join(good, F.col("target") == F.col("url"))
-    return rows.select("target_ord", F.col("target").alias("source_url"), F.decode(body, "UTF-8").alias("body"), cut.alias("cut"))
+    return rows.select("target_ord", F.col("target").alias("source_url"), as_text(body).alias("body"), cut.alias("cut"))

@@ -6,11 +6,12 @@ import json
 import logging
 import os
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions.measures import report_line
+from claimlens.functions.measures import REPORT_HEAD, REPORT_PACKAGE, REPORT_SOURCE, report_line
 
 log = logging.getLogger("claimlens")
 
@@ -18,7 +19,7 @@ log = logging.getLogger("claimlens")
 def report_lines(findings: DataFrame, verbose: bool = False) -> DataFrame:
     """(ord, line): a header with the count, then a line for each finding; no row without findings."""
     n = findings.agg(F.count("*").alias("n")).where("n > 0")
-    head = n.select(F.lit(0).alias("ord"), F.format_string("Found %d unclaimed dependencies:", F.col("n")).alias("line"))
+    head = n.select(F.lit(0).alias("ord"), F.format_string(REPORT_HEAD, F.col("n")).alias("line"))
     body = findings.select(F.lit(1).alias("ord"), report_line(F.col("unclaimed_package"), F.col("source_url"), verbose).alias("line"))
     return head.unionByName(body)
 
@@ -62,19 +63,26 @@ def write_report(findings: DataFrame, path: str, kind: str = "text", verbose: bo
                 out.write((",\n" if i else "\n") + "\n".join("  " + x for x in _escaped(item).split("\n")))
             out.write("\n]\n" if n else "\n")
         elif n:
-            out.write(f"Found {n} unclaimed dependencies:\n")
-            for r in rows.toLocalIterator():
-                out.write(r["unclaimed_package"] + (f" ({r['source_url']})" if verbose else "") + "\n")
+            for line in _text_lines(rows, n, verbose):
+                out.write(line + "\n")
     return n
 
 
-def print_summary(findings: DataFrame, silent: bool = False, limit: int = 1000) -> None:
-    """A summary for people on standard error, unless silent; past `limit` packages it says how many more there are."""
+def _text_lines(rows: DataFrame, n: int, verbose: bool) -> Iterator[str]:
+    if n:
+        yield REPORT_HEAD % n
+    for r in rows.toLocalIterator():
+        yield REPORT_PACKAGE % r["unclaimed_package"]
+        if verbose:
+            yield REPORT_SOURCE % r["source_url"]
+
+
+def print_summary(findings: DataFrame, silent: bool = False, verbose: bool = False) -> None:
+    """The findings for people on standard error, streamed a partition at a time; nothing if silent, one line without findings."""
     if silent:
         return
     n = findings.count()
-    print(f"Found {n} unclaimed dependencies:" if n else "No unclaimed dependencies found.", file=sys.stderr)
-    for r in findings.orderBy("unclaimed_package").limit(limit).collect():
-        print(f"  {r['unclaimed_package']}", file=sys.stderr)
-    if n > limit:
-        print(f"  and {n - limit} more", file=sys.stderr)
+    if not n:
+        print("No unclaimed dependencies found.", file=sys.stderr)
+    for line in _text_lines(findings.orderBy("unclaimed_package", "source_url"), n, verbose):
+        print(line, file=sys.stderr)

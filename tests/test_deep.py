@@ -1,5 +1,7 @@
 """Deep mode: full scan and strict walk."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,9 @@ def test_fallback_to_the_pattern(spark):
 def test_long_texts_end(spark):
     long = "x = '" + "a" * 200_000 + "'; require('end')"
     assert spark.createDataFrame([(long,)], "x string").select(full_references(F.col("x"))).first()[0] == ["end"]
+
+
+def test_strict_mode_is_linear():
+    began = time.perf_counter()
+    assert strict_references("f(1);" * 200_000 + "require('end')") == ["end"]
+    assert time.perf_counter() - began < 60

@@ -76,7 +76,7 @@ def test_reports(spark, tmp_path):
     assert json.loads(path.read_text()) == [{"unclaimed_package": "a", "source_url": "s2"}, {"unclaimed_package": "b<", "source_url": "s&1"}]
     assert "\\u003c" in path.read_text() and "\n  {\n    \"unclaimed_package\"" in path.read_text()
     sinks.write_report(rows, str(path), "text", verbose=True)
-    assert path.read_text() == "Found 2 unclaimed dependencies:\na (s2)\nb< (s&1)\n"
+    assert path.read_text() == "Found 2 unclaimed dependencies:\n  [+] Package: a\n      Source:  s2\n  [+] Package: b<\n      Source:  s&1\n"
     sinks.write_report(rows.limit(0), str(path), "json")
     assert path.read_text() == "[]\n"
     sinks.write_report(rows.limit(0), str(path), "json", silent=True)
@@ -109,3 +109,13 @@ def test_first_source_wins(spark, tmp_path):
     assert [(r.unclaimed_package, r.source_url.rsplit("/", 1)[1]) for r in got] == [("same", "b.js")]
     assert scan.host_count(targets.literal(spark, ["http://a/1", "http://a/2", "x.js"])).first()[:] == (3, 1)
     assert got and F.col("x") is not None
+
+
+def test_bodies_that_are_not_utf8_are_read(spark):
+    body = "require('left-pad') é".encode()
+    rows = [("http://x/cut.js", 200, None, body), ("http://x/latin.js", 200, None, b"require('caf\xe9')")]
+    fetched = spark.createDataFrame(rows, "url string, status int, error string, body binary")
+    targets = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "target_ord long, target string")
+    part = fetched.withColumn("body", F.substring("body", 1, len(body) - 1))
+    got = {r.source_url: r.body for r in files.fetched_files(targets, part).collect()}
+    assert got == {"http://x/cut.js": "require('left-pad') \ufffd", "http://x/latin.js": "require('caf\ufffd')"}

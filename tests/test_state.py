@@ -160,3 +160,12 @@ def test_first_sources_and_findings(spark):
     assert {tuple(r) for r in firsts.collect()} == {("aa", "u1"), ("bb", "u1")}
     answers = spark.createDataFrame([("aa", 200), ("aa", 404), ("bb", 404)], "package string, status int")
     assert [r.unclaimed_package for r in registry.unclaimed(firsts, answers).collect()] == ["bb"]
+
+
+def test_failed_lookups_are_no_findings(spark):
+    firsts = spark.createDataFrame([(p, "s") for p in "abcdef"], "package string, source_url string")
+    log = spark.createDataFrame([("a", 404, None), ("b", None, None), ("c", None, "timeout"), ("d", 404, "reset"), ("e", 200, None)], "package string, status int, error string")
+    assert {r.unclaimed_package for r in registry.unclaimed(firsts, log).collect()} == {"a", "f"}
+    assert {r.package: r.outcome for r in registry.outcomes(firsts, log).collect()} == {"a": "unclaimed", "b": "failed", "c": "failed", "d": "failed", "e": "claimed", "f": "unclaimed"}
+    assert {r.unclaimed_package for r in registry.unclaimed(firsts, log.drop("error")).collect()} == {"a", "d", "f"}
+    assert [r.package for r in registry.claimed(firsts, log).collect()] == ["e"]
