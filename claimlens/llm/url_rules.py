@@ -9,8 +9,9 @@ the rules found there run their regular expressions. The longest fitting rule
 wins; with none the url is allowed.
 
 The index is one literal array of slots, so the operator is a projection: no
-shuffle, no join, no row grows. The list of rules is a parameter; past
-MOST_RULES it is refused.
+shuffle, no join, no row grows. The list of rules is a parameter of any length
+that the driver holds; it travels as one text. A rule without a literal token, as
+of a host in other letters, stands in a slot that every url reads.
 
 Defined cases: a null url, or one without "://", has empty host and path and is
 judged by the default; repeated rows get equal verdicts; an empty table gives
@@ -19,6 +20,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -26,7 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 10_000
+#: Stands for the token of rules that have none.
+NO_TOKEN = ""
 #: The rules of the contract.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Patterns over host and path for urls without a rule, with a token that every match holds.
@@ -86,8 +89,11 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule], url_col: str) -> dict[str,
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    held = F.filter(tokens_of(F.col(url_col)), lambda t: F.array_contains(F.array(*map(F.lit, wanted)), t))
-    counts = urls.select(F.explode(held).alias("token")).groupBy("token").count()
+    spark = urls.sparkSession
+    asked = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(wanted)), "array<string>")).alias("token"))
+    # The list is the driver's own, so its size is known; other tokens go before anything is shuffled.
+    held = urls.select(F.explode(tokens_of(F.col(url_col))).alias("token")).join(F.broadcast(asked), "token", "left_semi")
+    counts = held.groupBy("token").count()
     return {t: 0 for t in wanted} | {r["token"]: r["count"] for r in counts.collect()}
 
 
@@ -95,26 +101,17 @@ def _index(rules: list[Rule], counts: dict[str, int]) -> tuple[Column, int]:
     slots = 1
     while slots < 2 * len(rules):
         slots *= 2
-    filed: list[list[Rule]] = [[] for _ in range(slots)]
-    token_of = {r: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules}
+    filed: list[list[dict]] = [[] for _ in range(slots)]
     for r in rules:
-        filed[zlib.crc32(token_of[r].encode()) % slots].append(r)
-
-    def row(r: Rule) -> Column:
-        return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.length).alias("length"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex).alias("regex"), F.lit(token_of[r]).alias("token"))
-
-    none = F.filter(F.array(row(rules[0])), lambda r: F.lit(False))
-    return F.array(*[F.array(*map(row, f)) if f else none for f in filed]), slots
+        token = min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=NO_TOKEN)
+        filed[zlib.crc32(token.encode()) % slots].append({"kind": r.kind, "length": r.length, "name": r.name, "action": r.action, "regex": r.regex, "token": token})
+    return F.from_json(F.lit(json.dumps(filed)), "array<array<struct<kind:int,length:int,name:string,action:string,regex:string,token:string>>>"), slots
 
 
 def judge(urls: DataFrame, rules: list[Rule] | None = None, *, url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """All columns of urls with host, path, rule, verdict and the number of rules whose expressions ran."""
     if rules is None:
         rules = [host_rule(*r) for r in RULES] + [pattern_rule(*p) for p in PATTERNS]
-    if len(rules) > MOST_RULES or not rules:
-        raise ValueError(f"between 1 and {MOST_RULES} rules are indexed as a literal")
-    if not all(r.tokens for r in rules):
-        raise ValueError("each rule needs a literal token")
     index, slots = _index(rules, rarest_tokens(urls, rules, url_col))
     url = F.coalesce(F.col(url_col), F.lit(""))
     # One-element arrays name a value once, so that the lambdas below do not compute it again.
@@ -122,7 +119,8 @@ def judge(urls: DataFrame, rules: list[Rule] | None = None, *, url_col: str = "u
 
     def found(p: Column) -> Column:
         text = F.concat(p["host"], p["path"])
-        own = F.transform(tokens_of(text), lambda t: F.filter(F.element_at(index, (F.crc32(t.cast("binary")) % slots + 1).cast("int")), lambda r: r["token"] == t))
+        tokens = tokens_of(text) if all(r.tokens for r in rules) else F.array_append(tokens_of(text), F.lit(NO_TOKEN))
+        own = F.transform(tokens, lambda t: F.filter(F.element_at(index, (F.crc32(t.cast("binary")) % slots + 1).cast("int")), lambda r: r["token"] == t))
         candidates = F.flatten(own)
         fits = F.filter(candidates, lambda r: F.regexp_like(text, r["regex"]))
         best = F.array_max(F.transform(fits, lambda r: F.struct(r["kind"].alias("kind"), r["length"].alias("length"), r["name"].alias("name"), r["action"].alias("action"))))

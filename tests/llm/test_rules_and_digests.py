@@ -89,8 +89,15 @@ def test_url_edges(spark):
     assert got[10] == ("u@b.org:80", "/es/", None, "allow")
     assert got[11][2:] == (None, "block") and got[12][2:] == ("com/fr/", "allow")
     assert url_rules.judge(rows.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_rules.judge(rows, [url_rules.pattern_rule("block", ".*", ())])
+    assert {r.verdict for r in url_rules.judge(rows, []).collect()} == {"allow"}
+    assert {r.verdict for r in url_rules.judge(rows, [url_rules.pattern_rule("block", ".*", ())]).collect()} == {"block"}
+
+
+def test_long_lists_and_rules_without_tokens(spark):
+    rules = [url_rules.host_rule("block", f"site{i}.net/a/") for i in range(20_000)] + [url_rules.host_rule("block", "例え/")]
+    rows = spark.createDataFrame([("http://site19999.net/a/b",), ("http://例え/x",), ("http://other.net/",)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_rules.judge(rows, rules).collect()}
+    assert got == {"http://site19999.net/a/b": ("site19999.net/a/", "block"), "http://例え/x": ("例え/", "block"), "http://other.net/": (None, "allow")}
 
 
 def test_only_indexed_rules_run(spark):
