@@ -10,9 +10,10 @@ reach is marked as not accepted.
 
 The models learn from a sample of SAMPLE_CHARS characters a language: pieces of
 PIECE_CHARS, taken in the order of a hash of id and place until the next would be
-too much. The first piece with a letter is always taken and learned from. The
-size of the models, and so the broadcast, is bounded by that and by
-MOST_LANGUAGES. Every text is judged whole, each distinct word of a batch once.
+too much. The first piece with a letter is always taken and learned from. Beyond
+FULL_SAMPLES languages all share what that many would have, so that the size of
+the models, and of the broadcast, stays bounded but for these first pieces. Every
+text is judged whole, each distinct word of a batch once.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with
 no language learned, all texts are `und`; rows whose lang is null are not
@@ -42,7 +43,8 @@ SAMPLE_CHARS = 2_000_000
 PIECE_CHARS = 20_000
 #: Bits of the hash that one histogram of pieces resolves.
 STEP_BITS = 8
-MOST_LANGUAGES = 256
+#: Languages that get a whole sample each; of more, all share as many characters.
+FULL_SAMPLES = 256
 HOLDOUT = 5
 #: Share of calibration texts of a language that stay accepted.
 ACCEPTED = 0.995
@@ -244,10 +246,8 @@ def _limits(pieces: DataFrame, langs: list[str], sample_chars: int) -> dict[str,
     for bits in range(64 - STEP_BITS, -1, -STEP_BITS):
         rows = pieces.select("lang", "chars", "h")
         if bits < 64 - STEP_BITS:
-            bucket = F.lit(None).cast("long")
-            for lang, b in inside.items():
-                bucket = F.when(F.col("lang") == lang, F.lit(b).cast("long")).otherwise(bucket)
-            rows = rows.where(F.shiftright("h", bits + STEP_BITS) == bucket)
+            open_still = pieces.sparkSession.createDataFrame(list(inside.items()), "lang string, bucket long")
+            rows = rows.join(F.broadcast(open_still), "lang").where(F.shiftright("h", bits + STEP_BITS) == F.col("bucket"))
         buckets = rows.groupBy("lang", F.shiftright("h", bits).alias("b")).agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
         inside = {}
         last = None
@@ -276,11 +276,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     pieces = known.select("lang", "doc_id", F.char_length("text").alias("length"), letter.alias("letter"), place)
     size = F.least(F.col("length") - F.col("place") * PIECE_CHARS, F.lit(PIECE_CHARS)).cast("long")
     pieces = stage_table(pieces.select("lang", "doc_id", "place", (F.col("place") == F.col("letter")).alias("letter"), size.alias("chars"), F.xxhash64(F.lit("sample"), "doc_id", "place").alias("h")), "language-pieces")
-    firsts = pieces.groupBy("lang").agg(F.min(F.when(F.col("letter"), F.struct("h", "doc_id", "place"))).alias("first")).limit(MOST_LANGUAGES + 1).collect()
-    if len(firsts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    firsts = pieces.groupBy("lang").agg(F.min(F.when(F.col("letter"), F.struct("h", "doc_id", "place"))).alias("first")).collect()
     if not firsts:
         return None
+    sample_chars = min(sample_chars, max(1, sample_chars * FULL_SAMPLES // len(firsts)))
     limits = _limits(pieces, [r["lang"] for r in firsts], sample_chars)
     rows = [(r["lang"], limits[r["lang"]], *(r["first"][c] if r["first"] else None for c in ("doc_id", "place"))) for r in firsts]
     taking = docs.sparkSession.createDataFrame(rows, f"lang string, limit long, first_id {known.schema['doc_id'].dataType.simpleString()}, first_place int")

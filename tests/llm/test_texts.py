@@ -210,6 +210,17 @@ def test_every_language_keeps_a_text_to_learn_from(spark):
     assert set(language_id.fit(table(spark, rows), sample_chars=1).languages) == {"es", "de", "sv"}
 
 
+def test_three_hundred_languages_are_learned(spark, monkeypatch):
+    rng = random.Random(8)
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(10 * k + i, " ".join("".join(rng.choices(alphabet[10 * k : 10 * k + 10], k=6)) for _ in range(8)), f"l{k:03}", None) for k in range(300) for i in range(4)]
+    models = language_id.fit(table(spark, rows), sample_chars=2000)
+    assert len(models.languages) == len({r[2] for r in rows if rest(r[0], 5)})
+    got = language_id.identify(table(spark, rows), models).collect()
+    langs = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == langs[r.doc_id] for r in got) >= 0.97 * len(got)
+
+
 def test_samples_fill_their_budget(spark, monkeypatch):
     monkeypatch.setattr(language_id, "PIECE_CHARS", 10)
     rows = [(lang, i * 2654435761 * (1 << 31) % (1 << 64) - (1 << 63) if lang == "a" else i, 10) for lang in "ab" for i in range(500)]
