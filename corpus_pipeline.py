@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents. `run` does the same with tables in the shared folder.
+
+Defined cases, as the operators state them: null, empty and short texts fail the
+base rules; the deduplications keep rows without id but for the copied bytes in
+them; repeated rows are kept or dropped together; an empty table passes every
+stage as an empty one; other columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
