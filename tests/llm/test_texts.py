@@ -636,3 +636,16 @@ def test_pipeline_stages(spark):
             assert total == sum(len(encode(r.text or "")) + 1 for r in docs.collect())
         docs = out
     assert corpus_pipeline.run(spark, SF).select(F.sum("length")).first()[0] == total
+
+
+def test_pipeline_stages_on_odd_rows(spark, edge, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, SF)
+        assert none.count() == 0  # a stage's result is read before the next stage begins
+        some = stage(spark, edge, SF)
+        if name != "packing":
+            assert none.columns == some.columns == edge.columns
+        ids = {r.doc_id for r in some.select("doc_id").collect()}
+        assert ids == {"quality_rules": {7, 8, 11}, "near_dedup": {r[0] for r in EDGE} - {5, 8}}.get(name, {r[0] for r in EDGE})
