@@ -7,14 +7,17 @@ dynamic imports and static imports and exports.
 `deep_strict` keeps to the places that a walk over statements, calls, function
 bodies, let/const initialisers, assignments, if, for and return reaches. It is a
 small tokeniser and descent in Python over batches, and answers null where the
-text is no plain script (module syntax, or what it cannot read, such as brackets
-nested beyond Python's recursion limit), for which the pattern of regex mode is
-used. `deep_full` passes over what stands inside template literals.
+text is no plain script (module syntax, or what it cannot read), for which the
+pattern of regex mode is used. The descent keeps its own stack, so that nesting
+of any depth is read alike. `deep_full` passes over what stands inside template
+literals.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +56,22 @@ class _Unreadable(Exception):
     pass
 
 
+#: A step of the descent: it yields the steps inside it and is sent what they return.
+Step = Generator["Step", Any, Any]
+
+
+def _finished(step: Step) -> None:
+    """Run a step and all that it yields."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+
+
 def _tokens(text: str) -> list[tuple[str, str, bool]]:
     """(kind, text, whether a line ended before it)."""
     out: list[tuple[str, str, bool]] = []
@@ -97,9 +116,9 @@ class _Walk:
     def at(self, i: int, end: int) -> str:
         return self.t[i][1] if i < end and self.t[i][0] in ("mark", "name") else ""
 
-    def statements(self, i: int, end: int) -> None:
+    def statements(self, i: int, end: int) -> Step:
         while i < end:
-            i = self.statement(i, end)
+            i = yield self.statement(i, end)
 
     def over(self, i: int, end: int) -> int:
         """The end of the expression that begins at i: a semicolon, or a line that cannot go on."""
@@ -112,33 +131,35 @@ class _Walk:
             i = self.close.get(i, i) + 1
         return i
 
-    def statement(self, i: int, end: int) -> int:
+    def statement(self, i: int, end: int) -> Step:
         x = self.at(i, end)
         if x == ";":
             return i + 1
         if x == "{":
-            self.statements(i + 1, self.close[i])
+            yield self.statements(i + 1, self.close[i])
             return self.close[i] + 1
         if x in ("import", "export") and self.at(i + 1, end) not in ("(", "."):
             raise _Unreadable
         if x == "async" and self.at(i + 1, end) == "function":
             i, x = i + 1, "function"
         if x == "function":
-            return self.function(i, end)
+            return (yield self.function(i, end))
         if x in ("var", "let", "const"):
-            return self.declaration(i, end, x != "var")
+            return (yield self.declaration(i, end, x != "var"))
         if x == "if":
             j = self.paren(i + 1, end)
-            self.expression(i + 2, j)
-            j = self.statement(j + 1, end)
-            return self.statement(j + 1, end) if self.at(j, end) == "else" else j
+            yield self.expression(i + 2, j)
+            j = yield self.statement(j + 1, end)
+            if self.at(j, end) == ";" and self.at(j + 1, end) == "else":
+                j += 1
+            return (yield self.statement(j + 1, end)) if self.at(j, end) == "else" else j
         if x == "for":
-            return self.loop(i, end)
+            return (yield self.loop(i, end))
         if x == "return":
             if i + 1 >= end or self.t[i + 1][2] or self.at(i + 1, end) == ";":
                 return i + 1
             j = self.over(i + 1, end)
-            self.expression(i + 1, j)
+            yield self.expression(i + 1, j)
             return j
         if x in ("while", "switch", "with"):
             j = self.paren(i + 1, end) + 1
@@ -158,7 +179,7 @@ class _Walk:
                 i += 1
             return self.close[i] + 1
         j = self.over(i, end)
-        self.expression(i, j)
+        yield self.expression(i, j)
         return max(j, i + 1)
 
     def paren(self, i: int, end: int) -> int:
@@ -166,7 +187,7 @@ class _Walk:
             raise _Unreadable
         return self.close[i]
 
-    def function(self, i: int, end: int) -> int:
+    def function(self, i: int, end: int) -> Step:
         while self.at(i, end) != "(":
             if i >= end:
                 raise _Unreadable
@@ -174,19 +195,19 @@ class _Walk:
         j = self.close[i] + 1
         if self.at(j, end) != "{":
             raise _Unreadable
-        self.statements(j + 1, self.close[j])
+        yield self.statements(j + 1, self.close[j])
         return self.close[j] + 1
 
-    def declaration(self, i: int, end: int, visit: bool) -> int:
+    def declaration(self, i: int, end: int, visit: bool) -> Step:
         j = self.over(i + 1, end)
         if visit:
             for a, b in self.split(i + 1, j, ","):
                 parts = self.split(a, b, "=")
                 if len(parts) > 1:
-                    self.expression(parts[1][0], b)
+                    yield self.expression(parts[1][0], b)
         return j
 
-    def loop(self, i: int, end: int) -> int:
+    def loop(self, i: int, end: int) -> Step:
         i = i + 1 if self.at(i + 1, end) == "await" else i
         j = self.paren(i + 1, end)
         parts = self.split(i + 2, j, ";")
@@ -194,13 +215,14 @@ class _Walk:
             a, b = parts[0]
             # Only the initialiser of let and const, as among statements.
             if self.at(a, b) in ("var", "let", "const"):
-                self.declaration(a, b, self.at(a, b) != "var")
+                yield self.declaration(a, b, self.at(a, b) != "var")
             else:
-                self.expression(a, b)
-            self.expression(*parts[1]), self.expression(*parts[2])
-            return self.statement(j + 1, end)
+                yield self.expression(a, b)
+            for a, b in parts[1:]:
+                yield self.expression(a, b)
+            return (yield self.statement(j + 1, end))
         kept = len(self.out)
-        k = self.statement(j + 1, end)
+        k = yield self.statement(j + 1, end)
         del self.out[kept:]
         return k
 
@@ -213,18 +235,19 @@ class _Walk:
             i = self.close.get(i, i) + 1
         return [*out, (start, end)]
 
-    def expression(self, i: int, end: int) -> None:
+    def expression(self, i: int, end: int) -> Step:
         """A call, a function, an assignment or a bracketed one of these; nothing else is looked into."""
         if i >= end:
             return
         if self.t[i][1] == "(" and self.close.get(i) == end - 1:
             if len(self.split(i + 1, end - 1, ",")) == 1:
-                self.expression(i + 1, end - 1)
+                yield self.expression(i + 1, end - 1)
             return
         k = i
         while k < end:
             if self.t[k][0] == "mark" and self.t[k][1] in _ASSIGN:
-                self.expression(i, k), self.expression(k + 1, end)
+                yield self.expression(i, k)
+                yield self.expression(k + 1, end)
                 return
             if self.t[k][1] == "=>":
                 return
@@ -234,16 +257,16 @@ class _Walk:
             while k < end and self.at(k, end) != "(":
                 k += 1
             if k < end and self.at(self.close[k] + 1, end) == "{" and self.close[self.close[k] + 1] == end - 1:
-                self.statements(self.close[k] + 2, end - 1)
+                yield self.statements(self.close[k] + 2, end - 1)
                 return
         last = self.open.get(end - 1)
         if last is not None and last > i and self.t[last][1] == "(" and self.plain(i, last):
             args = [x for x in self.split(last + 1, end - 1, ",") if x[0] < x[1]]
             if last == i + 1 and self.t[i][:2] == ("name", "require") and args and args[0][1] - args[0][0] == 1 and self.t[args[0][0]][0] == "text":
                 self.out.append(self.t[args[0][0]][1][1:-1])
-            self.expression(i, last)
+            yield self.expression(i, last)
             for a, b in args:
-                self.expression(a, b)
+                yield self.expression(a, b)
 
     def plain(self, i: int, end: int) -> bool:
         """Whether the tokens are one operand: names, literals, member access, calls and brackets side by side."""
@@ -269,9 +292,9 @@ def strict_references(text: str | None) -> list[str] | None:
     """Specifiers in the order of the walk; null if the text is no plain script."""
     try:
         walk = _Walk(text or "")
-        walk.statements(0, len(walk.t))
+        _finished(walk.statements(0, len(walk.t)))
         return walk.out
-    except (_Unreadable, RecursionError, KeyError, IndexError):
+    except (_Unreadable, KeyError, IndexError):
         return None
 
 

@@ -24,12 +24,23 @@ def unblocked(queue: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def statistics(pending_hosts: DataFrame, blocked: DataFrame) -> DataFrame:
-    """One row: hosts known, available and blocked, the blocked ones' list and the pending count of each host."""
+    """One row for reports: hosts known, available and blocked, the blocked ones' list and the pending count of each host.
+
+    It holds a value for each host; `by_host` gives the same as rows.
+    """
     free = available(pending_hosts, blocked)
     counts = pending_hosts.agg(F.count("*").alias("total_domains"), F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("pending") > 0, F.struct("host", "pending"))))).alias("domain_job_counts"))
     return counts.join(free.agg(F.count("*").alias("available_domains"))).join(blocked.agg(F.count("*").alias("blocked_domains"), F.sort_array(F.collect_list("host")).alias("blocked_domain_list")))
 
 
+def by_host(pending_hosts: DataFrame, blocked: DataFrame) -> DataFrame:
+    """What `statistics` tells, as a row for each known or blocked host: pending, blocked and available."""
+    held = blocked.select("host", F.lit(True).alias("held")).distinct()
+    rows = pending_hosts.join(held, "host", "full")
+    work, held = F.coalesce("pending", F.lit(0).cast("bigint")), F.coalesce("held", F.lit(False))
+    return rows.select("host", work.alias("pending"), held.alias("blocked"), ((work > 0) & ~held).alias("available"))
+
+
 def assigned(pending_hosts: DataFrame, blocked: DataFrame, worker: int) -> DataFrame:
     """The host that a worker takes: of all in order, the first free one with work from place `worker mod n` on.
 
@@ -46,7 +57,7 @@ def assigned(pending_hosts: DataFrame, blocked: DataFrame, worker: int) -> DataF
 
 def random_host(pending_hosts: DataFrame, blocked: DataFrame, seed: int) -> DataFrame:
     """Some free host with work, the same for the same seed."""
-    return available(pending_hosts, blocked).orderBy(F.xxhash64(F.lit(seed), "host"), "host").limit(1)
+    return available(pending_hosts, blocked).orderBy(F.md5(F.concat_ws(" ", F.lit(seed), "host")), "host").limit(1)
 
 
 def redistributed(queue: DataFrame, blocked: DataFrame, quantum: int | None = QUANTUM) -> DataFrame:

@@ -42,6 +42,16 @@ z AS (
 ),
 t AS (SELECT host, max(rn) AS rn FROM z GROUP BY host),
 h AS (SELECT z.* FROM z JOIN t USING (host, rn))"""
+# The requests that are let through, with the rate and moment each finds, and the tokens that its host's bucket then has.
+_BUCKET = f"""{_REPLAY}, a AS (SELECT host, rn, refused, eff, lag(rate) OVER (PARTITION BY host ORDER BY rn) AS rate FROM z),
+y AS (SELECT * FROM a WHERE rn > 0 AND NOT refused),
+k AS (
+  SELECT host, 0::BIGINT AS rn, NULL::BOOLEAN AS refused, NULL::BIGINT AS wait, 2.0::DOUBLE AS tokens, NULL::BIGINT AS latest FROM t
+  UNION ALL
+  SELECT host, rn, refused, CASE WHEN filled >= 1 THEN 0 ELSE CAST(trunc((1 - filled) / rate * 1000000) AS BIGINT) END, filled - 1, greatest(eff, coalesce(latest, eff))
+  FROM (SELECT y.host, y.rn, y.refused, y.rate, y.eff, k.latest, least(2.0::DOUBLE, k.tokens + CASE WHEN k.latest IS NULL THEN 0 ELSE greatest(0, y.eff - k.latest) END / 1000000.0::DOUBLE * y.rate) AS filled
+        FROM k JOIN y ON y.host = k.host AND y.rn = k.rn + 1)
+)"""
 _BLOCKED = f"b AS (SELECT host, max(nxt) AS next_attempt_us FROM z JOIN e USING (host, rn) WHERE e.us <= {MOMENT_US} GROUP BY host HAVING max(nxt) >= {MOMENT_US})"
 _PENDING = "q AS (SELECT host, sum(CASE job_type WHEN 'FetchJS' THEN 1 ELSE -1 END)::BIGINT AS pending FROM l GROUP BY host)"
 _QUEUE = f"{_REPLAY}, {_BLOCKED}, {_PENDING}"
@@ -106,6 +116,13 @@ SELECT job_id, coalesce(hit, last)::BIGINT AS attempts, coalesce(st, 429)::BIGIN
     "queue_without_blocked": f"WITH RECURSIVE {_QUEUE} SELECT event_id, host FROM l WHERE host NOT IN (SELECT host FROM b)",
     "queue_stats": f"""WITH RECURSIVE {_QUEUE} SELECT (SELECT count(*) FROM q) AS total_domains, (SELECT count(*) FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b)) AS available_domains,
 (SELECT count(*) FROM b) AS blocked_domains, coalesce((SELECT string_agg(host, ',' ORDER BY host) FROM b), '') AS blocked_list, (SELECT count(*) FROM q WHERE pending > 0) AS n_counts, (SELECT coalesce(sum(pending), 0)::BIGINT FROM q WHERE pending > 0) AS sum_counts""",
+    "queue_hosts": f"""WITH RECURSIVE {_QUEUE} SELECT coalesce(q.host, b.host) AS host, coalesce(pending, 0)::BIGINT AS pending, b.host IS NOT NULL AS blocked, coalesce(pending, 0) > 0 AND b.host IS NULL AS available
+FROM q FULL JOIN b ON q.host = b.host""",
+    "random_host_choice": f"WITH RECURSIVE {_QUEUE} SELECT host, pending FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b) ORDER BY md5('7 ' || host), host LIMIT 1",
+    "request_count": f"WITH {_L} SELECT count(*) AS n FROM l WHERE job_type IN ('FetchJS', 'VerifyPackage')",
+    "token_bucket": f"WITH RECURSIVE {_BUCKET} SELECT host, count(*) FILTER (wait > 0) AS held, sum(wait)::BIGINT AS wait_us FROM k WHERE NOT refused GROUP BY host",
+    "stream_throughput": """WITH s AS (SELECT (epoch_us(ts) // 2000000 * 2)::BIGINT AS tick, count(*) AS n FROM events GROUP BY 1),
+g AS (SELECT unnest(range((SELECT min(tick) FROM s), (SELECT max(tick) FROM s) + 2, 2)) AS tick) SELECT tick, coalesce(n, 0)::BIGINT AS n, coalesce(n, 0) / 2.0::DOUBLE AS rps FROM g LEFT JOIN s USING (tick)""",
     "redistribute_quantum": f"""WITH RECURSIVE {_REPLAY} SELECT event_id, host AS from_host, NULL::VARCHAR AS host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY event_id) AS i FROM l WHERE host IN (SELECT host FROM h WHERE retry > 5)) WHERE i <= 5""",
     "redistribute_all": f"WITH RECURSIVE {_REPLAY} SELECT host AS from_host, count(*) AS n FROM l WHERE host IN (SELECT host FROM h WHERE retry > 5) GROUP BY host",
     "host_affinity": f"""WITH RECURSIVE {_QUEUE}, p AS (SELECT *, row_number() OVER (ORDER BY host) - 1 AS place, count(*) OVER () AS n FROM q),

@@ -275,6 +275,11 @@ def queue_stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("total_domains", "available_domains", "blocked_domains", F.array_join("blocked_domain_list", ",").alias("blocked_list"), F.size("domain_job_counts").cast("bigint").alias("n_counts"), total.alias("sum_counts"))
 
 
+@_query
+def queue_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    return queueing.by_host(_pending(spark, sf), _blocked(spark, sf))
+
+
 @_query
 def redistribute_quantum(spark: SparkSession, sf: str) -> DataFrame:
     queue = fetch_log(spark, sf).select("event_id", "host", F.col("event_id").alias("ord"))
@@ -294,6 +299,11 @@ def host_affinity(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@_query
+def request_count(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.requests(fetch_log(spark, sf))
+
+
 @_query
 def rps_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.ticks(fetch_log(spark, sf).select(measures.micros(F.col("ts")).alias("us")))
@@ -404,6 +414,8 @@ def stream_rate_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    """Ticks that the watermark closed; the last ones stay open until later events."""
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    return _streamed(spark, rows, streams.throughput, "append", ("ts",))
+    """All ticks from the first to the last event: each batch puts out the ticks that it changed, the last one's count holds."""
+    rows = table(spark, sf, "events").select(F.timestamp_micros(measures.micros(F.col("ts"))).alias("ts"))
+    got = _streamed(spark, rows, streams.throughput, "update", ("ts",))
+    seen = got.groupBy(F.unix_seconds("tick").alias("tick")).agg(F.max("n").alias("n"))
+    return metrics.with_idle(seen)

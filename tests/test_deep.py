@@ -67,3 +67,10 @@ def test_strict_mode_is_linear():
     began = time.perf_counter()
     assert strict_references("f(1);" * 200_000 + "require('end')") == ["end"]
     assert time.perf_counter() - began < 60
+
+
+def test_nesting_of_any_depth_is_read_alike():
+    n = 20_000
+    assert strict_references("{" * n + "require('aa');" + "}" * n) == ["aa"]
+    assert strict_references("f(" * n + "require('aa')" + ")" * n) == ["aa"]
+    assert strict_references("if (x) y(); else " * n + "require('aa')") == ["aa"]
