@@ -67,8 +67,11 @@ CHUNK_DOCS = 32_767
 PART_TOKENS = 1_000_000
 #: Spark's own limit for the buckets of a table; beyond it parts share buckets.
 MOST_BUCKETS = 100_000
-#: Words whose hashes a task keeps; it begins anew beyond.
-MOST_SEEN = 200_000
+#: Bytes of texts that are split into words at once (a longer text by itself), and words that are hashed at once.
+BLOCK_BYTES = 1 << 21
+BLOCK_WORDS = 1 << 16
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 SEED = 77
 #: The end token's hash; no word is empty, so none has it by its text.
 END = xxhash.xxh3_64_intdigest(b"")
@@ -86,21 +89,6 @@ def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _hashed(text: str | None, seen: dict[bytes, int]) -> list[int]:
-    out = []
-    for w in tokens(text):
-        h = seen.get(w)
-        if h is None:
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    out.append(END)
-    return out
-
-
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,6 +97,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_IN_WORD = np.array([bool(bytes([i]).strip()) for i in range(256)])
+#: The bytes of a block that a word of so many more bytes has.
+_KEPT_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _word_hashes(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places of a text that goes on for eight bytes after the last.
+
+    Eight bytes after eight are mixed in, all words at once; words of equal length up to eight bytes never share a hash.
+    """
+    out = _mixed(length.astype(np.uint64) * _STEP)
+    open_still = np.flatnonzero(length <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        open_still = open_still[length[open_still] > at]
+        if not len(open_still):
+            break
+        block = text[(start[open_still] + at)[:, None] + np.arange(8)].view("<u8")[:, 0]
+        block &= _KEPT_BYTES[np.minimum(length[open_still] - at, 8)]
+        out[open_still] = _mixed(_mixed((out[open_still] ^ block) * _STEP) * _STEP)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + length[i]].tobytes())
+    return out
+
+
+def _hashed(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words, lower-cased from A to Z, and the end token."""
+    sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    block = np.maximum.accumulate((np.cumsum(sizes) - sizes) // BLOCK_BYTES)
+    for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1) if texts else []:
+        raw = _LOWER[np.frombuffer(b"\n".join(texts[i] or b"" for i in own) + b"\n" * 9, np.uint8)]
+        inside = _IN_WORD[raw].astype(np.int8)
+        edges = np.flatnonzero(np.diff(inside, prepend=np.int8(0)))
+        start, length = edges[::2], edges[1::2] - edges[::2]
+        words = np.concatenate([np.empty(0, np.uint64), *[_word_hashes(raw, start[i : i + BLOCK_WORDS], length[i : i + BLOCK_WORDS]) for i in range(0, len(start), BLOCK_WORDS)]])
+        upto = np.searchsorted(start, np.cumsum(sizes[own]))
+        ends = upto + np.arange(len(own))
+        out = np.full(len(words) + len(own), END, np.uint64)
+        out[np.delete(np.arange(len(out)), ends)] = words
+        yield from np.split(out, ends[:-1] + 1)
+
+
 def _contexts(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The hash of the word before each, in texts of these sizes; before the first stands the end token."""
     start = np.zeros(len(words), bool)
@@ -142,9 +172,8 @@ def _heavy(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each batch of training rows: all tokens (context null), and contexts (word null) and dishes that make up `share` of them."""
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            lists = [_hashed(t, seen) for t in batch.column(0).to_pylist()]
-            h = np.fromiter((x for y in lists for x in y), np.uint64, sum(map(len, lists)))
+            lists = list(_hashed(batch.column(0).cast(pa.binary()).to_pylist()))
+            h = np.concatenate([np.empty(0, np.uint64), *lists])
             least = max(2.0, share * len(h))
             # Every word is a context once for each time that it is a token.
             words, counts = np.unique(h, return_counts=True)
@@ -171,10 +200,9 @@ def _dealt(split: Split, parts: int):
         train: list[bool] = []
         found: list[np.ndarray] = []
         held = 0
-        seen: dict[bytes, int] = {}
 
         def full() -> pa.RecordBatch:
-            nonlocal made, ids, train, found, held, seen
+            nonlocal made, ids, train, found, held
             chunk = base | made
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             word = np.concatenate(found)
@@ -195,14 +223,12 @@ def _dealt(split: Split, parts: int):
                 rows.append((p, chunk, None, _pack(contexts), _pack(steps), _pack(words), _pack(of.astype(np.uint32)), _pack(doc[o])))
             made += 1
             ids, train, found, held = [], [], [], 0
-            if len(seen) > MOST_SEEN:
-                seen = {}
             columns = list(zip(*rows, strict=True))
             return pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=names)
 
         for batch in batches:
-            for doc_id, text, learns in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                h = np.array(_hashed(text, seen), np.uint64)
+            hashes = _hashed(batch.column(1).cast(pa.binary()).to_pylist())
+            for doc_id, h, learns in zip(batch.column(0).to_pylist(), hashes, batch.column(2).to_pylist(), strict=True):
                 ids.append(doc_id), train.append(bool(learns)), found.append(h)
                 held += len(h)
                 if held >= CHUNK_TOKENS or len(found) >= CHUNK_DOCS:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -649,3 +650,21 @@ def test_pipeline_stages_on_odd_rows(spark, edge, empty):
             assert none.columns == some.columns == edge.columns
         ids = {r.doc_id for r in some.select("doc_id").collect()}
         assert ids == {"quality_rules": {7, 8, 11}, "near_dedup": {r[0] for r in EDGE} - {5, 8}}.get(name, {r[0] for r in EDGE})
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 21])
+def test_words_are_hashed_as_plain_splitting_finds_them(monkeypatch, block):
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", block)
+    monkeypatch.setattr(pitman_yor, "BLOCK_WORDS", max(1, block % 1000))
+    rng = random.Random(block)
+    texts = [None, b"", b"x" * 63 + b" " + b"X" * 64 + b" " + b"x" * 65 + b" " + b"y" * 9_000, b"Q" * 200 + b"\tq" + b"q" * 199]
+    texts += [bytes(rng.choice(b"aB \n\t\x0b\x0c\r\x00\x1c\x85\xa0\xe9") for _ in range(rng.choice([0, 1, 5, 300]))) for _ in range(60)]
+    hash_of, word_of = {}, {}
+    got = list(pitman_yor._hashed(texts))
+    assert len(got) == len(texts)
+    for text, hashes in zip(texts, got, strict=True):
+        words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", text or b"")]
+        assert len(hashes) == len(words) + 1 and hashes[-1] == pitman_yor.END
+        for w, h in zip(words, hashes.tolist(), strict=False):
+            assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
+    assert list(pitman_yor._hashed([])) == []
