@@ -168,11 +168,23 @@ def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
+def _chunks(lists: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The lists in chunks of about CHUNK_TOKENS tokens, but for longer lists."""
+    held, n = [], 0
+    for x in lists:
+        if held and n + len(x) > CHUNK_TOKENS:
+            yield held
+            held, n = [], 0
+        held.append(x)
+        n += len(x)
+    if held:
+        yield held
+
+
 def _heavy(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch of training rows: all tokens (context null), and contexts (word null) and dishes that make up `share` of them."""
-        for batch in batches:
-            lists = list(_hashed(batch.column(0).cast(pa.binary()).to_pylist()))
+        """Of each chunk of training rows: all tokens (context null), and contexts (word null) and dishes that make up `share` of them."""
+        for lists in (x for batch in batches for x in _chunks(_hashed(batch.column(0).cast(pa.binary()).to_pylist()))):
             h = np.concatenate([np.empty(0, np.uint64), *lists])
             least = max(2.0, share * len(h))
             # Every word is a context once for each time that it is a token.
@@ -205,13 +217,16 @@ def _dealt(split: Split, parts: int):
             nonlocal made, ids, train, found, held
             chunk = base | made
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            word = np.concatenate(found)
-            doc = np.repeat(np.arange(len(found)) << 1 | np.array(train, np.int64), sizes).astype(np.uint16)
+            word, found = np.concatenate(found), []
+            doc = np.repeat((np.arange(len(sizes)) << 1 | np.array(train, np.int64)).astype(np.uint16), sizes)
             context = _contexts(word, sizes)
             key = _dish_keys(word, context)
             spread = np.where(np.isin(context, split.contexts), key, _mixed(context))
-            spread = np.where(np.isin(key, split.dishes), _mixed(key + np.array(chunk, np.uint64) * _STEP), spread)
-            part = (spread % np.uint64(parts)).astype(np.int64)
+            hot = np.flatnonzero(np.isin(key, split.dishes))
+            spread[hot] = _mixed(key[hot] + np.array(chunk, np.uint64) * _STEP)
+            spread %= np.uint64(parts)
+            part = spread.view(np.int64)
+            del key
             order = np.lexsort([word, context, part])  # stable, so documents stay in order
             occurring, first = np.unique(part[order], return_index=True)
             rows = [(-1 - chunk, chunk, _pack(np.array([NO_ID if x is None else x for x in ids], np.int64)), *[None] * 5)]
@@ -702,7 +717,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     found = texts.where("train").select("text").mapInArrow(_heavy(share), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
     found = stage_table(found, "heavy-candidates")
     total = (found.where("context is null").agg(F.sum("n")).first()[0]) or 0
-    # A word of that share over all has it in some batch; what is counted may miss batches, never words.
+    # A word of that share over all has it in some chunk; what is counted may miss chunks, never words.
     often = found.where(F.col("context").isNotNull() & (F.col("n") >= share * total)).select("context", "word").collect()
     contexts = {r[0] for r in often if r[1] is None}
     split = _split([r for r in often if r[0] in contexts])
