@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -166,6 +167,82 @@ def test_quality_scores(spark):
     assert sum(a == b for a, b in held) >= 0.99 * len(held)
 
 
+def plain_statistics(text):
+    """The classifier's statistics of a text, counted by patterns."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, size = max(1, len(words)), max(1, len(raw))
+
+    def times(pattern):
+        return len(re.findall(pattern, raw))
+
+    upper, marks = times(rb"[A-Z]"), sum(c in string.punctuation.encode() for c in raw)
+    return [
+        math.log(1 + len(raw)),
+        math.log(1 + len(words)),
+        min(20, (size - times(b" ")) / n),
+        upper / max(1, times(rb"[A-Za-z]")),
+        times(rb"[0-9]") / size,
+        min(1, marks / n / 4),
+        min(2, times(rb"[#*$%&|<>]") / n),
+        min(2, times(b"!") / n),
+        len(set(words)) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        1 - len(set(lines)) / max(1, len(lines)),
+        math.log(1 + n / max(1, len(lines))),
+        times(rb"[\x80-\xff]") / size,
+        min(1, times(rb"[,.]") / n),
+        0 if words else 1,
+    ]
+
+
+def test_quality_scores_are_those_of_a_plain_fit(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(documents(spark, sf))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    tune = F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(4)) == 0
+    aside = {r.doc_id: r.tune for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tune.alias("tune")).collect()}
+    learned = [i for i in texts if i in labels and rest(i, 5)]
+    x = {i: plain_statistics(t) for i, t in texts.items()}
+
+    fitted = np.array([x[i] for i in learned if not aside[i]])
+    mean, scale = fitted.mean(axis=0), np.maximum(fitted.std(axis=0), 0.05)
+    rng = np.random.default_rng(quality_classifier.SEED)
+    size = quality_classifier.FEATURES
+    waves, shift = rng.normal(0, math.sqrt(2 * quality_classifier.GAMMA), (len(mean), size)), rng.uniform(0, 2 * math.pi, size)
+
+    def features(rows):
+        bent = 2 * np.tanh((np.array(rows) - mean) / scale / 2)
+        return np.array([np.append(math.sqrt(2 / size) * np.cos(r @ waves + shift), 1) for r in bent])
+
+    # Ridge regression as least squares over all rows and one more for each weight.
+    z = features(fitted)
+    target = np.array([labels[i] for i in learned if not aside[i]] + [0] * (size + 1))
+    weights = np.linalg.lstsq(np.vstack([z, math.sqrt(quality_classifier.RIDGE) * np.eye(size + 1)]), target, rcond=None)[0]
+    raw = dict(zip(x, np.clip(features(list(x.values())) @ weights, -0.5, 1.5), strict=True))
+
+    # The isotonic fit by its min-max formula, over the same bins.
+    bins = collections.defaultdict(list)
+    for i in learned:
+        if aside[i]:
+            bins[min(quality_classifier.BINS - 1, int((raw[i] + 0.5) / 2 * quality_classifier.BINS))].append((raw[i], labels[i]))
+    cells = [bins[b] for b in sorted(bins)]
+
+    def rate(a, b):
+        ys = [y for cell in cells[a : b + 1] for _, y in cell]
+        return sum(ys) / len(ys)
+
+    level = [max(min(rate(a, b) for b in range(k, len(cells))) for a in range(k + 1)) for k in range(len(cells))]
+    blocks = [[v for cell, at in zip(cells, level, strict=True) if at == one for v in cell] for one in sorted(set(level))]
+    knots = [sum(r for r, _ in b) / len(b) for b in blocks]
+    rates = np.maximum.accumulate([(sum(y for _, y in b) + 0.5) / (len(b) + 1) for b in blocks])
+
+    got = {r.doc_id: r.score for r in QUERIES["op3_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(texts) and len(blocks) > 1
+    for i, r in raw.items():
+        assert abs(got[i] - np.clip(0.99 * np.interp(r, knots, rates) + 0.01 * (r + 0.5) / 2, 0, 1)) < 1e-4
+
+
 def test_quality_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality_classifier.score(edge, none).collect()} == {0.5}
