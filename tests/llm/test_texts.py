@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,53 @@ def test_character_models_are_distributions(spark):
             assert total <= 1 + 1e-9
 
 
+class PlainModel:
+    """Interpolated Kneser-Ney over the characters of words, straight from its definition."""
+
+    def __init__(self, words, order, discount):
+        self.d, padded = discount, [f" {w} " for w in words]
+        grams = [w[i : i + order] for w in padded for i in range(len(w) - order + 1)]
+        self.levels = {order: collections.Counter(grams)}
+        for m in range(order - 1, 0, -1):
+            # One for each different character before a gram, and all that stand at the beginning of words.
+            before = collections.Counter(g[1:] for g in self.levels[m + 1])
+            self.levels[m] = before + collections.Counter(w[:m] for w in padded if m > 1 and len(w) >= m)
+        self.size = len(self.levels[1]) + 1
+
+    def probability(self, context, char):
+        same = [n for g, n in self.levels[len(context) + 1].items() if g[:-1] == context]
+        lower = self.probability(context[1:], char) if context else 1 / self.size
+        if not same:
+            return lower
+        n = self.levels[len(context) + 1][context + char]
+        return max(n - self.d, 0) / sum(same) + self.d * len(same) / sum(same) * lower
+
+    def entropy(self, words, order):
+        padded = [f" {w} " for w in words]
+        logs = [math.log(self.probability(w[max(0, i - order + 1) : i], w[i])) for w in padded for i in range(1, len(w))]
+        return -sum(logs) / len(logs)
+
+
+def test_languages_are_those_of_plain_models(spark):
+    rng = random.Random(3)
+    order, discount = language_id.ORDER, language_id.DISCOUNT
+    learned = {lang: ["".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(60)] for lang, letters in (("aa", "abcde"), ("bb", "abcdxyé"), ("cc", "eeeéxst"))}
+    rows = []
+    for lang, words in learned.items():
+        counts = collections.Counter(words)
+        sample = pa.table({"word": list(counts), "n": list(counts.values())})
+        rows += language_id._learned((pa.scalar(lang),), sample).to_pylist()
+    models = language_id._assembled(rows)
+    plain = {lang: PlainModel(words, order, discount) for lang, words in learned.items()}
+    texts = [" ".join("".join(rng.choices("abcdexyéstq", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    found, _, _ = models.entropies(texts)
+    want = np.array([[plain[lang].entropy(t.split(), order) for lang in models.languages] for t in texts])
+    assert np.abs(found - want).max() < 1e-4
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table(spark, [(i, t, None, None) for i, t in enumerate(texts)]), models).collect()}
+    clear = [i for i in range(len(texts)) if np.diff(np.sort(want[i]))[0] > 1e-3]
+    assert len(clear) > 50 and all(got[i] == models.languages[want[i].argmin()] for i in clear)
+
+
 # Language model
 
 
