@@ -5,6 +5,12 @@ that single out documents labelled as bad, prunes each on rows held out for
 that, and removes what it covers before the next. The result is an ordered list
 of readable rules, applied as one conditional expression.
 
+The form of the list is bounded by parameters: at most MAX_RULES rules of
+MAX_CONDITIONS conditions, thresholds between BINS quantiles of all labelled
+rows. A rule needs MIN_SUPPORT bad rows, and MIN_PRECISION on the rows held out.
+So a kind of bad document that is rarer than one labelled row in BINS is told
+apart only where a single threshold above the last quantile parts it from the rest.
+
 All steps are DataFrame operations. What reaches the driver is a histogram of
 BINS bins a statistic for each condition grown: its size does not depend on the
 number of rows. Statistics are computed once for each document, inside the row.
