@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, language_id, mixing, near_duplicates, packing, pitman_yor, quality_classifier, quality_rules, suffix_dedup, url_rules
+from claimlens.llm import fingerprints, importance, language_id, lexical_search, mixing, near_duplicates, packing, pitman_yor, quality_classifier, quality_rules, suffix_dedup, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -62,6 +62,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(read(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read(spark, sf_dir, "benchmark"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -73,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_importance": op12_importance,
 }
 
 _OP4 = r"""
@@ -129,4 +140,65 @@ WITH RECURSIVE s AS (
 SELECT doc_id, size, source_size, target, times, (size * times)::BIGINT AS taken FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_rules": _OP4, "op8_mixing": _OP8}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY ALL
+), n AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL
+), a AS (
+  SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM n
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT N FROM a) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p GROUP BY ALL
+), m AS (
+  SELECT doc_id, 100 - 50 + ((50 * n * (SELECT N FROM a)) // (SELECT L FROM a)) AS m FROM n
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM b JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+_OP12 = rf"""
+WITH c AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS tab
+), t AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM t
+), k AS (
+  SELECT side, id, feature, count(*)::BIGINT AS n FROM f GROUP BY ALL
+), h AS (
+  SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM k)
+), q AS (
+  SELECT feature, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)),
+                                  lambda r, y: xor(r >> 8, tab[(xor(r, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, c
+), g AS (
+  SELECT side, id, bucket, n FROM k JOIN q USING (feature)
+), z AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM g GROUP BY ALL
+), e AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM z) + 10000) / ((s + 1) * ((SELECT sum(t) FROM z) + 10000)))) AS BIGINT) AS gain FROM z
+), v AS (
+  SELECT id AS doc_id, sum(n)::BIGINT AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM g JOIN e USING (bucket) WHERE side = 0 GROUP BY ALL
+), u AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(len(w), 0) AS words,
+         ('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h
+  FROM (SELECT id AS doc_id, w FROM t WHERE side = 0) LEFT JOIN v USING (doc_id)
+), y AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM u
+), o AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM y WHERE words >= 20
+)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM o) THEN place END AS rank FROM y LEFT JOIN o USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_url_rules": _OP4, "op8_mixing": _OP8, "op11_lexical_search": _OP11, "op12_importance": _OP12}

@@ -35,11 +35,11 @@ def drop_staged(spark: SparkSession, since: int, until: int) -> None:
     _STAGED[since:until] = [""] * (until - since)
 
 
-def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None, options: dict | None = None) -> DataFrame:
     """Write df once to the shared folder and return the table: later reads need no earlier shuffle or executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**options or {})
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
