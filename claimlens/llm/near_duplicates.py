@@ -9,15 +9,20 @@ pairs need their full sets.
 No step pairs all members of a bucket. First each member meets the least node of
 its bucket; as nodes are numbered at random, a group of near copies has the same
 one in most bands, so that a node has few links. Where buckets then still hold
-several components, each member meets a node that its bucket draws, if that is
-of another component. At last, where buckets hold several components even so,
-the nodes outside the largest meet the others in blocks, so that no link between
-components is lost to the choice of centres; a block returns a spanning forest,
-never all of its links. All links are confirmed on full sets. Links inside a
-component need no test, as they change nothing.
-
-Parameters give a pair of similarity 0.8 a chance of 5e-8 to share no bucket,
-and of about 1e-6 to be dropped by the sketches (they pass five standard
+several components with pairs that have not met, each member meets a node that
+its bucket draws, if that is of another component. Where buckets hold several
+components even so, their members meet inside the bucket on sketches alone, in
+tiles of nodes of like size; only components with a pair of like sketches go on,
+and form clusters. Nodes outside a cluster's largest component then meet the
+others on full sets, in blocks, so that no link between components is lost to the
+choice of centres; a block returns a spanning forest, never all of its links. All
+links are confirmed on full sets. Links inside a component need no test, as they
+change nothing. Pages that share a template, but too little to be linked, so cost
+a sketch for each bucket, and never send a set.
+
+Parameters give a pair of similarity 0.8 a chance of 8e-6 to share no bucket (one
+of 0.85 1.4e-9), a pair of similarity 1/3 one of 1 % to share any, and a pair of 0.8
+one of about 1e-6 to be dropped by the sketches (they pass five standard
 deviations below the threshold).
 
 Defined cases: a null or empty text has no shingles and is linked with nothing;
@@ -30,7 +35,8 @@ kept then; an empty table gives an empty result; other columns are ignored or, i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +47,12 @@ from pyspark.sql import functions as F
 from claimlens.llm.components import components
 from claimlens.llm.tables import BROADCAST_IDS, restrict, stage_table
 
-BANDS = 32
-BAND_ROWS = 4
+BANDS = 64
+BAND_ROWS = 8
 SAMPLES = 512
 SKETCH_WORDS = 16
+#: Nodes of a tile whose sketches meet.
+TILE_NODES = 8_192
 #: Weight of a block of nodes whose full sets meet another block's: their shingles, and NODE_WEIGHT for each node.
 BLOCK_WEIGHT = 100_000
 NODE_WEIGHT = 100
@@ -52,6 +60,8 @@ NODE_WEIGHT = 100
 PERCENT = 80
 #: Least similarity that a sketch has to show.
 SKETCH_LEAST = 0.69
+#: Whether sketches that differ in so many bits, of sets of such sizes, may be those of linked sets; for columns and arrays alike.
+Close = Callable[[Any, Any, Any], Any]
 _SEED = 7_919
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,16 +150,20 @@ def _sketch_odds() -> int:
     return int(n / 2 * (1 - np.exp(-4 * SAMPLES * (1 - SKETCH_LEAST) / n)))
 
 
+def _sketches_close(bits: Any, na: Any, nb: Any) -> Any:
+    return bits <= _sketch_odds()
+
+
 def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, close: Close = _sketches_close) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sizes and sketches, and then full shingle sets, are similar enough."""
     for c in "ab":
         signed = classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         pairs = pairs.join(signed, c)
-    pairs = pairs.where(_similar_size("na", "nb")).where(_differing("sa", "sb") <= _sketch_odds()).select("a", "b")
+    pairs = pairs.where(_similar_size("na", "nb")).where(close(_differing("sa", "sb"), F.col("na"), F.col("nb"))).select("a", "b")
     both = stage_table(pairs, "near-candidates")
     for c in "ab":
         both = both.join(sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
@@ -171,28 +185,106 @@ def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _unsure(members: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Members (node, bucket, c, low) of the buckets that hold several components c, the least being low; None without any."""
-    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("c"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket", "low")
-    unsure = stage_table(placed.join(split, "bucket"), "open-members")
+    """Members (node, bucket, lead, tested, c) of the buckets with pairs of several components c that have not met; None without any."""
+    placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "bucket", "lead", "tested", F.coalesce("component", "node").alias("c"))
+    rest = placed.where(~F.col("tested")).groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("lead").alias("led"))
+    unsure = stage_table(placed.join(rest.where("low < high and led").select("bucket"), "bucket"), "open-members")
     return unsure if unsure.limit(1).count() else None
 
 
-def _crossing(percent: int, odds: int):
+def _tiles(unsure: DataFrame, classes: DataFrame) -> DataFrame:
+    """The unsure members with their sketches, dealt to tiles in which all pairs of a bucket that need a test meet.
+
+    A node stands in its bucket's tile of its own size band and visits the one
+    below, as sets of linked nodes are like in size. Large tiles are cut in parts
+    that meet two by two.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / PERCENT + 1e-4))).cast("int")
+    rows = unsure.join(classes.select("node", "n", "sketch"), "node").withColumn("band", band)
+    stands = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("visits")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("visits"))))
+    rows = rows.withColumn("at", stands).select("bucket", "at.tile", "at.visits", "node", "c", "n", "lead", "sketch")
+    sizes = rows.groupBy("bucket", "tile").agg(F.count("*").alias("size"), F.count(F.when(~F.col("visits"), 1)).alias("own")).where("own > 0 and size > 1")
+    parts = F.ceil(F.col("size") / TILE_NODES).cast("int")
+    rows = rows.join(sizes.select("bucket", "tile", parts.alias("parts")), ["bucket", "tile"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = F.xxhash64("bucket", "tile", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.select(place.alias("place"), (F.col("part") == F.col("other")).alias("inside"), "part", "visits", "c", "n", "lead", "sketch")
+
+
+def _alike(table: pa.Table, close: Close) -> tuple[list[int], list[int]]:
+    """Of a tile: pairs of components that hold a pair of nodes of like size and sketch, as a forest."""
+    label, of = np.unique(np.asarray(table.column("c")), return_inverse=True)
+    if len(label) < 2:
+        return [], []
+    n, part = np.asarray(table.column("n")), np.asarray(table.column("part"))
+    inside, visits, lead = (np.asarray(table.column(c)) for c in ("inside", "visits", "lead"))
+    sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(n), -1).view(np.uint64)
+    a, b, root = [], [], of.copy()
+    for i in np.flatnonzero(of != np.bincount(of).argmax()):
+        near = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (lead | lead[i]) & ~(visits & visits[i]) & (inside[i] | (part != part[i])))
+        near = near[close(np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64), n[near], n[i])]
+        for other in np.unique(root[near]):
+            a.append(int(label[of[i]]))
+            b.append(int(label[of[near[root[near] == other][0]]]))
+            root[root == other] = root[i]
+    return a, b
+
+
+def _alike_in_runs(close: Close):
+    """Tiles come sorted, so that a tile is a run of rows; only the last run of a batch waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        names = ["a", "b"]
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            place = np.asarray(table.column("place"))
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+            a: list[int] = []
+            b: list[int] = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                found = _alike(table.slice(x, y - x), close) if y - x > 1 else ([], [])
+                a += found[0]
+                b += found[1]
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.asarray(batch.column(0))
+            last = int(np.flatnonzero(place == place[-1])[0])
+            if last or (waiting and waiting[-1].column(0)[-1].as_py() != place[0]):
+                yield pairs(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield pairs(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _clusters(unsure: DataFrame, classes: DataFrame, close: Close) -> DataFrame:
+    """(c, cluster): components that hang together by pairs of a bucket whose sketches are alike."""
+    tiles = _tiles(unsure, classes).repartition("place").sortWithinPartitions("place")
+    alike = stage_table(tiles.mapInArrow(_alike_in_runs(close), "a long, b long").distinct(), "alike")
+    return components(alike).select(F.col("id").alias("c"), F.col("component").alias("cluster"))
+
+
+def _crossing(percent: int, close: Close):
     """Between a block of outsiders and a block of nodes: links on full sets that join two components, never more than components."""
 
     def run(table: pa.Table) -> pa.Table:
         outside = np.asarray(table.column("outside"))
         ids, n = (np.asarray(table.column(c)) for c in ("node", "n"))
         of = np.unique(np.asarray(table.column("c")), return_inverse=True)[1]
-        sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(ids), SKETCH_WORDS).view(np.uint64)
+        sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(ids), -1).view(np.uint64)
         sets = table.column("s").combine_chunks()
         bounds, values = np.asarray(sets.offsets), np.asarray(sets.values).view(np.uint64)
         rest = np.flatnonzero(~outside)
         a, b = [], []
         for i in np.flatnonzero(outside):
             near = rest[(of[rest] != of[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            near = near[np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1) <= odds]
+            near = near[close(np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64), n[near], n[i])]
             if not len(near):
                 continue
             own = values[bounds[i] : bounds[i + 1]]
@@ -210,14 +302,14 @@ def _crossing(percent: int, odds: int):
     return run
 
 
-def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that the centres did not tell, between components that share a bucket.
+def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame, close: Close = _sketches_close) -> DataFrame:
+    """Links that the centres did not tell, between components that share a bucket and have like sketches there.
 
-    Components whose buckets hang together form a cluster. Its largest component
-    is the core; the others' nodes are outsiders, who meet the whole cluster on
-    full sets, in blocks of BLOCK_WEIGHT on either side.
+    A cluster's largest component is the core; the others' nodes are outsiders,
+    who meet the whole cluster on full sets, in blocks of BLOCK_WEIGHT on either
+    side.
     """
-    clusters = components(unsure.where("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("c"), F.col("component").alias("cluster"))
+    clusters = _clusters(unsure, classes, close)
     inside = unsure.select("node", "c").distinct().join(clusters, "c").join(classes.select("node", "n", "sketch"), "node")
     inside = stage_table(inside, "clusters")
     parts = inside.groupBy("cluster", "c").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("n"))
@@ -235,7 +327,7 @@ def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame) -> Dat
         return out.select("cluster", "node", "c", "n", "sketch", F.lit(outside).alias("outside"), x, y)
 
     met = row(True).unionByName(row(False)).join(sets, "node")
-    found = met.groupBy("cluster", "x", "y").applyInArrow(_crossing(PERCENT, _sketch_odds()), "a long, b long")
+    found = met.groupBy("cluster", "x", "y").applyInArrow(_crossing(PERCENT, close), "a long, b long")
     return stage_table(found, "near-late")
 
 
@@ -246,30 +338,42 @@ def _classes(rows: DataFrame) -> DataFrame:
     return stage_table(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, text_hash, n, component and kept for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = stage_table(texts.mapInArrow(_signatures(width), "doc_id long, text_hash long, n long, set_hash binary, sketch array<long>, bands array<long>"), "signatures")
-    classes = _classes(rows)
+ROWS = "doc_id long, text_hash long, n long, set_hash binary, sketch array<long>, bands array<long>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def _all_lead(classes: DataFrame) -> DataFrame:
+    return classes.select("node", F.explode("bands").alias("bucket"), F.lit(True).alias("lead"))
 
-    members = classes.where("rep is not null").select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
+
+def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close) -> DataFrame:
+    """doc_id, text_hash, n, component and kept for every row.
+
+    rows are the signed texts, staged. members_of gives (node, bucket, lead) of
+    classes: two nodes may be linked if they share a bucket and one leads there.
+    """
+    classes = _classes(rows)
+    members = members_of(classes.where("rep is not null"))
+    buckets = members.groupBy("bucket").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("centre"), F.count("*").alias("size")).where("size > 1 and centre is not null").drop("size")
     members = stage_table(members.join(buckets, "bucket"), "bucket-members")
     open_nodes = stage_table(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "set_hash"), "open-nodes")
     sets = restrict(texts, open_nodes.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
     sets = stage_table(sets.join(open_nodes.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
 
     star = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    labels = _relabelled(_linked(star, classes, sets), None)
-    unsure = _unsure(members, labels)
+    labels = _relabelled(_linked(star, classes, sets, close), None)
+    unsure = _unsure(members.withColumn("tested", F.col("node") == F.col("centre")), labels)
     if unsure is not None:
-        drawn = unsure.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", "x.node", "x.c")
-        drawn = drawn.withColumnsRenamed({"node": "b", "c": "cb"})
-        pairs = unsure.join(drawn, "bucket").where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        labels = _relabelled(_linked(pairs, classes, sets), labels)
-        unsure = _unsure(unsure.select("node", "bucket"), labels)
+        drawn = unsure.where("lead and not tested").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", F.col("x.node").alias("b"), F.col("x.c").alias("cb"))
+        met = unsure.join(drawn, "bucket")
+        pairs = met.where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
+        labels = _relabelled(_linked(pairs, classes, sets, close), labels)
+        unsure = _unsure(met.select("node", "bucket", "lead", (F.col("tested") | (F.col("node") == F.col("b"))).alias("tested")), labels)
     if unsure is not None:
-        labels = _relabelled(_left_between(unsure, classes, sets), labels)
+        labels = _relabelled(_left_between(unsure, classes, sets, close), labels)
 
     labels = labels.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node")
     least = labels.groupBy("component").agg(F.min("rep").alias("least"))
@@ -280,6 +384,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
     return rows.join(known, "set_hash", "left").select("doc_id", "text_hash", "n", component.alias("component_id"), kept.alias("kept"))
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    texts = _texts(docs, id_col, text_col)
+    return labelled(texts, stage_table(texts.mapInArrow(_signatures(width), ROWS), "signatures"), width)
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest of its component) for every row."""
     return _labelled(docs, id_col, text_col, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import fingerprints, importance, language_id, lexical_search, mixing, near_duplicates, packing, pitman_yor, quality_classifier, quality_rules, suffix_dedup, url_rules
+from claimlens.llm import fingerprints, importance, language_id, lexical_search, mixing, near_duplicates, ngram_join, packing, pitman_yor, quality_classifier, quality_rules, suffix_dedup, url_rules
 from claimlens.llm.tables import read, stage_table
 
 
@@ -71,6 +71,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
     "op12_importance": op12_importance,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _OP4 = r"""
@@ -201,4 +206,26 @@ WITH c AS (
 SELECT y.doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM o) THEN place END AS rank FROM y LEFT JOIN o USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_rules": _OP4, "op8_mixing": _OP8, "op11_lexical_search": _OP11, "op12_importance": _OP12}
+_OP13 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM t WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY ALL
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*)::BIGINT AS inter FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * inter >= 80 * (p.n + q.n - inter)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b
+), m AS (
+  SELECT id, min(low) AS component_id FROM r GROUP BY ALL
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_ngram_join": _OP13, "op4_url_rules": _OP4, "op8_mixing": _OP8, "op11_lexical_search": _OP11, "op12_importance": _OP12}
