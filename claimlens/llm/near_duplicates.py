@@ -36,6 +36,7 @@ kept then; an empty table gives an empty result; other columns are ignored or, i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -355,6 +356,7 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
     rows are the signed texts, staged. members_of gives (node, bucket, lead) of
     classes: two nodes may be linked if they share a bucket and one leads there.
     """
+    link = _linked if close is _sketches_close else partial(_linked, close=close)
     classes = _classes(rows)
     members = members_of(classes.where("rep is not null"))
     buckets = members.groupBy("bucket").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("centre"), F.count("*").alias("size")).where("size > 1 and centre is not null").drop("size")
@@ -364,13 +366,13 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
     sets = stage_table(sets.join(open_nodes.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
 
     star = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    labels = _relabelled(_linked(star, classes, sets, close), None)
+    labels = _relabelled(link(star, classes, sets), None)
     unsure = _unsure(members.withColumn("tested", F.col("node") == F.col("centre")), labels)
     if unsure is not None:
         drawn = unsure.where("lead and not tested").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", F.col("x.node").alias("b"), F.col("x.c").alias("cb"))
         met = unsure.join(drawn, "bucket")
         pairs = met.where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        labels = _relabelled(_linked(pairs, classes, sets, close), labels)
+        labels = _relabelled(link(pairs, classes, sets), labels)
         unsure = _unsure(met.select("node", "bucket", "lead", (F.col("tested") | (F.col("node") == F.col("b"))).alias("tested")), labels)
     if unsure is not None:
         labels = _relabelled(_left_between(unsure, classes, sets, close), labels)

@@ -251,7 +251,7 @@ def test_bitmaps_bound_the_overlap():
 
 def test_links_of_the_join_without_centres_are_found(spark, monkeypatch):
     linked = near_duplicates._linked
-    monkeypatch.setattr(near_duplicates, "_linked", lambda pairs, *rest: linked(pairs.limit(0), *rest))
+    monkeypatch.setattr(near_duplicates, "_linked", lambda pairs, *rest, **close: linked(pairs.limit(0), *rest, **close))
     monkeypatch.setattr(near_duplicates, "TILE_NODES", 7)
     monkeypatch.setattr(near_duplicates, "BLOCK_WEIGHT", 5000)
     rows = near_copies(40, 3)
