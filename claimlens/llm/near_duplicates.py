@@ -6,8 +6,8 @@ and all are folded into a bitmap of parities (an odd sketch). The population
 count of the XOR of two sketches estimates a high similarity closely, so few
 pairs need their full sets.
 
-No step pairs all members of a bucket. First each member meets the least node of
-its bucket; as nodes are numbered at random, a group of near copies has the same
+No step pairs all members of a bucket. First, in one of four buckets, each member
+meets the least node of its bucket; as nodes are numbered at random, a group of near copies has the same
 one in most bands, so that a node has few links. Where buckets then still hold
 several components with pairs that have not met, each member meets a node that
 its bucket draws, if that is of another component. Where buckets hold several
@@ -52,6 +52,8 @@ BANDS = 64
 BAND_ROWS = 8
 SAMPLES = 512
 SKETCH_WORDS = 16
+#: One in so many buckets, drawn by their hashes, has a centre that all meet; the rest wait for the components of these.
+STAR_PART = 4
 #: Nodes of a tile whose sketches meet.
 TILE_NODES = 8_192
 #: Weight of a block of nodes whose full sets meet another block's: their shingles, and NODE_WEIGHT for each node.
@@ -365,9 +367,11 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
     sets = restrict(texts, open_nodes.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
     sets = stage_table(sets.join(open_nodes.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
 
-    star = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    # Groups of near copies hang together after a part of their buckets; the others then have little left to test.
+    starred = F.pmod("bucket", F.lit(STAR_PART)) == 0
+    star = members.where(starred & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     labels = _relabelled(link(star, classes, sets), None)
-    unsure = _unsure(members.withColumn("tested", F.col("node") == F.col("centre")), labels)
+    unsure = _unsure(members.withColumn("tested", starred & (F.col("node") == F.col("centre"))), labels)
     if unsure is not None:
         drawn = unsure.where("lead and not tested").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", F.col("x.node").alias("b"), F.col("x.c").alias("cb"))
         met = unsure.join(drawn, "bucket")
