@@ -161,15 +161,20 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, close: Close = _sketches_close) -> DataFrame:
+#: The full sets (node, s) of the nodes of a table (node), staged.
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sizes and sketches, and then full shingle sets, are similar enough."""
     for c in "ab":
         signed = classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         pairs = pairs.join(signed, c)
     pairs = pairs.where(_similar_size("na", "nb")).where(close(_differing("sa", "sb"), F.col("na"), F.col("nb"))).select("a", "b")
     both = stage_table(pairs, "near-candidates")
+    full = sets(both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))))
     for c in "ab":
-        both = both.join(sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
+        both = both.join(full.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
     counted = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
     return counted.where(100 * F.col("inter") >= PERCENT * (F.col("total") - F.col("inter"))).select("a", "b")
 
@@ -305,7 +310,7 @@ def _crossing(percent: int, close: Close):
     return run
 
 
-def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame, close: Close = _sketches_close) -> DataFrame:
+def _left_between(unsure: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close) -> DataFrame:
     """Links that the centres did not tell, between components that share a bucket and have like sketches there.
 
     A cluster's largest component is the core; the others' nodes are outsiders,
@@ -329,7 +334,7 @@ def _left_between(unsure: DataFrame, classes: DataFrame, sets: DataFrame, close:
         out = known.where(F.col("c") != F.col("core")) if outside else known
         return out.select("cluster", "node", "c", "n", "sketch", F.lit(outside).alias("outside"), x, y)
 
-    met = row(True).unionByName(row(False)).join(sets, "node")
+    met = row(True).unionByName(row(False)).join(sets(inside.select("node")), "node")
     found = met.groupBy("cluster", "x", "y").applyInArrow(_crossing(PERCENT, close), "a long, b long")
     return stage_table(found, "near-late")
 
@@ -352,6 +357,36 @@ def _all_lead(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode("bands").alias("bucket"), F.lit(True).alias("lead"))
 
 
+#: Added to the nodes that do not lead in a bucket, so that those that do come first.
+_FOLLOWS = 1 << 62
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (bucket, key) those of buckets with several nodes whose first one leads: it is the centre.
+
+    Batches are passed through as they come; of the last bucket its first row is
+    held back while it is the only one.
+    """
+    held = None  # bucket and key of the last bucket's first row, and whether it still waits
+    for batch in batches:
+        bucket, key = (np.asarray(batch.column(c)) for c in (0, 1))
+        if not len(bucket):
+            continue
+        if held is not None and held[2]:
+            bucket, key = np.append(np.int64(held[0]), bucket), np.append(np.int64(held[1]), key)
+        first = np.append(True, bucket[1:] != bucket[:-1])
+        goes_on = held is not None and not held[2] and held[0] == bucket[0]
+        at = np.flatnonzero(first)
+        length = np.diff(np.append(at, len(bucket)))
+        centre, several = key[at], length > 1
+        if goes_on:
+            centre[0], several[0] = held[1], True
+        held = (int(bucket[-1]), int(centre[-1]), not several[-1])
+        chosen = np.repeat(several & (centre < _FOLLOWS), length)
+        node = key[chosen]
+        yield pa.record_batch([pa.array(node & (_FOLLOWS - 1)), pa.array(bucket[chosen]), pa.array(node < _FOLLOWS), pa.array(np.repeat(centre, length)[chosen])], names=["node", "bucket", "lead", "centre"])
+
+
 def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close) -> DataFrame:
     """doc_id, text_hash, n, component and kept for every row.
 
@@ -360,12 +395,15 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
     """
     link = _linked if close is _sketches_close else partial(_linked, close=close)
     classes = _classes(rows)
-    members = members_of(classes.where("rep is not null"))
-    buckets = members.groupBy("bucket").agg(F.min(F.when(F.col("lead"), F.col("node"))).alias("centre"), F.count("*").alias("size")).where("size > 1 and centre is not null").drop("size")
-    members = stage_table(members.join(buckets, "bucket"), "bucket-members")
-    open_nodes = stage_table(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "set_hash"), "open-nodes")
-    sets = restrict(texts, open_nodes.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
-    sets = stage_table(sets.join(open_nodes.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
+    # One shuffle of two numbers a member: most buckets have a single one, and end there.
+    key = F.when(F.col("lead"), F.col("node")).otherwise(F.col("node") + F.lit(_FOLLOWS))
+    dealt = members_of(classes.where("rep is not null")).select("bucket", key.alias("key")).repartition("bucket").sortWithinPartitions("bucket", "key")
+    members = stage_table(dealt.mapInArrow(_shared, "node long, bucket long, lead boolean, centre long"), "bucket-members")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        chosen = stage_table(classes.join(nodes.distinct(), "node", "left_semi").select("node", "rep", "set_hash"), "open-nodes")
+        found = restrict(texts, chosen.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
+        return stage_table(found.join(chosen.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
 
     # Groups of near copies hang together after a part of their buckets; the others then have little left to test.
     starred = F.pmod("bucket", F.lit(STAR_PART)) == 0
