@@ -11,18 +11,21 @@ from claimlens.operators.deep import deep_references
 MODES = ("regex", "deep_full", "deep_strict")
 
 
-def raw_references(files: DataFrame, mode: str = "regex", body: str = "body") -> DataFrame:
-    """The columns of files but the body, with pos and name of every specifier found."""
+def raw_references(files: DataFrame, mode: str = "regex", body: str = "body", outer: bool = False) -> DataFrame:
+    """The columns of files but the body, with pos and name of every specifier found; with outer, nulls for a file without any."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     kept = [c for c in files.columns if c != body]
     found = regex_references(F.col(body)) if mode == "regex" else deep_references(F.col(body), strict=mode == "deep_strict")
-    return files.select(*kept, F.posexplode(found).alias("pos", "name"))
+    return files.select(*kept, (F.posexplode_outer if outer else F.posexplode)(found).alias("pos", "name"))
 
 
-def references(files: DataFrame, mode: str = "regex", body: str = "body") -> DataFrame:
-    """As raw_references, with the normalised package of each name that is worth a lookup."""
-    rows = raw_references(files, mode, body).withColumn("package", normalized(F.col("name")))
+def references(files: DataFrame, mode: str = "regex", body: str = "body", outer: bool = False) -> DataFrame:
+    """As raw_references, with the normalised package of each name that is worth a lookup.
+
+    With outer, Spark reads files without names up to this filter too, instead of dropping them below a watermark.
+    """
+    rows = raw_references(files, mode, body, outer).withColumn("package", normalized(F.col("name")))
     return rows.where(worth_checking(F.col("package")))
 
 

@@ -147,3 +147,5 @@ CASE WHEN r_regionkey > 2 THEN 'Using ' || (r_regionkey - 2) || ' Live Proxies'
     "stream_dedupe": f"WITH {_FIRST} SELECT package FROM o",
 }
 SQL["stream_rate_state"] = SQL["rate_state_final"]
+SQL["stream_first_source"] = SQL["first_source_per_package"]
+SQL["stream_findings"] = SQL["flagship_unclaimed"]

@@ -17,6 +17,7 @@ from claimlens.plans.views import registry as registry_log
 from claimlens.session import shared_dir
 from claimlens.sources import files as bodies
 from claimlens.sources import network, sinks, targets
+from claimlens.streaming import findings as stream_findings_
 from claimlens.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,15 +391,15 @@ def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("page_id", strict_or_null(F.col("body")).isNull().alias("fallback"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """What the stream puts out; with an order, batches of bounded size follow it."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if order:
-        streams.write_in_order(rows, f"{path}/in", *order)
-    else:
-        rows.write.parquet(f"{path}/in")
-    stream = streams.file_stream(spark, f"{path}/in", rows.schema, max_files=streams.MAX_FILES if order else None)
-    return streams.drain(make(stream), f"{path}/out", f"{path}/state", mode)
+def _stream_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str, order: tuple[str, ...] = (), last: DataFrame | None = None) -> DataFrame:
+    """What the stream puts out; with an order, parts of bounded size follow each other in it."""
+    path = _stream_dir(spark)
+    parts = streams.in_order(rows, f"{path}/ordered", *order) if order else [rows]
+    return streams.replay(parts, path, make, mode, last)
 
 
 @_query
@@ -414,8 +415,35 @@ def stream_rate_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    """All ticks from the first to the last event: each batch puts out the ticks that it changed, the last one's count holds."""
-    rows = table(spark, sf, "events").select(F.timestamp_micros(measures.micros(F.col("ts"))).alias("ts"))
-    got = _streamed(spark, rows, streams.throughput, "update", ("ts",))
-    seen = got.groupBy(F.unix_seconds("tick").alias("tick")).agg(F.max("n").alias("n"))
-    return metrics.with_idle(seen)
+    """All ticks from the first to the last event, as the stream alone puts them out: timers give the idle ones."""
+    rows = table(spark, sf, "events").select("event_id", F.timestamp_micros(measures.micros(F.col("ts"))).alias("ts"))
+    # The beat closes the last event's tick, and none after it.
+    end = rows.agg(F.max(F.floor(F.unix_micros("ts") / 2_000_000))).first()[0]
+    last = streams.beat(rows, F.timestamp_seconds(F.lit(2 * ((end or 0) + 1) + 10)))
+    return _streamed(spark, rows, streams.ticks, "append", ("ts",), last)
+
+
+@_query
+def stream_first_source(spark: SparkSession, sf: str) -> DataFrame:
+    def make(s: DataFrame) -> DataFrame:
+        return stream_findings_.first_sources_so_far(refs.references(s).withColumnRenamed("url", "source_url"))
+
+    # Later pages come first, so that most sources are corrected.
+    pages = files(spark, sf).withColumn("turn", -F.col("page_id"))
+    return stream_findings_.latest_sources(_streamed(spark, pages, make, "update", ("turn",)))
+
+
+@_query
+def stream_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of two streams: files and answers come in over fifty minutes, and answers are waited for an hour."""
+    start = F.timestamp_seconds(F.lit(1_704_067_200))
+    pages = files(spark, sf).withColumn("ts", start + F.make_dt_interval(secs=F.col("page_id") % 3000))
+    answers = registry_log(spark, sf).withColumn("ts", start + F.make_dt_interval(secs=F.pmod(F.crc32("package"), F.lit(3000))))
+    path = _stream_dir(spark)
+    opened = []
+    for rows, name, values in ((pages, "files", {}), (answers, "answers", {"package": "no name"})):
+        rows.write.parquet(f"{path}/{name}")
+        streams.beat(rows, start + F.make_dt_interval(hours=F.lit(3)), **values).write.parquet(f"{path}/{name}-beat")
+        opened.append(streams.file_stream(spark, f"{path}/{name}*", rows.schema))
+    found = streams.drain(stream_findings_.findings(*opened), f"{path}/out", f"{path}/state")
+    return stream_findings_.latest_sources(found).withColumnRenamed("package", "unclaimed_package")
