@@ -6,11 +6,11 @@ and all are folded into a bitmap of parities (an odd sketch). The population
 count of the XOR of two sketches estimates a high similarity closely, so few
 pairs need their full sets.
 
-No step pairs all members of a bucket. First, in one of four buckets, each member
-meets the least node of its bucket; as nodes are numbered at random, a group of near copies has the same
-one in most bands, so that a node has few links. Where buckets then still hold
-several components with pairs that have not met, each member meets a node that
-its bucket draws, if that is of another component. Where buckets hold several
+No step pairs all members of a bucket. First, in some of the buckets, each member
+meets the least node of its bucket; as nodes are numbered at random, a group of
+near copies has the same one in most bands, so that a node has few links. Where
+buckets then still hold several components with pairs that have not met, each
+member meets a node that its bucket draws, if that is of another component. Where buckets hold several
 components even so, their members meet inside the bucket on sketches alone, in
 tiles of nodes of like size; only components with a pair of like sketches go on,
 and form clusters. Nodes outside a cluster's largest component then meet the
@@ -46,19 +46,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.components import components
-from claimlens.llm.tables import BROADCAST_IDS, restrict, stage_table
+from claimlens.llm.tables import BROADCAST_IDS, stage_table
 
 BANDS = 64
 BAND_ROWS = 8
 SAMPLES = 512
 SKETCH_WORDS = 16
-#: One in so many buckets, drawn by their hashes, has a centre that all meet; the rest wait for the components of these.
-STAR_PART = 4
 #: Nodes of a tile whose sketches meet.
 TILE_NODES = 8_192
 #: Weight of a block of nodes whose full sets meet another block's: their shingles, and NODE_WEIGHT for each node.
 BLOCK_WEIGHT = 100_000
 NODE_WEIGHT = 100
+#: Nodes (40 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_NODES = 500_000
 #: The similarity from which documents are linked, in hundredths.
 PERCENT = 80
 #: Least similarity that a sketch has to show.
@@ -134,11 +134,14 @@ def _signatures(width: int):
 
 
 def _sets(width: int):
+    """Full sets of the nodes' own texts; an id may have other texts too, which have another hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width) for t in batch.column(0).to_pylist()]
-            hashes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
-            yield pa.record_batch([hashes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["set_hash", "s"])
+            found = [shingles(t, width) for t in batch.column(2).to_pylist()]
+            own = np.array([xxhash.xxh3_128_digest(s.tobytes()) == h for s, h in zip(found, batch.column(1).to_pylist(), strict=True)], bool)
+            nodes = batch.column(0).filter(pa.array(own))
+            yield pa.record_batch([nodes, pa.array([s.view(np.int64) for s, x in zip(found, own, strict=True) if x], pa.list_(pa.int64()))], names=["node", "s"])
 
     return run
 
@@ -387,11 +390,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node & (_FOLLOWS - 1)), pa.array(bucket[chosen]), pa.array(node < _FOLLOWS), pa.array(np.repeat(centre, length)[chosen])], names=["node", "bucket", "lead", "centre"])
 
 
-def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close) -> DataFrame:
+def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close, star_part: int = 4) -> DataFrame:
     """doc_id, text_hash, n, component and kept for every row.
 
     rows are the signed texts, staged. members_of gives (node, bucket, lead) of
     classes: two nodes may be linked if they share a bucket and one leads there.
+    One in star_part buckets, drawn by their hashes, has a centre that all meet;
+    the rest wait for the components of these.
     """
     link = _linked if close is _sketches_close else partial(_linked, close=close)
     classes = _classes(rows)
@@ -402,11 +407,12 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
 
     def sets(nodes: DataFrame) -> DataFrame:
         chosen = stage_table(classes.join(nodes.distinct(), "node", "left_semi").select("node", "rep", "set_hash"), "open-nodes")
-        found = restrict(texts, chosen.select("rep").distinct(), "doc_id").select("text").mapInArrow(_sets(width), "set_hash binary, s array<long>").dropDuplicates(["set_hash"])
-        return stage_table(found.join(chosen.select("node", "set_hash"), "set_hash").select("node", "s"), "near-sets")
+        chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
+        found = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("node", "set_hash", "text")
+        return stage_table(found.mapInArrow(_sets(width), "node long, s array<long>"), "near-sets")
 
     # Groups of near copies hang together after a part of their buckets; the others then have little left to test.
-    starred = F.pmod("bucket", F.lit(STAR_PART)) == 0
+    starred = F.pmod("bucket", F.lit(star_part)) == 0
     star = members.where(starred & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     labels = _relabelled(link(star, classes, sets), None)
     unsure = _unsure(members.withColumn("tested", starred & (F.col("node") == F.col("centre"))), labels)

@@ -43,6 +43,8 @@ SLOTS = 1 << 21
 PARTS = 64
 #: 64-bit words of a bitmap signature.
 BITMAP_WORDS = 32
+#: Sets begin with about a hundred shingles; one in so many is a bucket whose members all meet its centre first.
+STAR_PART = 16
 #: Shingles that are counted at once.
 _COUNTED = 1 << 20
 
@@ -132,5 +134,5 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles and component_id for every row."""
     texts = _texts(docs, id_col, text_col)
     rows = stage_table(texts.mapInArrow(_signed(width, slot_levels(texts, width)), ROWS), "join-signatures")
-    found = labelled(texts, rows, width, _members, bitmaps_close)
+    found = labelled(texts, rows, width, _members, bitmaps_close, star_part=STAR_PART)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
