@@ -10,18 +10,21 @@ number of times before it meets the maximum. So each host's rejections are found
 with partial results (six a partition at most), every event is placed between
 them by a join that AQE may split, and counts by segment are folded in the JVM:
 a host that holds a third of all events is a group of seven counters. The trace
-gives a row for each event in order and streams through sorted partitions.
+gives a row for each event: hosts' logs are cut into blocks, whose composed maps
+are scanned, so that blocks of one host are worked on side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.measures import BURST, CUT, EVICTION, FLOOR, INITIAL_RATE, MOST_BACKOFF, RAISE, backoff_seconds, cut, micros, raised
+from claimlens.session import stage
 
 REJECTED = 429
 SEGMENTS = EVICTION + 2
@@ -144,25 +147,142 @@ class HostReplay:
         return False, at, wait
 
 
+_OUT = "event_id long, host string, rate double, retry_counter int, effective_us long, wait_us long, rejected boolean, discarded boolean"
+
+
+def _most_rises(max_rate: float) -> int:
+    """More rises than this end at the maximum anyway, from any rate that stands before them."""
+    return int(max_rate / RAISE) + 2
+
+
+def _blocks(log: DataFrame) -> DataFrame:
+    """Placed events with `part`, the block that each stands in: ranges of (host, us, event_id), so that a busy host has many."""
+    order = ("host", "us", "event_id")
+    rows = placed(log).repartitionByRange(*order)
+    return stage(rows.withColumn("part", F.spark_partition_id()), "rate-blocks")
+
+
+def _entries(blocks: DataFrame) -> DataFrame:
+    """For each block of a host: rises before it in each segment, the latest moment before it, and whether the host goes on.
+
+    A rise is x -> min(x + 0.2, max), a cut x -> max(0.7 x, 0.1). Chains of such
+    clamped affine maps are composed by counting: a segment, the stretch between two
+    cuts, is a power of one rise, and at most six cuts take effect. So what a block
+    does is seven counts, blocks are scanned by adding them up, and the rate that
+    results is the same to the last bit as that of a replay. One row a block.
+    """
+    good = ~F.col("rejected") & (F.col("status") != REJECTED) & F.col("error").isNull()
+    let_through = F.when(~F.col("rejected"), F.col("effective_us"))
+    sums = blocks.groupBy("host", "part").agg(*[F.count(F.when(good & (F.col("segment") == i), 1)).alias(f"s{i}") for i in range(SEGMENTS)], F.max(let_through).alias("latest"), F.count("*").alias("n"))
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("host")
+    counts = [F.coalesce(F.sum(f"s{i}").over(before), F.lit(0)) for i in range(SEGMENTS)]
+    totals = [F.sum(f"s{i}").over(every) for i in range(SEGMENTS)]
+    return sums.select("host", "part", F.array(*counts).alias("before"), F.array(*totals).alias("totals"), F.max("latest").over(before).alias("latest_before"), F.count("*").over(every).alias("n_blocks"))
+
+
+def segment_rates(totals: list[int], max_rate: float) -> list[np.ndarray]:
+    """For each segment the rates after 0, 1, ... rises in it; a segment begins where the one before ends, cut."""
+    out, rate, most = [], INITIAL_RATE, _most_rises(max_rate)
+    for i, n in enumerate(totals):
+        rates = [rate if i == 0 else max(rate * CUT, FLOOR)]
+        for _ in range(min(int(n), most)):
+            rates.append(min(rates[-1] + RAISE, max_rate))
+        out.append(np.array(rates))
+        rate = rates[-1]
+    return out
+
+
+def _rated(rows: pa.Table, max_rate: float) -> dict[str, np.ndarray]:
+    """A block's events in order with the rates before and after each, from the counts that stand before the block."""
+    rows = rows.sort_by([("us", "ascending"), ("event_id", "ascending")])
+    segment, rejected = np.asarray(rows.column("segment")), np.asarray(rows.column("rejected"))
+    status = np.asarray(rows.column("status").combine_chunks().fill_null(-1))
+    answered = np.asarray(rows.column("error").combine_chunks().is_null())
+    # A row without status raises nothing, as it compares with nothing.
+    good = ~rejected & answered & (status != REJECTED) & (status != -1)
+    hit = ~rejected & answered & (status == REJECTED)
+    before = rows.column("before")[0].as_py()
+    rates = segment_rates(rows.column("totals")[0].as_py(), max_rate)
+    old, new = np.empty(len(segment)), np.empty(len(segment))
+    for i in np.unique(segment):
+        own = segment == i
+        done = before[i] + np.cumsum(good[own])
+        last = len(rates[i]) - 1
+        new[own] = rates[i][np.minimum(done, last)]
+        old[own] = rates[i][np.minimum(done - good[own], last)]
+        # The cut that ends a segment belongs to the event that makes it.
+        cut_here = own & hit
+        new[cut_here] = rates[i + 1][0] if i + 1 < len(rates) else np.maximum(old[cut_here] * CUT, FLOOR)
+    at = np.asarray(rows.column("effective_us"))
+    return {"rows": rows, "old": old, "new": new, "at": at, "hit": hit, "rejected": rejected, "segment": segment, "latest": rows.column("latest_before")[0].as_py()}
+
+
+def _bucket_steps(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What flows into the bucket before each request that is let through, and where those are."""
+    let = np.flatnonzero(~x["rejected"])
+    at = x["at"][let]
+    first = x["latest"]
+    latest = np.maximum.accumulate(np.append(at[:1] if first is None else [max(first, 0)], at))[:-1] if len(at) else at
+    return np.maximum(0, at - latest) / 1e6 * x["old"][let], let
+
+
+def _bucket_map(max_rate: float):
+    """Of a block: its bucket x -> x + flow, unless that would have met the brim; then `full`, what a full bucket ends with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _rated(table, max_rate)
+        flow, _ = _bucket_steps(x)
+        tokens, total, least = float(BURST), 0.0, math.inf
+        for c in flow.tolist():
+            tokens = min(float(BURST), tokens + c) - 1
+            total += c
+            least = min(least, BURST - total)  # a bucket with more than this meets the brim here
+            total -= 1
+        values = [table.column("host")[0].as_py(), table.column("part")[0].as_py(), total, least, tokens]
+        return pa.table([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["host", "part", "flow", "least", "full"])
+
+    return run
+
+
+def _traced(max_rate: float):
+    def run(table: pa.Table) -> pa.Table:
+        x = _rated(table, max_rate)
+        flow, let = _bucket_steps(x)
+        wait = np.zeros(len(x["at"]), np.int64)
+        tokens = table.column("tokens")[0].as_py()
+        held = []
+        for c, rate in zip(flow.tolist(), x["old"][let].tolist(), strict=True):
+            tokens = min(float(BURST), tokens + c)
+            held.append(0 if tokens >= 1 else int((1 - tokens) / rate * 1e6))
+            tokens -= 1
+        wait[let] = held
+        retries = np.minimum(x["segment"] + x["hit"], EVICTION + 1).astype(np.int32)
+        at = np.where(x["rejected"], np.asarray(x["rows"].column("us")), x["at"])
+        columns = (x["rows"].column("event_id"), x["rows"].column("host"), pa.array(x["new"]), pa.array(retries), pa.array(at), pa.array(wait), pa.array(x["rejected"]), pa.array(retries > EVICTION))
+        return pa.table(list(columns), names=["event_id", "host", "rate", "retry_counter", "effective_us", "wait_us", "rejected", "discarded"])
+
+    return run
+
+
 def rate_trace(log: DataFrame, max_rate: float = 30.0) -> DataFrame:
-    """Each event with the state after it and the token bucket's wait; hosts are replayed in sorted partitions, a row at a time."""
-    names = ["event_id", "host", "rate", "retry_counter", "effective_us", "wait_us", "rejected", "discarded"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, replay = None, None
-        for batch in batches:
-            out = []
-            for event, us, own, status, error in zip(*[batch.column(c).to_pylist() for c in ("event_id", "us", "host", "status", "error")], strict=True):
-                if replay is None or own != host:
-                    host, replay = own, HostReplay(max_rate)
-                refused, at, wait = replay.request(us, status, error)
-                out.append((event, own, replay.rate, replay.retries, at, wait, refused, replay.discarded))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    ordered = _events(log).repartition("host").sortWithinPartitions("host", "us", "event_id")
-    return ordered.mapInArrow(run, "event_id long, host string, rate double, retry_counter int, effective_us long, wait_us long, rejected boolean, discarded boolean")
+    """Each event with the state after it and the token bucket's wait.
+
+    A host's log is cut into blocks, which tasks work on side by side: what stands
+    before a block comes from a scan over the blocks' composed maps (see _entries;
+    a bucket's map is x -> min(x + flow, full), composed the same way). Rates are
+    those of a replay to the last bit, waits too unless a host's bucket is never full
+    over a whole block; then sums are taken in another order.
+    """
+    blocks = _blocks(log)
+    entries = stage(_entries(blocks), "rate-entries")
+    rows = blocks.join(entries, (blocks["host"].eqNullSafe(entries["host"])) & (blocks["part"] == entries["part"])).select(blocks["*"], "before", "totals", "latest_before", "n_blocks")
+    maps = rows.where("n_blocks > 1").groupBy("host", "part").applyInArrow(_bucket_map(max_rate), "host string, part int, flow double, least double, full double")
+    earlier = F.sort_array(F.collect_list(F.struct("part", "flow", "least", "full")).over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    fold = F.aggregate("earlier", F.lit(float(BURST)), lambda x, m: F.when(x > m["least"], m["full"]).otherwise(x + m["flow"]))
+    tokens = stage(maps.withColumn("earlier", earlier).select(F.col("host").alias("h"), F.col("part").alias("p"), fold.alias("tokens")), "rate-buckets")
+    known = rows.join(tokens, rows["host"].eqNullSafe(tokens["h"]) & (rows["part"] == tokens["p"]), "left").select(rows["*"], F.coalesce("tokens", F.lit(float(BURST))).alias("tokens"))
+    return known.groupBy("host", "part").applyInArrow(_traced(max_rate), _OUT)
 
 
 def retry_outcomes(log: DataFrame, attempts: int = 4) -> DataFrame:

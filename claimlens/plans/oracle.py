@@ -144,6 +144,10 @@ CASE WHEN r_regionkey > 2 THEN 'Using ' || (r_regionkey - 2) || ' Live Proxies'
     "refresh_needed": f"WITH RECURSIVE {_QUEUE} SELECT (SELECT count(*) FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b)) < (SELECT count(*) FROM q) // 3 AS refresh",
     "job_types": f"WITH {_L} SELECT c.code::BIGINT AS code, c.job_type, count(*) AS n FROM l JOIN (VALUES {', '.join(f'({i}, {_text(x)})' for i, x in enumerate(measures.JOB_TYPES))}) c(code, job_type) ON c.job_type = l.job_type GROUP BY 1, 2",
     "report_lines": f"WITH {_FINDINGS} SELECT 0::BIGINT AS ord, 'Found ' || count(*) || ' unclaimed dependencies:' AS line FROM g HAVING count(*) > 0 UNION ALL SELECT 1, '  [+] Package: ' || unclaimed_package || chr(10) || '      Source:  ' || source_url FROM g",
+    "listed_targets": """SELECT * FROM (SELECT 'd' || page_id % 7 || CASE page_id % 3 WHEN 0 THEN '/.hid/' WHEN 1 THEN '/_pages/' ELSE '/' END || CASE page_id % 2 WHEN 0 THEN '_' ELSE '.' END || page_id ||
+CASE page_id % 4 WHEN 0 THEN '.js' WHEN 1 THEN '.TS' WHEN 2 THEN '.jsx' ELSE '.d.ts' END AS target FROM pages) WHERE lower(target) LIKE '%.js' OR lower(target) LIKE '%.ts'""",
+    "report_file": f"""WITH {_FINDINGS} SELECT 'Found ' || count(*) || ' unclaimed dependencies:' AS line FROM g HAVING count(*) > 0
+UNION ALL SELECT '  [+] Package: ' || unclaimed_package FROM g UNION ALL SELECT '      Source:  ' || source_url FROM g""",
     "stream_dedupe": f"WITH {_FIRST} SELECT package FROM o",
 }
 SQL["stream_rate_state"] = SQL["rate_state_final"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from claimlens.plans.views import fetch_log, files, table
 from claimlens.plans.views import registry as registry_log
 from claimlens.session import shared_dir
 from claimlens.sources import files as bodies
-from claimlens.sources import network, sinks, targets
+from claimlens.sources import datasource, network, sinks, targets
 from claimlens.streaming import findings as stream_findings_
 from claimlens.streaming import streams
 
@@ -391,6 +392,40 @@ def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("page_id", strict_or_null(F.col("body")).isNull().alias("fallback"))
 
 
+def _touched(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes an empty file below root for each name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = datasource.opened(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store.create_dir(f"{top}/{name}".rpartition("/")[0])
+                store.open_output_stream(f"{top}/{name}").close()
+            yield batch
+
+    return run
+
+
+@_query
+def listed_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Script files of a folder tree with hidden and mixed-case names, which tasks make of the pages and list again."""
+    folder = F.concat(F.lit("d"), F.col("page_id") % 7, F.when(F.col("page_id") % 3 == 0, "/.hid/").when(F.col("page_id") % 3 == 1, "/_pages/").otherwise("/"))
+    name = F.concat(F.when(F.col("page_id") % 2 == 0, "_").otherwise("."), F.col("page_id"), F.element_at(F.array(*map(F.lit, (".js", ".TS", ".jsx", ".d.ts"))), (F.col("page_id") % 4 + 1).cast("int")))
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, sf, "pages").select(F.concat(folder, name).alias("name")).mapInArrow(_touched(root), "name string").write.format("noop").mode("overwrite").save()
+    datasource.make_folder(root)
+    found = datasource.folder_targets(spark, root)
+    return found.select(F.substring("target", len(datasource.opened(root)[1]) + 2, 1_000_000).alias("target"))
+
+
+@_query
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the one report file that tasks write of the findings."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}/report"
+    datasource.save_report(_findings(spark, sf), path, "text", verbose=True)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def _stream_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -37,3 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = tempfile.mkdtemp(prefix="claimlens-")
     spark.conf.set("spark.checkpoint.dir", where)
     return where
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the shared folder and return the table: what reads it needs no earlier shuffle or executor."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -182,3 +182,46 @@ def test_failed_lookups_are_no_findings(spark):
     assert {r.package: r.outcome for r in registry.outcomes(firsts, log).collect()} == {"a": "unclaimed", "b": "failed", "c": "failed", "d": "failed", "e": "claimed", "f": "unclaimed"}
     assert {r.unclaimed_package for r in registry.unclaimed(firsts, log.drop("error")).collect()} == {"a", "d", "f"}
     assert [r.package for r in registry.claimed(firsts, log).collect()] == ["e"]
+
+
+@pytest.fixture
+def many_blocks(spark):
+    """Small logs are cut into as many blocks as large ones."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def traced(rows, most):
+    out = {}
+    hosts = {}
+    for e, s, h, _, x in sorted(rows, key=lambda r: (r[1], r[0])):
+        host = hosts.setdefault(h, ratecontrol.HostReplay(most))
+        refused, at, wait = host.request(int((START - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000 + round(s * 1_000_000)), x, None)
+        out[e] = (h, host.rate, host.retries, at, wait, refused, host.discarded)
+    return out
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6), st.sampled_from([2.3, 30.0]), st.sampled_from([0.2, 1, 600]))
+def test_the_trace_of_blocks_is_the_replay(spark, many_blocks, seed, most, span):
+    rng = random.Random(seed)
+    share = rng.choice([0.0, 0.01, 0.3])
+    rows = [(i, round(rng.random() * span, 3) + (i // 100) * span, rng.choice("aaaab"), i, 429 if rng.random() < share else rng.choice([200, 404])) for i in range(rng.randrange(1, 400))]
+    got = {r.event_id: tuple(r)[1:] for r in ratecontrol.rate_trace(log(spark, rows), most).collect()}
+    want = traced(rows, most)
+    assert {e: (*x[:4], *x[5:]) for e, x in got.items()} == {e: (*x[:4], *x[5:]) for e, x in want.items()}
+    # A bucket that no block fills carries sums taken in another order.
+    assert all(abs(got[e][4] - want[e][4]) <= 1 for e in want)
+
+
+def test_one_busy_host_is_traced_by_many_tasks(spark, many_blocks):
+    rows = spark.range(200_000).select(F.col("id").alias("event_id"), (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 10)).alias("ts"), F.lit("a").alias("host"), F.lit(200).alias("status"))
+    blocks = ratecontrol._blocks(rows)
+    sizes = sorted(r["count"] for r in blocks.groupBy("part").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 1.5 * sizes[0]
+    got = ratecontrol.rate_trace(rows).agg(F.max("rate").alias("rate"), F.sum(F.col("wait_us")).alias("wait"), F.count("*").alias("n")).first()
+    replay = ratecontrol.HostReplay(30.0)
+    waits = sum(replay.request(100_000 * i, 200, None)[2] for i in range(2000))
+    assert (got.rate, got.wait, got.n) == (30.0, waits, 200_000)
