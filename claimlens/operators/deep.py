@@ -2,15 +2,17 @@
 
 `deep_full` reads comments, strings, templates and regular expressions as wholes,
 by one scanning pattern in the JVM, and yields the literals of require calls,
-dynamic imports and static imports and exports.
+dynamic imports and static imports and exports. Bodies that one pattern cannot scan
+(substitutions in templates, regular expressions after a bracket, brackets around a
+callee or an argument, escapes in a specifier) go through the lexer below.
 
 `deep_strict` keeps to the places that a walk over statements, calls, function
 bodies, let/const initialisers, assignments, if, for and return reaches. It is a
-small tokeniser and descent in Python over batches, and answers null where the
-text is no plain script (module syntax, or what it cannot read), for which the
-pattern of regex mode is used. The descent keeps its own stack, so that nesting
-of any depth is read alike. `deep_full` passes over what stands inside template
-literals.
+lexer and descent in Python over batches, and answers null where the text is no
+plain script (module syntax, or what it cannot read), for which the pattern of
+regex mode is used. Lexer and descent keep their own stacks, so that templates,
+brackets and statements of any depth are read alike. Specifiers are the values of
+their literals: escapes are decoded.
 """
 
 from __future__ import annotations
@@ -72,26 +74,121 @@ def _finished(step: Step) -> None:
             value = e.value
 
 
-def _tokens(text: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, whether a line ended before it)."""
-    out: list[tuple[str, str, bool]] = []
-    at, line = 0, False
-    while at < len(text):
-        before = out[-1] if out else ("mark", ";", False)
-        value = before[0] in ("name", "number", "text", "template", "regex") and before[1] not in ("return", "typeof", "case", "in", "of") or before[1] in (")", "]", "}")
-        m = _REGEX.match(text, at) if text[at] == "/" and not value else None
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+#: A bracket after these is a head: a regular expression may follow it.
+_HEADS = {"if", "while", "for", "with"}
+#: What stands before a block's brace; after the block a regular expression may follow.
+_BEFORE_BLOCK = {"", ";", "{", "}", ")", "=>", "else", "do", "try", "finally"}
+#: Names that are no operands.
+_OPERATORS = {"return", "typeof", "case", "in", "of", "delete", "void", "instanceof", "new", "do", "else", "await", "yield", "throw"}
+
+
+class _Lexer:
+    """Tokens of a script: a pushdown over brackets and templates, so that `${...}` nests to any depth.
+
+    A template is one token; with `inside`, the tokens of its substitutions stand
+    before it, each substitution closed by a semicolon.
+    """
+
+    def __init__(self, text: str, inside: bool = False):
+        self.text, self.inside = text, inside
+        self.out: list[tuple[str, str, bool]] = []
+        self.line = False  # whether a line has ended since the last token
+        self.brackets: list[bool] = []  # of each open one, whether it ends like a statement: a head or a block
+        self.templates: list[tuple[int, int, int, bool]] = []  # start, tokens and brackets before it, line
+        self.ended = True  # whether the last token ends like a statement
+
+    def tokens(self) -> list[tuple[str, str, bool]]:
+        at = 0
+        while at < len(self.text):
+            at = self._step(at)
+        if self.templates:
+            raise _Unreadable
+        return self.out
+
+    def _put(self, kind: str, text: str, ended: bool = False) -> None:
+        self.out.append((kind, text, self.line))
+        self.line, self.ended = False, ended
+
+    def _value(self) -> bool:
+        """Whether the last token is an operand, so that a slash after it divides."""
+        if not self.out:
+            return False
+        kind, x, _ = self.out[-1]
+        if kind == "mark":
+            return x == "]" or x in (")", "}") and not self.ended
+        return kind != "name" or x not in _OPERATORS
+
+    def _step(self, at: int) -> int:
+        c = self.text[at]
+        if c == "`":
+            self.templates.append((at, len(self.out), len(self.brackets), self.line))
+            return self._template(at + 1)
+        if c == "}" and self.templates and len(self.brackets) == self.templates[-1][2]:
+            if self.inside:
+                self._put("mark", ";")
+            return self._template(at + 1)
+        m = _REGEX.match(self.text, at) if c == "/" and not self._value() else None
         kind = "regex" if m else None
-        m = m or _TOKEN.match(text, at)
+        m = m or _TOKEN.match(self.text, at)
         if not m or (not kind and m.group() in "'\"`"):
             raise _Unreadable
-        kind = kind or m.lastgroup
+        kind, x = kind or m.lastgroup, m.group()
         if kind == "space":
-            line |= "\n" in m.group()
+            self.line |= "\n" in x
+        elif kind == "mark" and x in _PAIR:
+            before = self.out[-1][1] if self.out else ""
+            member = len(self.out) > 1 and self.out[-2][1] in (".", "?.")
+            self.brackets.append(before in _HEADS and not member if x == "(" else x == "{" and before in _BEFORE_BLOCK)
+            self._put(kind, x)
+        elif kind == "mark" and x in ")]}":
+            if not self.brackets:
+                raise _Unreadable
+            self._put(kind, x, self.brackets.pop())
         else:
-            out.append((kind, m.group(), line))
-            line = False
-        at = m.end()
-    return out
+            self._put(kind, x)
+        return m.end()
+
+    def _template(self, at: int) -> int:
+        """Past characters of a template, up to its end or into a substitution."""
+        end = _TEMPLATE.match(self.text, at).end()
+        if self.text.startswith("${", end):
+            return end + 2
+        if end >= len(self.text):
+            raise _Unreadable
+        start, n, _, self.line = self.templates.pop()
+        if not self.inside:
+            del self.out[n:]
+        self._put("template", self.text[start : end + 1])
+        return end + 1
+
+
+def _tokens(text: str, inside: bool = False) -> list[tuple[str, str, bool]]:
+    """(kind, text, whether a line ended before it)."""
+    return _Lexer(text, inside).tokens()
+
+
+_ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|[\s\S]))")
+_PLAIN = {"n": "\n", "t": "\t", "b": "\b", "v": "\v", "f": "\f", "r": "\r", "0": "\0", "\n": "", "\r": "", "\r\n": "", "\u2028": "", "\u2029": ""}
+
+
+def decoded(quoted: str) -> str:
+    """The value of a string literal without its quotes."""
+    if "\\" not in quoted:
+        return quoted
+
+    def one(m: re.Match) -> str:
+        if m[4] is None:
+            code = int(m[1] or m[2] or m[3], 16)
+            if code > 0x10FFFF:
+                raise _Unreadable
+            return chr(code)
+        if m[4] in "ux":
+            raise _Unreadable
+        return _PLAIN.get(m[4], m[4])
+
+    # Pairs of surrogates are one character.
+    return _ESCAPE.sub(one, quoted).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 class _Walk:
@@ -262,12 +359,19 @@ class _Walk:
         last = self.open.get(end - 1)
         if last is not None and last > i and self.t[last][1] == "(" and self.plain(i, last):
             args = [x for x in self.split(last + 1, end - 1, ",") if x[0] < x[1]]
-            if last == i + 1 and self.t[i][:2] == ("name", "require") and args and args[0][1] - args[0][0] == 1 and self.t[args[0][0]][0] == "text":
-                self.out.append(self.t[args[0][0]][1][1:-1])
+            callee, own = self.bare(i, last), self.bare(*args[0]) if args else range(0)
+            if len(callee) == len(own) == 1 and self.t[callee[0]][:2] == ("name", "require") and self.t[own[0]][0] == "text":
+                self.out.append(decoded(self.t[own[0]][1][1:-1]))
             yield self.expression(i, last)
             for a, b in args:
                 yield self.expression(a, b)
 
+    def bare(self, i: int, end: int) -> range:
+        """The tokens without the brackets that enclose all of them."""
+        while i < end and self.t[i][1] == "(" and self.close.get(i) == end - 1:
+            i, end = i + 1, end - 1
+        return range(i, end)
+
     def plain(self, i: int, end: int) -> bool:
         """Whether the tokens are one operand: names, literals, member access, calls and brackets side by side."""
         operand = False
@@ -308,5 +412,43 @@ def strict_or_null(body: Column) -> Column:
     return walked(body)
 
 
+def lexed_references(text: str | None) -> list[str] | None:
+    """As full_references by tokens, templates' substitutions too, with literals' values; null for what cannot be read."""
+    if text is None:
+        return None
+    try:
+        t = _tokens(text, inside=True)
+        out = []
+        for i, (kind, x, _) in enumerate(t):
+            if kind != "name" or x not in ("require", "import", "from") or i and t[i - 1][1] in (".", "?."):
+                continue
+            k, opened = i + 1, 0
+            left = i - 1
+            # Brackets around the callee.
+            while x == "require" and k < len(t) and left >= 0 and t[k][1] == ")" and t[left][1] == "(" and (left == 0 or t[left - 1][0] == "mark" and t[left - 1][1] not in (")", "]")):
+                k, left = k + 1, left - 1
+            while k < len(t) and t[k][:2] == ("mark", "("):
+                k, opened = k + 1, opened + 1
+            if k < len(t) and t[k][0] == "text" and (opened > 0 if x == "require" else opened == 0 or x == "import"):
+                out.append(decoded(t[k][1][1:-1]))
+        return out
+    except (_Unreadable, IndexError):
+        return None
+
+
+#: Bodies that one pattern cannot scan: substitutions, a slash after a bracket, brackets around a callee or argument, escapes in a specifier.
+_INTRICATE = r"\$\{|\)\s*+/(?![/*])|\(\s*+require\s*+\)|require\s*+\(\s*+\(|(?:require|import|from)[\s(]*+['\"][^'\"\n]*\\"
+
+
+def all_references(body: Column) -> Column:
+    """full_references with the values of literals; bodies that one pattern cannot scan go through the lexer."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def lexed(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lexed_references)
+
+    return F.coalesce(lexed(F.when(body.rlike(_INTRICATE), body)), full_references(body))
+
+
 def deep_references(body: Column, strict: bool = False) -> Column:
-    return F.coalesce(strict_or_null(body), regex_references(body)) if strict else full_references(body)
+    return F.coalesce(strict_or_null(body), regex_references(body)) if strict else all_references(body)

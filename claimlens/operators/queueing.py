@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.operators.ranks import numbered
+
 QUANTUM = 5
 
 
@@ -79,7 +81,11 @@ def fifo(queue: DataFrame) -> DataFrame:
     return queue.repartition("host").sortWithinPartitions("host", "ord")
 
 
-def round_robin(requests: DataFrame, proxies: DataFrame, seq: str = "seq") -> DataFrame:
-    """Requests with their proxy: the i-th (from 0) gets number i mod n. The number of proxies is a scalar."""
+def round_robin(requests: DataFrame, proxies: DataFrame, seq: str = "seq", dense: bool = False) -> DataFrame:
+    """Requests with their proxy: the i-th (from 0) gets number i mod n. The number of proxies is a scalar.
+
+    seq gives the order; only if it is dense by itself it may stand for i, else requests are numbered first.
+    """
     n = max(1, proxies.count())
-    return requests.join(proxies, F.pmod(F.col(seq), F.lit(n)) == F.col("idx")).drop("idx")
+    rows = requests if dense else numbered(requests, "__i", seq)
+    return rows.join(proxies, F.pmod(F.col(seq if dense else "__i"), F.lit(n)) == F.col("idx")).drop("idx", "__i")

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.measures import BURST, CUT, EVICTION, FLOOR, INITIAL_RATE, MOST_BACKOFF, RAISE, backoff_seconds, cut, micros, raised
+from claimlens.operators.ranks import least
 from claimlens.session import stage
 
 REJECTED = 429
 SEGMENTS = EVICTION + 2
-SALTS = 32
 
 
 def _events(log: DataFrame) -> DataFrame:
@@ -40,11 +40,7 @@ def _events(log: DataFrame) -> DataFrame:
 def _rejections(events: DataFrame) -> DataFrame:
     """(host, marks): the first six rejections of each host in order, with the end of the backoff that each starts."""
     hit = events.where((F.col("status") == REJECTED) & F.col("error").isNull()).select("host", "us", "event_id")
-    salted = hit.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
-    first = Window.partitionBy("host", "salt").orderBy("us", "event_id")
-    few = salted.withColumn("n", F.row_number().over(first)).where(F.col("n") <= EVICTION + 1)
-    again = Window.partitionBy("host").orderBy("us", "event_id")
-    few = few.withColumn("n", F.row_number().over(again)).where(F.col("n") <= EVICTION + 1)
+    few = least(hit, "host", EVICTION + 1, "us", "event_id", salt="event_id")
     marks = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("m"))
 
     def step(done: Column, m: Column) -> Column:
@@ -286,9 +282,11 @@ def rate_trace(log: DataFrame, max_rate: float = 30.0) -> DataFrame:
 
 
 def retry_outcomes(log: DataFrame, attempts: int = 4) -> DataFrame:
-    """For each job: the first answer other than 429 among its first attempts, or that it ran out of them."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    rows = log.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= attempts)
+    """For each job: the first answer other than 429 among its first attempts, or that it ran out of them.
+
+    A job with any number of rows is ranked in parts, of which each leaves its first attempts.
+    """
+    rows = least(log, "job_id", attempts, "ts", "event_id", salt="event_id").withColumnRenamed("n", "attempt")
     answered = F.col("status") != REJECTED
     found = rows.groupBy("job_id").agg(F.min(F.when(answered, F.col("attempt"))).alias("at"), F.min_by("status", F.when(answered, F.col("attempt"))).alias("status"), F.max("attempt").alias("last"))
     state = F.when(F.col("at").isNull() & (F.col("last") >= attempts), "exhausted").when(F.col("at").isNull(), "waiting").when(F.col("status") < 400, "ok").otherwise("fail")

@@ -14,10 +14,14 @@ def outcome(status: Column, error: Column | None = None) -> Column:
     return F.when(failed, F.lit("failed")).when(status == UNCLAIMED, F.lit("unclaimed")).when(status == CLAIMED, F.lit("claimed")).otherwise(F.lit("unknown"))
 
 
+def answered_otherwise(log: DataFrame) -> DataFrame:
+    """Packages (one column) with an answer other than 404, or a failed lookup."""
+    return log.where(outcome(F.col("status"), _error(log)) != "unclaimed").select("package")
+
+
 def unclaimed(firsts: DataFrame, log: DataFrame) -> DataFrame:
     """Findings: packages for which the log has no other answer than 404; failed lookups are never findings."""
-    other = log.where(outcome(F.col("status"), _error(log)) != "unclaimed").select("package")
-    left = firsts.join(other, "package", "left_anti")
+    left = firsts.join(answered_otherwise(log), "package", "left_anti")
     return left.select(F.col("package").alias("unclaimed_package"), "source_url")
 
 

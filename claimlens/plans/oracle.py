@@ -72,6 +72,8 @@ WHEN 4 THEN [wk] ELSE [wk, '@' || ty || '/' || wk || '/deep'] END AS x FROM y),
 m AS (SELECT page_id, unnest(x) AS name, (generate_subscripts(x, 1) - 1)::BIGINT AS pos FROM a),
 w AS (SELECT page_id, pos, CASE WHEN starts_with(name, '@') THEN CASE WHEN instr(name, '/') > 0 THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE name END ELSE split_part(name, '/', 1) END AS package FROM m)
 SELECT page_id, pos, package FROM n WHERE {_WORTH} UNION ALL SELECT page_id, pos, package FROM w WHERE {_WORTH}""",
+    "deep_syntax": """SELECT p_partkey, mode, CASE WHEN p_partkey % 8 IN (0, 5) THEN 'a' ELSE '' END || CASE WHEN p_partkey % 8 = 7 THEN 'ab' ELSE replace(p_name, ' ', '-') END AS package
+FROM part, (VALUES ('deep_strict'), ('deep_full')) m(mode) WHERE mode = 'deep_full' OR p_partkey % 8 NOT IN (6, 7)""",
     "deep_fallback": f"WITH {_NAMES} SELECT page_id, page_id % 6 NOT IN (3, 5) AS fallback FROM y",
     "body_text": """WITH d AS (SELECT doc_id, text, list_max(list_filter(range(0, 1025), lambda k: strlen(left(text, k)) <= 1024 AND k <= length(text))) AS k FROM documents),
 c AS (SELECT doc_id, left(text, k) || CASE WHEN strlen(left(text, k)) < least(1024, strlen(text)) THEN chr(65533) ELSE '' END AS body FROM d)
@@ -152,4 +154,5 @@ UNION ALL SELECT '  [+] Package: ' || unclaimed_package FROM g UNION ALL SELECT
 }
 SQL["stream_rate_state"] = SQL["rate_state_final"]
 SQL["stream_first_source"] = SQL["first_source_per_package"]
+SQL["unclaimed_by_filter"] = SQL["flagship_unclaimed"]
 SQL["stream_findings"] = SQL["flagship_unclaimed"]

@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions import measures, names, urls
-from claimlens.operators import metrics, queueing, ratecontrol, registry
+from claimlens.operators import filters, metrics, queueing, ratecontrol, registry
 from claimlens.operators import references as refs
 from claimlens.operators.deep import strict_or_null
 from claimlens.plans.views import fetch_log, files, table
@@ -386,6 +386,36 @@ def deep_refs_strict(spark: SparkSession, sf: str) -> DataFrame:
     return refs.references(files(spark, sf), "deep_strict").select("page_id", F.col("pos").cast("bigint").alias("pos"), "package")
 
 
+def _intricate() -> Column:
+    """Bodies that only a lexer reads, by p_partkey mod 8: escapes, brackets, templates, regular expressions after a bracket."""
+    q, tick, slash = "'", "`", "\\"
+    forms = (
+        ("require('" + slash + "u0061", q + ")"),
+        ("require(('", "'))"),
+        ("(require)('", q + ")"),
+        (f"x = {tick}${{{tick}}}{tick}}}{tick}; require('", q + ")"),
+        ("if (x) /re'/.test(y); require('", q + ")"),
+        ("let x = require('" + slash + "x61", slash + "\n" + q + ")"),
+        (f"x = {tick}${{require('", f"')}}{tick}"),
+        (f"x = {tick}a${{ {{b: {tick}${{", f"}}{tick}}} }}{tick}; f(y) / require('ab') / 2"),
+    )
+    name = F.regexp_replace("p_name", " ", "-")
+    return F.element_at(F.array(*[F.concat(F.lit(a), name, F.lit(b)) for a, b in forms]), (F.col("p_partkey") % 8 + 1).cast("int"))
+
+
+@_query
+def deep_syntax(spark: SparkSession, sf: str) -> DataFrame:
+    """What both deep modes read in bodies that one pattern cannot scan."""
+    rows = table(spark, sf, "part").select("p_partkey", _intricate().alias("body"))
+    modes = [refs.references(rows, m).select("p_partkey", F.lit(m).alias("mode"), "package") for m in ("deep_strict", "deep_full")]
+    return modes[0].unionByName(modes[1])
+
+
+@_query
+def unclaimed_by_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.unclaimed_by_filter(_firsts(spark, sf), registry_log(spark, sf))
+
+
 @_query
 def deep_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Files whose text is no plain script, so that the pattern of regex mode reads them."""

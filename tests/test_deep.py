@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators.deep import full_references, strict_references
+from claimlens.operators.deep import full_references, lexed_references, strict_references
 from claimlens.operators.references import references
 
 STRICT = [
@@ -74,3 +74,48 @@ def test_nesting_of_any_depth_is_read_alike():
     assert strict_references("{" * n + "require('aa');" + "}" * n) == ["aa"]
     assert strict_references("f(" * n + "require('aa')" + ")" * n) == ["aa"]
     assert strict_references("if (x) y(); else " * n + "require('aa')") == ["aa"]
+
+
+LEXER = [
+    (r"require('a\u0062c'); require('a\x62c'); require('a\u{62}c'); require('it\'s'); require('a\
+b')", ["abc", "abc", "abc", "it's", "ab"]),
+    (r"require('\ud83d\ude00')", ["😀"]),
+    ("require(('x')); (require)('y'); ((require))((('z')))", ["x", "y", "z"]),
+    ("x = `${`}`}`; require('a')", ["a"]),
+    ("x = `a${b(`c${`d}`}{`)}e`; require('a')", ["a"]),
+    ("x = `${{a: {b: `${1}`}}.a}`; require('a')", ["a"]),
+    ("if (x) /re'/.test(y); require('a')", ["a"]),
+    ("while (x) /[/'`]/.test(y)\nrequire('a')", ["a"]),
+    ("f(x) / 2; y = a[0] / b / c; require('a')", ["a"]),
+    ("if (x) { y() } /'/.test(z); require('a')", ["a"]),
+    ("x = `\\`${1}\\${`; require('a')", ["a"]),
+    ("x.if(y) / z; require('a')", ["a"]),
+]
+
+
+@pytest.mark.parametrize(("text", "found"), LEXER)
+def test_lexer(text, found):
+    assert strict_references(text) == found
+    assert lexed_references(text) == found
+
+
+def test_references_in_templates(spark):
+    nested = "require('x')"
+    for i in range(400):
+        nested = f"`${{{nested}}} ${{require('t{i}')}}`"
+    assert strict_references(f"y = {nested}; require('a')") == ["a"]
+    assert lexed_references(f"y = {nested}; require('a')") == ["x", *[f"t{i}" for i in range(400)], "a"]
+    assert [lexed_references(x) for x in ("`${", "`${a", "`", "a)", None, r"require('\u00')")] == [None] * 6
+    assert lexed_references("foo(require)('no'); a.require('no'); import('e'); import 'f'; export * from 'g'; from('no'); f(`${import('h')}`)") == ["e", "f", "g", "h"]
+
+
+def test_full_mode_reads_intricate_bodies(spark):
+    rows = spark.createDataFrame(list(enumerate([r"import x from 'a\x62'", "x = `${require('inner')}`", "plain = require('plain')", "(require)('cc')", None, "`${ require('left') "])), "i int, body string")
+    assert sorted((r.i, r.package) for r in references(rows, "deep_full").collect()) == [(0, "ab"), (1, "inner"), (2, "plain"), (3, "cc"), (5, "left")]  # the last one is no script, so the pattern reads it
+
+
+def test_a_megabyte_of_templates_takes_seconds():
+    began = time.perf_counter()
+    text = "x = `a${f('b', `c${d}`)}e` / 2; if (y) /z'/.test(w);\n" * 20_000 + "require('end')"
+    assert strict_references(text) == ["end"] and lexed_references(text) == ["end"]
+    assert time.perf_counter() - began < 60
