@@ -2,7 +2,8 @@
 
 Each language gets one model over the characters of its words, a word being
 read between two blanks. N-grams are keyed by 64-bit hashes in sorted arrays,
-with a column of log probabilities for each language; a text goes to the
+with a column of log probabilities for each of a few languages that share the array,
+so that all models grow in proportion to their n-grams; a text goes to the
 language of least cross-entropy per character. The margin over the second best
 is turned into a score by isotonic calibration on texts that the models did not
 see, and a text whose cross-entropy is above what such texts of its language
@@ -12,8 +13,9 @@ The models learn from a sample of SAMPLE_CHARS characters a language: pieces of
 PIECE_CHARS, taken in the order of a hash of id and place until the next would be
 too much. The first piece with a letter is always taken and learned from. Beyond
 FULL_SAMPLES languages all share what that many would have, so that the size of
-the models, and of the broadcast, stays bounded but for these first pieces. Every
-text is judged whole, each distinct word of a batch once.
+what is learned from stays bounded but for these first pieces; the models' bytes
+are checked before they are sent to workers. Every text is judged whole, each
+distinct word of a batch once.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with
 no language learned, all texts are `und`; rows whose lang is null are not
@@ -43,6 +45,10 @@ SAMPLE_CHARS = 2_000_000
 PIECE_CHARS = 20_000
 #: Bits of the hash that one histogram of pieces resolves.
 STEP_BITS = 8
+#: Languages whose n-grams share a table.
+BLOCK = 8
+#: Models that are sent to all workers take at most so many bytes.
+MOST_BYTES = 2 << 30
 #: Languages that get a whole sample each; of more, all share as many characters.
 FULL_SAMPLES = 256
 HOLDOUT = 5
@@ -83,42 +89,56 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Models:
-    languages: list[str]
+class Block:
+    """Models of a few languages, so that a table of all their n-grams is as long as their own ones are many."""
+
     #: For each order: sorted hashes, log probabilities and log back-off weights (a column for each language, 0 where unseen).
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     back: list[np.ndarray]
     floor: np.ndarray
-    limits: np.ndarray
-    knots: np.ndarray
-    rates: np.ndarray
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word in each language, and the characters that it counts."""
-        codes, starts = _code_points(words)
-        n, k = len(codes), len(self.languages)
-        since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.keys, *self.logp, *self.back))
+
+    def words(self, codes: np.ndarray, starts: np.ndarray, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log probability of each word in each language of the block."""
+        n = len(codes)
         best = np.tile(self.floor, (n, 1)).astype(np.float32)
         before = np.full(n, -1)
         for order in range(1, ORDER + 1):
             keys = self.keys[order - 1]
             at = np.full(n, -1)
-            whole = np.flatnonzero(since >= order - 1)
-            h = _hashes(codes, order)[whole]
+            whole, h = hashes[order - 1]
             i = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             hit = keys[i] == h if len(keys) else np.zeros(len(h), bool)
             at[whole[hit]] = i[hit]
             if order > 1:
                 context = np.concatenate([[-1], before[:-1]])
-                used = np.flatnonzero((context >= 0) & (since >= order - 1))
+                used = whole[context[whole] >= 0]
                 best[used] += self.back[order - 2][context[used]]
             seen = np.flatnonzero(at >= 0)
             p = self.logp[order - 1][at[seen]]
             best[seen] = np.where(p < 0, p, best[seen])
             before = at
         best[starts] = 0.0
-        return np.add.reduceat(best, starts, axis=0).astype(np.float64) if n else np.zeros((0, k)), np.diff(np.append(starts, n)) - 1
+        return np.add.reduceat(best, starts, axis=0).astype(np.float64)
+
+
+@dataclass(frozen=True)
+class Models:
+    languages: list[str]
+    #: In order of the languages, BLOCK of them in each.
+    blocks: list[Block]
+    limits: np.ndarray
+    knots: np.ndarray
+    rates: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        """At most 8 + 8 * BLOCK bytes for each n-gram of each language."""
+        return sum(b.nbytes for b in self.blocks)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text in each language, its characters, and whether it has a letter."""
@@ -129,11 +149,22 @@ class Models:
             letters[i] = bool(text) and _has_letter(text, words)
             places.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
             docs.append(np.full(len(words), i))
-        logp, chars = self.words(list(ids)) if ids else (np.zeros((0, len(self.languages))), np.zeros(0))
-        doc, place = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+        if not ids:
+            return np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), letters
+        codes, starts = _code_points(list(ids))
+        chars = np.diff(np.append(starts, len(codes))) - 1
+        since = np.arange(len(codes)) - np.repeat(starts, chars + 1)
+        hashes = []
+        for order in range(1, ORDER + 1):
+            whole = np.flatnonzero(since >= order - 1)
+            hashes.append((whole, _hashes(codes, order)[whole]))
+        doc, place = np.concatenate(docs).astype(np.int64), np.concatenate(places)
         length = np.bincount(doc, chars[place], len(texts))
-        total = np.stack([np.bincount(doc, logp[place, j], len(texts)) for j in range(len(self.languages))], axis=1)
-        return -total / np.maximum(length, 1)[:, None], length, letters
+        total = []
+        for block in self.blocks:  # one block's scores of words at a time
+            logp = block.words(codes, starts, hashes)
+            total += [np.bincount(doc, logp[place, j], len(texts)) for j in range(logp.shape[1])]
+        return -np.stack(total, axis=1) / np.maximum(length, 1)[:, None], length, letters
 
     def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its cross-entropy, the margin over the next scaled by length, and whether there is a letter."""
@@ -208,7 +239,13 @@ def _assembled(rows: list) -> Models | None:
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
+    blocks = [_block(languages[i : i + BLOCK], rows) for i in range(0, len(languages), BLOCK)]
+    return Models(languages, blocks, np.full(len(languages), np.inf), np.array([0.0]), np.array([0.5]))
+
+
+def _block(languages: list[str], rows: list) -> Block:
     at = {x: i for i, x in enumerate(languages)}
+    rows = [r for r in rows if r["lang"] in at]
     keys, logp, back = [], [], []
     for order in range(1, ORDER + 1):
         own = [(at[r["lang"]], *[np.frombuffer(r[c], t) for c, t in (("h", np.uint64), ("p", np.float32), ("w", np.float32))]) for r in rows if r["ord"] == order]
@@ -221,7 +258,7 @@ def _assembled(rows: list) -> Models | None:
     floor = np.zeros(len(languages))
     for r in rows:
         floor[at[r["lang"]]] = r["floor"]
-    return Models(languages, keys, logp, back, floor, np.full(len(languages), np.inf), np.array([0.0]), np.array([0.5]))
+    return Block(keys, logp, back, floor)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +332,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     models = _assembled(rows)
     if models is None:
         return None
+    if models.nbytes > MOST_BYTES:
+        raise ValueError(f"the models of {len(models.languages)} languages take {models.nbytes} bytes; give a smaller sample_chars")
 
     def tuned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +350,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     limits = models.limits.copy()
     for r in seen.where(right == 1).groupBy("lang").agg(F.percentile_approx("low", ACCEPTED, 10_000).alias("q")).collect():
         limits[models.languages.index(r["lang"])] = r["q"]
-    return Models(models.languages, models.keys, models.logp, models.back, models.floor, limits, knots, rates)
+    return Models(models.languages, models.blocks, limits, knots, rates)
 
 
 def identify(docs: DataFrame, models: Models | None, *, id_col: str = "doc_id", text_col: str = "text", holdout: int = HOLDOUT) -> DataFrame:

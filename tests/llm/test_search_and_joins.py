@@ -291,3 +291,42 @@ def test_templates_do_not_grow_as_squares(spark, monkeypatch, method):
     for label in ("tiles", "near-candidates", "near-late", "open-members", "bucket-members"):
         assert counts[label, 4000] <= 2.5 * counts[label, 2000] + 200, counts
     assert counts["near-late", 4000] == 0
+
+
+# Language models
+
+
+def test_models_grow_in_proportion_to_their_grams():
+    from claimlens.llm import language_id
+
+    rng = random.Random(2)
+    sizes = {}
+    for n in (8, 16, 32, 64):
+        rows, grams = [], 0
+        for lang in range(n):
+            words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 7))): 1 for _ in range(600)}
+            sample = pa.table({"word": list(words), "n": list(words.values())})
+            own = language_id._learned((pa.scalar(f"l{lang:02}"),), sample).to_pylist()
+            grams += sum(len(r["h"]) // 8 for r in own)
+            rows += own
+        models = language_id._assembled(rows)
+        assert models.nbytes <= grams * (8 + 8 * language_id.BLOCK) and len(models.blocks) == n // language_id.BLOCK
+        sizes[n] = models.nbytes
+    assert sizes[64] <= 2.2 * sizes[32] <= 4.84 * sizes[16] <= 10.7 * sizes[8]
+
+
+def test_blocks_of_languages_change_no_score(monkeypatch):
+    from claimlens.llm import language_id
+
+    rng = random.Random(3)
+    rows = []
+    for lang in range(11):
+        words = {"".join(rng.choices("abcdefgé"[: 4 + lang % 5], k=rng.randrange(1, 7))): rng.randrange(1, 4) for _ in range(80)}
+        rows += language_id._learned((pa.scalar(f"l{lang:02}"),), pa.table({"word": list(words), "n": list(words.values())})).to_pylist()
+    texts = ["abc dea", None, "", "12", "é gab abc abc", "zzz"]
+    found = []
+    for block in (1, 8, 64):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        found.append(language_id._assembled(rows).entropies(texts))
+    for h, length, letters in found[1:]:
+        assert np.allclose(h, found[0][0]) and (length == found[0][1]).all() and (letters == found[0][2]).all()
