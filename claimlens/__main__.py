@@ -10,13 +10,21 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+import time
 
 from pyspark import SparkConf
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimlens import scan
 from claimlens.config import Settings
-from claimlens.session import session
-from claimlens.sources.sinks import print_summary, write_report
+from claimlens.functions.measures import duration, settings_line
+from claimlens.session import session, stage
+from claimlens.sources.datasource import save_report
+from claimlens.sources.sinks import print_summary
+
+log = logging.getLogger("claimlens")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +51,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: What a scan says of itself.
+LOADED, DOMAINS, WORKERS, FINISHED = "Loaded %d targets to scan.", "Scanning across %d unique domains.", "Starting scan with %d workers.", "Scan finished in %s."
+
+
+def announce(spark: SparkSession, settings: Settings, targets: DataFrame) -> None:
+    """The numbers of targets and of their hosts, if the first is remote, and the settings."""
+    n, hosts = scan.host_count(targets).first()
+    first = targets.orderBy("target_ord").limit(1).select(F.col("target").startswith("http").alias("remote")).collect()
+    log.info(LOADED, n)
+    if first and first[0]["remote"]:
+        log.info(DOMAINS, hosts)
+    on = settings.proxy is not None or settings.proxy_file is not None
+    values = (int(settings.max_rate), settings.max_file_kb, settings.no_limit, settings.mode != "regex", False, len(settings.headers), 0, on)
+    log.info("%s", spark.range(1).select(settings_line(*map(F.lit, values))).first()[0])
+    log.info(WORKERS, settings.workers)
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     logging.basicConfig(stream=sys.stderr, level=logging.DEBUG if a.verbose else logging.INFO, format="%(asctime)s %(levelname)s %(message)s", datefmt="%H:%M:%S")
@@ -56,10 +81,18 @@ def main(args: list[str] | None = None) -> int:
     # spark-submit and spark-defaults.conf name the cluster's master; only without one is it this machine.
     spark = session(a.master or (None if SparkConf().contains("spark.master") else f"local[{a.workers}]"))
     try:
-        found = scan.findings(spark, settings, spark.read.parquet(a.registry), spark.read.parquet(a.fetched) if a.fetched else None).cache()
+        began = time.monotonic()
+        targets = stage(scan.all_targets(spark, settings), "targets")
+        announce(spark, settings, targets)
+        found = scan.findings(spark, settings, spark.read.parquet(a.registry), spark.read.parquet(a.fetched) if a.fetched else None, targets)
+        found = stage(found, "findings")
         if a.output:
-            write_report(found, a.output, settings.format, a.verbose, a.silent)
+            try:
+                save_report(found, a.output, settings.format, a.verbose, a.silent)
+            except PySparkException as e:
+                log.error("output file: %s", e)
         print_summary(found, a.silent, a.verbose)
+        log.info(FINISHED, duration(time.monotonic() - began))
     except OSError as e:
         print(e, file=sys.stderr)
         return 1

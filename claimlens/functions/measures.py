@@ -101,3 +101,10 @@ REPORT_HEAD, REPORT_PACKAGE, REPORT_SOURCE = "Found %d unclaimed dependencies:",
 def report_line(package: Column, source: Column, verbose: bool = False) -> Column:
     """A finding's line, and its source on a second one if verbose."""
     return F.format_string(f"{REPORT_PACKAGE}\n{REPORT_SOURCE}", package, source) if verbose else F.format_string(REPORT_PACKAGE, package)
+
+
+def duration(seconds: float) -> str:
+    """Rounded to seconds and split, such as 1h0m5s, 2m0s or 7s; halves go up."""
+    whole = int(seconds + 0.5)
+    h, m, s = whole // 3600, whole // 60 % 60, whole % 60
+    return (f"{h}h" if h else "") + (f"{m}m" if h or m else "") + f"{s}s"

@@ -19,25 +19,28 @@ def all_targets(spark: SparkSession, settings: Settings) -> DataFrame:
     if settings.target_file:
         parts.append(targets.lines(spark, settings.target_file))
     if settings.directory:
-        parts.append(targets.directory(spark, settings.directory))
+        parts.append(targets.listed_directory(spark, settings.directory))
     if not parts:
         parts.append(targets.standard_input(spark))
     return targets.together(*parts)
 
 
-def all_files(spark: SparkSession, settings: Settings, fetched: DataFrame | None = None) -> DataFrame:
-    """(target_ord, source_url, body): local files behind the size gate, and remote ones of a table of fetch results."""
-    found = all_targets(spark, settings)
+def all_files(spark: SparkSession, settings: Settings, fetched: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(target_ord, source_url, body): local files behind the size gate, and remote ones of a table of fetch results.
+
+    found: the targets, where they have been read before.
+    """
+    found = all_targets(spark, settings) if found is None else found
     out = files.local_files(found, settings.max_file_kb, settings.no_limit)
     if fetched is not None:
         out = out.unionByName(files.fetched_files(found, fetched, settings.max_file_kb, settings.no_limit).drop("cut"))
     return out
 
 
-def findings(spark: SparkSession, settings: Settings, registry: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+def findings(spark: SparkSession, settings: Settings, registry: DataFrame, fetched: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """(unclaimed_package, source_url) against a registry log (package, status); names that it lacks count as 404."""
     settings = settings.checked()
-    rows = references(all_files(spark, settings, fetched), settings.mode)
+    rows = references(all_files(spark, settings, fetched, found), settings.mode)
     firsts = first_sources(rows, ("target_ord", "pos"), "source_url")
     return unclaimed(firsts, registry)
 

@@ -6,10 +6,13 @@ import os
 import sys
 from collections.abc import Iterable
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.names import trimmed
+from claimlens.operators.ranks import numbered
+from claimlens.sources import datasource
 
 TARGETS = "target_ord long, target string"
 
@@ -57,6 +60,14 @@ def directory(spark: SparkSession, root: str) -> DataFrame:
     return literal(spark, sorted(found))
 
 
+def listed_directory(spark: SparkSession, root: str) -> DataFrame:
+    """As `directory`, listed by tasks and numbered in lexical order by them: a local path that they share, or a URI that Arrow reads."""
+    files, path = datasource.opened(root)
+    if files.get_file_info(path).type != FileType.Directory:
+        raise NotADirectoryError(root)
+    return numbered(datasource.folder_targets(spark, root).select("target"), "target_ord", "target").select("target_ord", "target")
+
+
 def stored_directory(spark: SparkSession, root: str) -> DataFrame:
     """As `directory` for any file system that Spark reads, by its distributed listing; hidden names are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[jJ][sS],[tT][sS]}").load(root)
@@ -64,9 +75,10 @@ def stored_directory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def together(*parts: DataFrame) -> DataFrame:
-    """All targets of all parts, duplicates kept, ordered by part."""
+    """All targets of all parts, duplicates kept, ordered by part: each is numbered densely, so that no two parts' numbers mix."""
     out = None
     for i, part in enumerate(parts):
-        own = part.select((F.col("target_ord") + F.lit(i << 48)).alias("target_ord"), "target")
+        dense = numbered(part.select("target_ord", "target"), "__n", "target_ord") if len(parts) > 1 else part.withColumn("__n", F.col("target_ord"))
+        own = dense.select((F.col("__n") + F.lit(i << 48)).alias("target_ord"), "target")
         out = own if out is None else out.unionByName(own)
     return out.where("target <> ''")

@@ -119,3 +119,32 @@ def test_bodies_that_are_not_utf8_are_read(spark):
     part = fetched.withColumn("body", F.substring("body", 1, len(body) - 1))
     got = {r.source_url: r.body for r in files.fetched_files(targets, part).collect()}
     assert got == {"http://x/cut.js": "require('left-pad') \ufffd", "http://x/latin.js": "require('caf\ufffd')"}
+
+
+def test_a_scan_tells_of_itself(spark, tree, tmp_path, caplog):
+    import logging
+
+    spark.createDataFrame([("shared", 200)], "package string, status int").write.parquet(str(tmp_path / "registry"))
+    with caplog.at_level(logging.INFO, "claimlens"):
+        assert cli.main(["-d", str(tree), "-H", "A: b", "-deep-scan", "--registry", str(tmp_path / "registry")]) == 0
+    said = [r.getMessage() for r in caplog.records if r.name == "claimlens"]
+    assert said[:3] == ["Loaded 8 targets to scan.", "Settings: Rate Limit: Auto (Max 30/s), File Size Limit: 10240 KB, Deep Scan: Enabled, Custom Headers: 1", "Starting scan with 25 workers."]
+    assert said[-1].startswith("Scan finished in ")
+    with caplog.at_level(logging.INFO, "claimlens"):
+        assert cli.main(["-u", "https://a.example/x.js", "-o", str(tmp_path), "--registry", str(tmp_path / "registry")]) == 0
+    said = [r.getMessage() for r in caplog.records if r.name == "claimlens"]
+    assert "Scanning across 1 unique domains." in said and any(x.startswith("output file") for x in said)
+    assert cli.main(["-d", str(tree / "missing"), "--registry", str(tmp_path / "registry")]) == 1
+
+
+def test_durations():
+    from claimlens.functions.measures import duration
+
+    assert [duration(x) for x in (0.2, 7.5, 60, 3605.4)] == ["0s", "8s", "1m0s", "1h0m5s"]
+
+
+def test_parts_keep_their_order(spark, tree):
+    far = spark.createDataFrame([(40_000 << 33, "z"), (1, "y")], targets.TARGETS)
+    both = targets.together(far, targets.literal(spark, ["a", "b"]), targets.listed_directory(spark, str(tree)))
+    assert names(both)[:4] == ["y", "z", "a", "b"] and names(both)[4:] == names(targets.directory(spark, str(tree)))
+    assert both.select("target_ord").distinct().count() == both.count()
