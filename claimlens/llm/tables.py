@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,22 +18,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths of the tables that this process has staged, oldest first.
-_STAGED: list[str] = []
+class _Staged(threading.local):
+    """What a thread has staged, oldest first: path and, for a table of the catalogue, its name. Threads' queries don't see each other's."""
+
+    def __init__(self):
+        self.tables: list[tuple[str, str | None]] = []
+
+
+_STAGED = _Staged()
 
 
 def staged_so_far() -> int:
-    return len(_STAGED)
+    return len(_STAGED.tables)
 
 
 def drop_staged(spark: SparkSession, since: int, until: int) -> None:
-    """Delete the tables staged between two marks of staged_so_far(); nothing may read them any more."""
+    """Delete the tables staged by this thread between two marks of staged_so_far(); nothing may read them any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _STAGED[since:until]:
+    for path, name in _STAGED.tables[since:until]:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(hadoop).delete(where, True)
-    _STAGED[since:until] = [""] * (until - since)
+    _STAGED.tables[since:until] = [("", None)] * (until - since)
 
 
 def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None, options: dict | None = None) -> DataFrame:
@@ -43,7 +52,7 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _STAGED.append(path)
+    _STAGED.tables.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +62,7 @@ def stage_buckets(df: DataFrame, label: str, column: str, buckets: int) -> DataF
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(name)
-    _STAGED.append(path)
+    _STAGED.tables.append((path, name))
     return spark.table(name)
 
 

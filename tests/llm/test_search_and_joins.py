@@ -330,3 +330,37 @@ def test_blocks_of_languages_change_no_score(monkeypatch):
         found.append(language_id._assembled(rows).entropies(texts))
     for h, length, letters in found[1:]:
         assert np.allclose(h, found[0][0]) and (length == found[0][1]).all() and (letters == found[0][2]).all()
+
+
+# Staged tables
+
+
+def test_threads_drop_only_what_they_staged(spark):
+    import os
+    import threading
+
+    from claimlens.llm import tables
+
+    held, ready, go = {}, threading.Barrier(2), threading.Event()
+
+    def work(name):
+        start = tables.staged_so_far()
+        held[name] = [tables.stage_table(spark.range(3), "thread"), tables.stage_buckets(spark.range(3), "thread", "id", 2)]
+        paths = [p.removeprefix("file:") for p, _ in tables._STAGED.tables[start:]]
+        ready.wait()
+        if name == "a":
+            tables.drop_staged(spark, start, tables.staged_so_far())
+            go.set()
+        go.wait()
+        held[name] = [os.path.exists(p) for p in paths]
+        if name == "b":
+            tables.drop_staged(spark, start, tables.staged_so_far())
+            held["after"] = [os.path.exists(p) for p in paths]
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert held == {"a": [False, False], "b": [True, True], "after": [False, False]}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("thread_")]
