@@ -12,6 +12,7 @@ stage as an empty one; other columns are carried along up to the last stage.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,18 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from claimlens.llm import mixing, near_duplicates, packing, quality_rules, suffix_dedup
 from claimlens.llm.tables import drop_staged, read, stage_table, staged_so_far
 
-#: The tables that the stage before staged: its result is written by the time that the next one begins.
-_before: list[tuple[int, int]] = []
+class _Before(threading.local):
+    """The tables that this thread's stage before staged: its result is written by the time that the next one begins."""
+
+    def __init__(self):
+        self.marks: list[tuple[int, int]] = []
+
+
+_before = _Before()
 
 
 def _staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _before:
-            drop_staged(spark, *_before.pop())
+        while _before.marks:
+            drop_staged(spark, *_before.marks.pop())
         start = staged_so_far()
-        out = stage(spark, docs, sf_dir)
-        _before.append((start, staged_so_far()))
-        return out
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:  # a stage that fails leaves what it staged to the next one too
+            _before.marks.append((start, staged_so_far()))
 
     return run_stage
 
