@@ -45,6 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.bytewords import sliced
 from claimlens.llm.components import components
 from claimlens.llm.tables import BROADCAST_IDS, stage_table
 
@@ -137,7 +138,7 @@ def _sets(width: int):
     """Full sets of the nodes' own texts; an id may have other texts too, which have another hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in sliced(whole, 2)):
             found = [shingles(t, width) for t in batch.column(2).to_pylist()]
             own = np.array([xxhash.xxh3_128_digest(s.tobytes()) == h for s, h in zip(found, batch.column(1).to_pylist(), strict=True)], bool)
             nodes = batch.column(0).filter(pa.array(own))

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.bytewords import sliced
 from claimlens.llm.near_duplicates import PERCENT, ROWS, _mixed, _texts, labelled, shingles
 from claimlens.llm.tables import stage_table
 
@@ -67,13 +68,12 @@ def bitmaps_close(bits: Any, na: Any, nb: Any) -> Any:
 def _counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(SLOTS, np.uint32), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, width))
-                size += len(held[-1])
-                if size >= _COUNTED:
-                    total += np.bincount((np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    held, size = [], 0
+        for text in (text for batch in batches for piece in sliced(batch, 0) for text in piece.column(0).to_pylist()):
+            held.append(shingles(text, width))
+            size += len(held[-1])
+            if size >= _COUNTED:
+                total += np.bincount((np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                held, size = [], 0
         if held:
             total += np.bincount((np.concatenate(held) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
         rows = [x.astype(np.min_scalar_type(x.max())) for x in np.split(total, PARTS)]
@@ -109,7 +109,7 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 def _signed(width: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in sliced(whole, 2)):
             rows: list[tuple] = []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
