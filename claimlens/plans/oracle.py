@@ -111,7 +111,7 @@ SELECT job_id, coalesce(hit, last)::BIGINT AS attempts, coalesce(st, 429)::BIGIN
     "rate_state_trace": f"WITH RECURSIVE {_REPLAY} SELECT event_id, host, rate, retry AS retry_counter, eff AS effective_us, refused AS rejected, retry > 5 AS discarded FROM z WHERE rn > 0",
     "discarded_hosts": f"WITH RECURSIVE {_REPLAY} SELECT host, retry AS retry_counter FROM h WHERE retry > 5",
     "rejected_requests": f"WITH RECURSIVE {_REPLAY} SELECT event_id, host FROM z WHERE refused",
-    "backoff_schedule": "SELECT n::BIGINT AS n, least(2 << n::INT, 60)::BIGINT AS seconds FROM range(1, 9) t(n)",
+    "backoff_schedule": f"WITH {_L}, c AS (SELECT host, count(*) AS n FROM l WHERE status = 429 GROUP BY host) SELECT host, n, CASE WHEN n < 5 THEN 2 << n::INT ELSE 60 END::BIGINT AS seconds FROM c",
     "blocked_hosts_at": f"WITH RECURSIVE {_REPLAY}, {_BLOCKED} SELECT * FROM b",
     "pending_by_host": f"WITH {_L}, {_PENDING} SELECT * FROM q",
     "available_hosts": f"WITH RECURSIVE {_QUEUE} SELECT * FROM q WHERE pending > 0 AND host NOT IN (SELECT host FROM b)",

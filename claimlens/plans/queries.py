@@ -238,7 +238,9 @@ def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def backoff_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 9).select(F.col("id").alias("n"), measures.backoff_seconds(F.col("id")).alias("seconds"))
+    """How often each host has rejected, and the backoff that its last rejection would start."""
+    hit = fetch_log(spark, sf).where(F.col("status") == ratecontrol.REJECTED).groupBy("host").agg(F.count("*").alias("n"))
+    return hit.select("host", "n", measures.backoff_seconds(F.col("n")).alias("seconds"))
 
 
 def _blocked(spark: SparkSession, sf: str) -> DataFrame:
@@ -460,16 +462,16 @@ def _stream_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str, order: tuple[str, ...] = (), last: DataFrame | None = None) -> DataFrame:
+def _streamed(spark: SparkSession, rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str, order: tuple[str, ...] = (), last: DataFrame | None = None, keyed: bool = True) -> DataFrame:
     """What the stream puts out; with an order, parts of bounded size follow each other in it."""
     path = _stream_dir(spark)
     parts = streams.in_order(rows, f"{path}/ordered", *order) if order else [rows]
-    return streams.replay(parts, path, make, mode, last)
+    return streams.replay(parts, path, make, mode, last, keyed)
 
 
 @_query
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return _streamed(spark, files(spark, sf), lambda s: streams.new_packages(s).select("package"), "append")
+    return _streamed(spark, files(spark, sf), lambda s: streams.new_packages(s).select("package"), "append", keyed=False)
 
 
 @_query
@@ -510,5 +512,5 @@ def stream_findings(spark: SparkSession, sf: str) -> DataFrame:
         rows.write.parquet(f"{path}/{name}")
         streams.beat(rows, start + F.make_dt_interval(hours=F.lit(3)), **values).write.parquet(f"{path}/{name}-beat")
         opened.append(streams.file_stream(spark, f"{path}/{name}*", rows.schema))
-    found = streams.drain(stream_findings_.findings(*opened), f"{path}/out", f"{path}/state")
+    found = streams.drain(stream_findings_.findings(*opened), f"{path}/out", f"{path}/state", keyed=False)
     return stream_findings_.latest_sources(found).withColumnRenamed("package", "unclaimed_package")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from typing import Any
 
 import pandas as pd
@@ -60,7 +60,7 @@ def beat(rows: DataFrame, moment: Column, time: str = "ts", **values: Any) -> Da
     return spark.range(1).select(*[(moment if c == time else F.lit(values.get(c))).cast(kinds[c]).alias(c) for c in rows.columns])
 
 
-def replay(parts: list[DataFrame], path: str, make: Callable[[DataFrame], DataFrame], mode: str, last: DataFrame | None = None) -> DataFrame:
+def replay(parts: list[DataFrame], path: str, make: Callable[[DataFrame], DataFrame], mode: str, last: DataFrame | None = None, keyed: bool = True) -> DataFrame:
     """What a stream puts out over the parts, one after the other: a part is written, and the stream run over it, before the next one.
 
     The order rests on what each run finds new, not on the times of files, which
@@ -71,7 +71,7 @@ def replay(parts: list[DataFrame], path: str, make: Callable[[DataFrame], DataFr
     for part, folder in [*[(x, "in") for x in parts], *[(x, "beat") for x in (last,) if x is not None]]:
         part.write.mode("append").parquet(f"{path}/{folder}")
         stream = make(file_stream(spark, f"{path}/{{in,beat}}", parts[0].schema))
-        out = drain(stream, f"{path}/out", f"{path}/state", mode)
+        out = drain(stream, f"{path}/out", f"{path}/state", mode, keyed)
     return out
 
 
@@ -215,9 +215,11 @@ def ticks(events: DataFrame, time: str = "ts", delay: str = "10 seconds", tick_s
     return runs.select(each.alias("tick"), "n").select((F.col("tick") / 1000).cast("long").alias("tick"), "n", (F.col("n") / float(tick_s)).alias("rps"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keyed: bool = True) -> DataFrame:
     """Run the stream over what is there, wait for its end, and give the rows that it put out.
 
+    keyed: it has value state or timers, so it needs a store that holds them; else the session's own store is taken.
+
     Each batch goes to a folder of its own, which a repeated batch overwrites.
     """
     spark = stream.sparkSession
@@ -226,7 +228,7 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    with _keyed_store(spark):
+    with _keyed_store(spark) if keyed else nullcontext():
         query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.parquet(path).select(*stream.columns)
