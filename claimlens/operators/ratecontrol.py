@@ -261,6 +261,14 @@ def _traced(max_rate: float):
     return run
 
 
+def _buckets(rows: DataFrame, max_rate: float) -> DataFrame:
+    """(h, p, tokens): what a host's bucket holds where each of its blocks begins, for hosts with several."""
+    maps = rows.where("n_blocks > 1").groupBy("host", "part").applyInArrow(_bucket_map(max_rate), "host string, part int, flow double, least double, full double")
+    earlier = F.sort_array(F.collect_list(F.struct("part", "flow", "least", "full")).over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    fold = F.aggregate("earlier", F.lit(float(BURST)), lambda x, m: F.when(x > m["least"], m["full"]).otherwise(x + m["flow"]))
+    return stage(maps.withColumn("earlier", earlier).select(F.col("host").alias("h"), F.col("part").alias("p"), fold.alias("tokens")), "rate-buckets")
+
+
 def rate_trace(log: DataFrame, max_rate: float = 30.0) -> DataFrame:
     """Each event with the state after it and the token bucket's wait.
 
@@ -273,11 +281,10 @@ def rate_trace(log: DataFrame, max_rate: float = 30.0) -> DataFrame:
     blocks = _blocks(log)
     entries = stage(_entries(blocks), "rate-entries")
     rows = blocks.join(entries, (blocks["host"].eqNullSafe(entries["host"])) & (blocks["part"] == entries["part"])).select(blocks["*"], "before", "totals", "latest_before", "n_blocks")
-    maps = rows.where("n_blocks > 1").groupBy("host", "part").applyInArrow(_bucket_map(max_rate), "host string, part int, flow double, least double, full double")
-    earlier = F.sort_array(F.collect_list(F.struct("part", "flow", "least", "full")).over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    fold = F.aggregate("earlier", F.lit(float(BURST)), lambda x, m: F.when(x > m["least"], m["full"]).otherwise(x + m["flow"]))
-    tokens = stage(maps.withColumn("earlier", earlier).select(F.col("host").alias("h"), F.col("part").alias("p"), fold.alias("tokens")), "rate-buckets")
-    known = rows.join(tokens, rows["host"].eqNullSafe(tokens["h"]) & (rows["part"] == tokens["p"]), "left").select(rows["*"], F.coalesce("tokens", F.lit(float(BURST))).alias("tokens"))
+    known = rows.withColumn("tokens", F.lit(float(BURST)))
+    if entries.where("n_blocks > 1").limit(1).count():
+        tokens = _buckets(rows, max_rate)
+        known = rows.join(tokens, rows["host"].eqNullSafe(tokens["h"]) & (rows["part"] == tokens["p"]), "left").select(rows["*"], F.coalesce("tokens", F.lit(float(BURST))).alias("tokens"))
     return known.groupBy("host", "part").applyInArrow(_traced(max_rate), _OUT)
 
 
