@@ -56,9 +56,9 @@ def job_type(code: Column) -> Column:
 
 def header_parts(header: Column) -> tuple[Column, Column]:
     """Name and value of `Name: value`, split at the first colon; null without one."""
-    has = F.instr(header, ":") > 0
-    name, value = F.regexp_extract(header, r"^([^:]*):", 1), F.regexp_extract(header, r"(?s)^[^:]*:(.*)$", 1)
-    return F.when(has, F.trim(name)), F.when(has, F.trim(value))
+    at = F.instr(header, ":")
+    name, value = F.substr(header, F.lit(1), at - 1), F.substr(header, at + 1)
+    return F.when(at > 0, F.trim(name)), F.when(at > 0, F.trim(value))
 
 
 def kb_to_bytes(kb: Column) -> Column:

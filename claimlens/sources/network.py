@@ -43,7 +43,7 @@ def header_map(headers: Column, agent: str | None = None, own: Column | None = N
         pairs = F.concat(F.array(F.struct(F.lit("User-Agent").alias("key"), F.lit(agent).alias("value"))), pairs)
     if own is not None:
         pairs = F.concat(pairs, F.map_entries(own))
-    # Only the last entry of each name stays, whatever the session says of repeated keys.
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["key"]))
+    # Only the last entry of each name stays, whatever the session says of repeated keys. One pass names the pairs once: what a lambda names is made anew for each element.
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    last = F.aggregate(pairs, none, lambda kept, p: F.concat(F.filter(kept, lambda k: k["key"] != p["key"]), F.array(p)))
     return F.map_from_entries(last)

@@ -68,6 +68,18 @@ def test_headers(spark):
     assert spark.range(1).select(network.header_map(F.array().cast("array<string>"))).first()[0] == {}
 
 
+def test_headers_are_parsed_once(spark):
+    texts = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit(" N"), (i % 200).cast("string"), F.lit(": a:\n"), i.cast("string"), F.lit(" ")))
+    made = spark.range(1).select(network.header_map(texts, "ua", F.create_map(F.lit("N7"), F.lit("own"))).alias("m"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") <= 6 and "regexp" not in plan
+    want = {"User-Agent": "ua"} | {f"N{i % 200}": f"a:\n{i}" for i in range(1, 401)} | {"N7": "own"}
+    assert made.first()[0] == want
+    odd = F.array(*map(F.lit, (":v", "k:", "é:ü:x", " \n: y", None, "")))
+    assert spark.range(1).select(network.header_map(odd)).first()[0] == {"": "v", "k": "", "é": "ü:x", "\n": "y"}
+    assert spark.range(1).select(network.header_map(F.lit(None).cast("array<string>"), "ua")).first()[0] is None
+
+
 def test_backoff_and_rates(spark):
     assert values(spark, measures.backoff_seconds(F.col("x")), list(range(1, 9)), "x int") == [4, 8, 16, 32, 60, 60, 60, 60]
     assert values(spark, measures.backoff_seconds(F.col("x")), [500], "x int") == [60]
