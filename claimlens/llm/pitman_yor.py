@@ -35,11 +35,13 @@ no training fold; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -70,6 +72,8 @@ MOST_BUCKETS = 100_000
 #: Bytes of texts that are split into words at once (a longer text by itself), and words that are hashed at once.
 BLOCK_BYTES = 1 << 21
 BLOCK_WORDS = 1 << 16
+#: Tokens whose parts are found at once.
+BLOCK_TOKENS = 1 << 17
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 SEED = 77
@@ -168,30 +172,76 @@ def _place(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
-def _chunks(lists: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """The lists in chunks of about CHUNK_TOKENS tokens, but for longer lists."""
+def _among(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    out = np.empty(len(values), bool)
+    for at in range(0, len(values), BLOCK_TOKENS):
+        out[at : at + BLOCK_TOKENS] = _place(values[at : at + BLOCK_TOKENS], among) >= 0
+    return out
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Whether each value of a sorted array is the first of its kind."""
+    out = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=out[1:])
+    return out
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about BLOCK_BYTES of this column's texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = [*(np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK_BYTES)) + 1).tolist(), len(sizes)]
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield batch.slice(a, b - a)
+
+
+def _release() -> None:
+    """Give freed memory back to the system: an idle worker would keep it beside those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _releasing(run):
+    """A function of batches that gives back what it has freed after each batch that it puts out."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            _release()
+        _release()
+
+    return released
+
+
+def _chunks(lists: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The lists in chunks of about CHUNK_TOKENS tokens, but for longer lists: all their tokens, and their sizes."""
     held, n = [], 0
     for x in lists:
         if held and n + len(x) > CHUNK_TOKENS:
-            yield held
+            sizes, tokens = np.fromiter(map(len, held), np.int64, len(held)), np.concatenate(held)
             held, n = [], 0
+            yield tokens, sizes
         held.append(x)
         n += len(x)
     if held:
-        yield held
+        sizes, tokens = np.fromiter(map(len, held), np.int64, len(held)), np.concatenate(held)
+        held = []
+        yield tokens, sizes
 
 
 def _heavy(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each chunk of training rows: all tokens (context null), and contexts (word null) and dishes that make up `share` of them."""
-        for lists in (x for batch in batches for x in _chunks(_hashed(batch.column(0).cast(pa.binary()).to_pylist()))):
-            h = np.concatenate([np.empty(0, np.uint64), *lists])
+        for h, sizes in (x for batch in batches for x in _chunks(y for piece in _pieces(batch, 0) for y in _hashed(piece.column(0).cast(pa.binary()).to_pylist()))):
             least = max(2.0, share * len(h))
             # Every word is a context once for each time that it is a token.
             words, counts = np.unique(h, return_counts=True)
             often = counts >= least
-            context = _contexts(h, np.fromiter(map(len, lists), np.int64, len(lists)))
-            within = np.isin(context, words[often])
+            context = _contexts(h, sizes)
+            within = _among(context, words[often])
             _, first, dishes = np.unique(_dish_keys(h[within], context[within]), return_index=True, return_counts=True)
             many = first[dishes >= least]
             of = [None, *words[often].view(np.int64).tolist(), *context[within][many].view(np.int64).tolist()]
@@ -199,7 +249,20 @@ def _heavy(share: float):
             n = [len(h), *counts[often].tolist(), *dishes[dishes >= least].tolist()]
             yield pa.record_batch([pa.array(of, pa.int64()), pa.array(word, pa.int64()), pa.array(n, pa.int64())], names=["context", "word", "n"])
 
-    return run
+    return _releasing(run)
+
+
+def _parts(word: np.ndarray, context: np.ndarray, split: Split, chunk: int, parts: int) -> np.ndarray:
+    """The part of each token of a chunk; blocks of tokens, so that nothing but the result is as long as they are."""
+    out = np.empty(len(word), np.uint32)
+    for at in range(0, len(word), BLOCK_TOKENS):
+        own = slice(at, at + BLOCK_TOKENS)
+        key = _dish_keys(word[own], context[own])
+        spread = np.where(_place(context[own], split.contexts) >= 0, key, _mixed(context[own]))
+        hot = np.flatnonzero(_place(key, split.dishes) >= 0)
+        spread[hot] = _mixed(key[hot] + np.array(chunk, np.uint64) * _STEP)
+        out[own] = spread % np.uint64(parts)
+    return out
 
 
 def _dealt(split: Split, parts: int):
@@ -218,17 +281,14 @@ def _dealt(split: Split, parts: int):
             chunk = base | made
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             word, found = np.concatenate(found), []
-            doc = np.repeat((np.arange(len(sizes)) << 1 | np.array(train, np.int64)).astype(np.uint16), sizes)
             context = _contexts(word, sizes)
-            key = _dish_keys(word, context)
-            spread = np.where(np.isin(context, split.contexts), key, _mixed(context))
-            hot = np.flatnonzero(np.isin(key, split.dishes))
-            spread[hot] = _mixed(key[hot] + np.array(chunk, np.uint64) * _STEP)
-            spread %= np.uint64(parts)
-            part = spread.view(np.int64)
-            del key
+            part = _parts(word, context, split, chunk, parts)
             order = np.lexsort([word, context, part])  # stable, so documents stay in order
-            occurring, first = np.unique(part[order], return_index=True)
+            part = part[order]
+            first = np.flatnonzero(_starts(part))
+            occurring = part[first]
+            del part
+            doc = np.repeat((np.arange(len(sizes)) << 1 | np.array(train, np.int64)).astype(np.uint16), sizes)
             rows = [(-1 - chunk, chunk, _pack(np.array([NO_ID if x is None else x for x in ids], np.int64)), *[None] * 5)]
             for p, a, b in zip(occurring.tolist(), first, np.append(first[1:], len(order)), strict=True):
                 o = order[a:b]
@@ -241,9 +301,9 @@ def _dealt(split: Split, parts: int):
             columns = list(zip(*rows, strict=True))
             return pa.record_batch([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=names)
 
-        for batch in batches:
-            hashes = _hashed(batch.column(1).cast(pa.binary()).to_pylist())
-            for doc_id, h, learns in zip(batch.column(0).to_pylist(), hashes, batch.column(2).to_pylist(), strict=True):
+        for piece in (x for batch in batches for x in _pieces(batch, 1)):
+            hashes = _hashed(piece.column(1).cast(pa.binary()).to_pylist())
+            for doc_id, h, learns in zip(piece.column(0).to_pylist(), hashes, piece.column(2).to_pylist(), strict=True):
                 ids.append(doc_id), train.append(bool(learns)), found.append(h)
                 held += len(h)
                 if held >= CHUNK_TOKENS or len(found) >= CHUNK_DOCS:
@@ -251,13 +311,24 @@ def _dealt(split: Split, parts: int):
         if found:
             yield full()
 
-    return run
+    return _releasing(run)
 
 
 _DEALT = "part long, chunk long, ids binary, contexts binary, at binary, words binary, word binary, doc binary"
 _STATE = "part long, words binary, contexts binary, dish_word binary, dish_context binary, dish_count binary, occurrences binary, rows binary, ids binary"
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and each one's place among them."""
+    order = np.argsort(values)
+    values = values[order]
+    new = _starts(values)
+    values = values[new]
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return values, place
+
+
 def _joined(table: pa.Table) -> pa.Table:
     """One row for a part: its dishes with their training customers, and what to score: (row, dish) counts. Ids of a chunk pass as they are."""
     names = [c.split()[0] for c in _STATE.split(", ")]
@@ -267,21 +338,26 @@ def _joined(table: pa.Table) -> pa.Table:
     rows = table.select(["chunk", "contexts", "at", "words", "word", "doc"]).to_pylist()
     lists, before = ([_unpack(r[c], np.uint64) for r in rows] for c in ("words", "contexts"))
     words, contexts = np.unique(np.concatenate(lists)), np.unique(np.concatenate(before))
-    dish, train, row = [], [], []
-    for r, own, own_before in zip(rows, lists, before, strict=True):
-        context = np.searchsorted(contexts, own_before)[np.cumsum(_unpack(r["at"], np.uint8), dtype=np.int64)]
-        d = _unpack(r["doc"], np.uint16)
-        dish.append(context * len(words) + np.searchsorted(words, own)[_unpack(r["word"], np.uint32)])
-        train.append((d & 1).astype(np.uint8)), row.append((d >> 1).astype(np.int64) + (r["chunk"] << 16))
-    dish, train, row = map(np.concatenate, (dish, train, row))
-    dishes, dish = np.unique(dish, return_inverse=True)
-    count = np.bincount(dish, train, len(dishes)).astype(np.int64)
+    docs = [_unpack(r["doc"], np.uint16) for r in rows]
+    ends = np.cumsum([0, *map(len, docs)]).tolist()
+    dish, train, row = np.empty(ends[-1], np.int64), np.empty(ends[-1], bool), np.empty(ends[-1], np.int64)
+    for r, own, own_before, d, a, b in zip(rows, lists, before, docs, ends, ends[1:], strict=False):
+        dish[a:b] = np.searchsorted(contexts, own_before)[np.cumsum(_unpack(r["at"], np.uint8), dtype=np.int64)]
+        dish[a:b] *= len(words)
+        dish[a:b] += np.searchsorted(words, own)[_unpack(r["word"], np.uint32)]
+        train[a:b], row[a:b] = d & 1, d >> 1
+        row[a:b] += r["chunk"] << 16
+    del rows, lists, before, docs
+    dishes, dish = _numbered(dish)
+    count = np.bincount(dish[train], minlength=len(dishes))
     order = np.argsort(row, kind="stable")
     o_row, o_dish = row[order], dish[order]
+    del row, dish, order
     # Within a row equal dishes stand together, as chunks are sorted by context and word.
-    new = np.flatnonzero(np.concatenate([[True], (o_row[1:] != o_row[:-1]) | (o_dish[1:] != o_dish[:-1])]))
-    times = np.diff(np.append(new, len(order)))
-    first = np.flatnonzero(np.concatenate([[True], o_row[new][1:] != o_row[new][:-1]]))
+    new = np.flatnonzero(_starts(o_row) | _starts(o_dish))
+    times = np.diff(np.append(new, len(o_row)))
+    o_row, o_dish = o_row[new], o_dish[new]
+    first = np.flatnonzero(_starts(o_row))
     sizes = np.diff(np.append(first, len(new)))
     packed = [
         _pack(words),
@@ -289,8 +365,8 @@ def _joined(table: pa.Table) -> pa.Table:
         _pack((dishes % len(words)).astype(np.uint32)),
         _pack((dishes // len(words)).astype(np.uint32)),
         _pack(count.astype(np.uint32)),
-        _bundle([_pack(x.astype(np.uint32)) for x in (sizes, o_dish[new], times)]),
-        _pack(o_row[new][first]),
+        _bundle([_pack(x.astype(np.uint32)) for x in (sizes, o_dish, times)]),
+        _pack(o_row[first]),
         None,
     ]
     return pa.table([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=names)
@@ -722,8 +798,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     contexts = {r[0] for r in often if r[1] is None}
     split = _split([r for r in often if r[0] in contexts])
     parts = int(max(8, -(-total // part_tokens)))
+
+    def joined_part(table: pa.Table) -> pa.Table:
+        out = _joined(table)
+        _release()
+        return out
+
     dealt = texts.mapInArrow(_dealt(split, parts), _DEALT)
-    stored = stage_buckets(dealt.groupBy("part").applyInArrow(_joined, _STATE), "restaurants", "part", min(parts, MOST_BUCKETS))
+    stored = stage_buckets(dealt.groupBy("part").applyInArrow(joined_part, _STATE), "restaurants", "part", min(parts, MOST_BUCKETS))
     state, ids = stored.where("part >= 0"), stored.where("part < 0").select((-1 - F.col("part")).alias("chunk"), "ids")
     model = state.select("part", "words", "contexts", "dish_word", "dish_context", "dish_count")
     n, h = len(split.contexts), len(split.dishes)
@@ -735,7 +817,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
                 packed = (row["words"], _pack(part.per_word(part.count)), part.sums(np.minimum(part.own(), 1), split))
                 yield pa.record_batch([pa.array([part.part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "words", "own", "sums"])
 
-    first = stage_table(model.mapInArrow(started, "part long, words binary, own binary, sums binary"), "started")
+    first = stage_table(model.mapInArrow(_releasing(started), "part long, words binary, own binary, sums binary"), "started")
     context_count, context_tables, hot_count = np.split(_summed(first, 2 * n + h), [n, 2 * n])
     tokens = _root(first.select("part", "words", "own"), parts, split, None, None, -1)
     shared = _known(tokens, split)
@@ -759,7 +841,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
         rows = model.join(_answers(owned, ("root_n", "root_t")), "part")
         if seats is not None:
             rows = rows.join(seats, "part")
-        new = stage_table(rows.mapInArrow(reseated, "part long, words binary, own binary, seats binary, sums binary"), f"sweep{sweep}")
+        new = stage_table(rows.mapInArrow(_releasing(reseated), "part long, words binary, own binary, seats binary, sums binary"), f"sweep{sweep}")
         hot_seats, hot_tables = _hot(split, shared, sweep)
         shared = shared | {"hot_seats": hot_seats, "hot_tables": hot_tables}
         shared["context_tables"] = np.split(_summed(new, 2 * n + h), [n, 2 * n])[1] + np.bincount(split.dish_context, hot_tables, n).astype(np.int64)
@@ -784,7 +866,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
                 p = sum(part.predictive(Seats.unpacked(row[f"seats{i}"]).tables(), _root_of(row, f"root_n{i}", f"root_t{i}", v), v) for i, v in enumerate(samples)) / len(samples)
                 c = _unpack(row["tokens"], np.int64)
                 base = np.log10((c + 0.1) / (samples[0]["tokens"] + 0.1 * (samples[0]["vocabulary"] + 1)))
-                sizes, dish, times = (_unpack(b, np.uint32).astype(np.int64) for b in _unbundle(row["occurrences"]))
+                sizes, dish, times = (_unpack(b, np.uint32) for b in _unbundle(row["occurrences"]))
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 known, seen, own = (np.bincount(of, x[dish] * times, len(sizes)) for x in ((c > 0)[part.word], base[part.word], np.log10(p)))
                 keys = _unpack(row["rows"], np.int64)
@@ -794,7 +876,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
                 yield pa.record_batch([pa.array(keys[first] >> 16, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "sums"])
 
     # One row for each part and chunk, and the chunk's ids; the chunks add up their documents.
-    sums = joined.mapInArrow(scored, "chunk long, sums binary").select("chunk", "sums", F.lit(None).cast("binary").alias("ids"))
+    sums = joined.mapInArrow(_releasing(scored), "chunk long, sums binary").select("chunk", "sums", F.lit(None).cast("binary").alias("ids"))
     sums = sums.unionByName(ids.select("chunk", F.lit(None).cast("binary").alias("sums"), "ids"))
     sums = sums.groupBy("chunk").applyInArrow(_added, "id long, n long, known long, base double, own double")
     sums = sums.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))

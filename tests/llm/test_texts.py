@@ -6,11 +6,13 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -793,3 +795,42 @@ def test_words_are_hashed_as_plain_splitting_finds_them(monkeypatch, block):
         for w, h in zip(words, hashes.tolist(), strict=False):
             assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
     assert list(pitman_yor._hashed([])) == []
+
+
+def test_pitman_yor_tasks_keep_to_their_memory(monkeypatch):
+    """A chunk of a million tokens, in texts of 30 MB that come as one batch: beyond the batch, each step stays under 90 MB."""
+    monkeypatch.setattr(pitman_yor.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}".ljust(29, "x") for i in range(50_000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.3, 500) - 1, 49_999)]) for _ in range(2_000)]
+    batch = pa.record_batch([pa.array(range(2_000)), pa.array(texts), pa.array([i % 10 > 0 for i in range(2_000)])], names=["doc_id", "text", "train"])
+    few = pitman_yor._split([])
+
+    def joined(rows):
+        part = pa.Table.from_batches(rows)
+        return pitman_yor._joined(part.filter(pa.compute.equal(part.column("part"), 0)))
+
+    def measured(step):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = step()
+        return out, (tracemalloc.get_traced_memory()[1] - before) / 1e6
+
+    tracemalloc.start()
+    try:
+        _, heavy = measured(lambda: list(pitman_yor._heavy(0.01)(iter([batch.select(["text"])]))))
+        rows, dealt = measured(lambda: list(pitman_yor._dealt(few, 1)(iter([batch]))))
+        _, whole = measured(lambda: joined(rows))
+    finally:
+        tracemalloc.stop()
+    assert max(heavy, dealt, whole) < 90, (heavy, dealt, whole)
+
+
+@pytest.mark.parametrize("block", [1, 50, 1 << 21])
+def test_pitman_yor_pieces_hold_every_row(monkeypatch, block):
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", block)
+    texts = [None, "", "a b", "c" * 200, None, "d", "é" * 30]
+    pieces = list(pitman_yor._pieces(pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"]), 1))
+    assert [x for p in pieces for x in p.column(1).to_pylist()] == texts and [x for p in pieces for x in p.column(0).to_pylist()] == list(range(7))
+    assert len(pieces) == {1: 7, 50: 2, 1 << 21: 1}[block]
+    assert sum(p.num_rows for p in pitman_yor._pieces(pa.record_batch([pa.array([], pa.string())], names=["text"]), 0)) == 0
