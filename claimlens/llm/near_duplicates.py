@@ -47,14 +47,17 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.bytewords import sliced
 from claimlens.llm.components import components
-from claimlens.llm.tables import BROADCAST_IDS, stage_table
+from claimlens.llm.tables import BROADCAST_IDS, drop_staged, stage_table, staged_so_far
 
 BANDS = 64
 BAND_ROWS = 8
 SAMPLES = 512
 SKETCH_WORDS = 16
-#: Nodes of a tile whose sketches meet.
+#: Nodes of a tile whose sketches meet, and words of a sketch above which it counts as several.
 TILE_NODES = 8_192
+TILE_WORDS = 128
+#: Where shared buckets count, pairs of a bucket of so many nodes at most are listed instead of meeting in tiles.
+SMALL_BUCKET = 32
 #: Weight of a block of nodes whose full sets meet another block's: their shingles, and NODE_WEIGHT for each node.
 BLOCK_WEIGHT = 100_000
 NODE_WEIGHT = 100
@@ -66,6 +69,8 @@ PERCENT = 80
 SKETCH_LEAST = 0.69
 #: Whether sketches that differ in so many bits, of sets of such sizes, may be those of linked sets; for columns and arrays alike.
 Close = Callable[[Any, Any, Any], Any]
+#: How many buckets linked sets of sizes na >= nb share at least, those counted where either leads; for arrays.
+Need = Callable[[Any, Any], Any]
 _SEED = 7_919
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -162,20 +167,63 @@ def _sketches_close(bits: Any, na: Any, nb: Any) -> Any:
 
 
 def _differing(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    """Bits in which sketches differ; the longer one is folded to the other's length, which is half of its own."""
+
+    def folded(x: str, other: str) -> str:
+        return f"if(size({x}) > size({other}), zip_with(slice({x}, 1, size({other})), slice({x}, size({other}) + 1, size({other})), (p, q) -> p ^ q), {x})"
+
+    return F.expr(f"aggregate(zip_with({folded(a, b)}, {folded(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+
+
+class _Sketches:
+    """The sketches of a column. Their lengths are powers of two; of two that differ in length the longer one is folded."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+        self.words = np.diff(bounds)
+        self.at = np.zeros(len(self.words), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for words in np.unique(self.words):
+            own = np.flatnonzero(self.words == words)
+            self.at[own] = np.arange(len(own))
+            self.rows[int(words)] = flat[bounds[own][:, None] + np.arange(words)]
+
+    def differing(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Bits in which sketch i differs from each of those near."""
+        mine = self.rows[int(self.words[i])][self.at[i]][None]
+        out = np.zeros(len(near), np.int64)
+        for words in np.unique(self.words[near]):
+            here = self.words[near] == words
+            others = self.rows[int(words)][self.at[near[here]]]
+            least = min(int(words), mine.shape[1])
+            out[here] = np.bitwise_count(_folded(others, least) ^ _folded(mine, least)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 #: The full sets (node, s) of the nodes of a table (node), staged.
 Sets = Callable[[DataFrame], DataFrame]
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose sizes and sketches, and then full shingle sets, are similar enough."""
+def _like_pairs(pairs: DataFrame, classes: DataFrame, close: Close) -> DataFrame:
+    """Of the pairs (a, b) of nodes those of like size and sketch."""
+    names = pairs.columns
     for c in "ab":
         signed = classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         pairs = pairs.join(signed, c)
-    pairs = pairs.where(_similar_size("na", "nb")).where(close(_differing("sa", "sb"), F.col("na"), F.col("nb"))).select("a", "b")
-    both = stage_table(pairs, "near-candidates")
+    return pairs.where(_similar_size("na", "nb")).where(close(_differing("sa", "sb"), F.col("na"), F.col("nb"))).select(*names)
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sizes and sketches, and then full shingle sets, are similar enough."""
+    both = stage_table(_like_pairs(pairs, classes, close), "near-candidates")
     full = sets(both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))))
     for c in "ab":
         both = both.join(full.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")), c)
@@ -197,10 +245,10 @@ def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _unsure(members: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Members (node, bucket, lead, tested, c) of the buckets with pairs of several components c that have not met; None without any."""
+    """Members (node, bucket, lead, tested, c, size of the bucket) of the buckets with pairs of several components c that have not met; None without any."""
     placed = members.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "bucket", "lead", "tested", F.coalesce("component", "node").alias("c"))
-    rest = placed.where(~F.col("tested")).groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("lead").alias("led"))
-    unsure = stage_table(placed.join(rest.where("low < high and led").select("bucket"), "bucket"), "open-members")
+    rest = placed.where(~F.col("tested")).groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("lead").alias("led"), F.count("*").alias("size"))
+    unsure = stage_table(placed.join(rest.where("low < high and led").select("bucket", "size"), "bucket"), "open-members")
     return unsure if unsure.limit(1).count() else None
 
 
@@ -215,8 +263,8 @@ def _tiles(unsure: DataFrame, classes: DataFrame) -> DataFrame:
     rows = unsure.join(classes.select("node", "n", "sketch"), "node").withColumn("band", band)
     stands = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("visits")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("visits"))))
     rows = rows.withColumn("at", stands).select("bucket", "at.tile", "at.visits", "node", "c", "n", "lead", "sketch")
-    sizes = rows.groupBy("bucket", "tile").agg(F.count("*").alias("size"), F.count(F.when(~F.col("visits"), 1)).alias("own")).where("own > 0 and size > 1")
-    parts = F.ceil(F.col("size") / TILE_NODES).cast("int")
+    sizes = rows.groupBy("bucket", "tile").agg(F.count("*").alias("size"), F.sum(F.greatest(F.lit(1.0), F.size("sketch") / TILE_WORDS)).alias("weight"), F.count(F.when(~F.col("visits"), 1)).alias("own")).where("own > 0 and size > 1")
+    parts = F.ceil(F.col("weight") / TILE_NODES).cast("int")
     rows = rows.join(sizes.select("bucket", "tile", parts.alias("parts")), ["bucket", "tile"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     place = F.xxhash64("bucket", "tile", F.least("part", "other"), F.greatest("part", "other"))
@@ -230,11 +278,11 @@ def _alike(table: pa.Table, close: Close) -> tuple[list[int], list[int]]:
         return [], []
     n, part = np.asarray(table.column("n")), np.asarray(table.column("part"))
     inside, visits, lead = (np.asarray(table.column(c)) for c in ("inside", "visits", "lead"))
-    sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(n), -1).view(np.uint64)
+    sketches = _Sketches(table.column("sketch"))
     a, b, root = [], [], of.copy()
     for i in np.flatnonzero(of != np.bincount(of).argmax()):
         near = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (lead | lead[i]) & ~(visits & visits[i]) & (inside[i] | (part != part[i])))
-        near = near[close(np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64), n[near], n[i])]
+        near = near[close(sketches.differing(i, near), n[near], n[i])]
         for other in np.unique(root[near]):
             a.append(int(label[of[i]]))
             b.append(int(label[of[near[root[near] == other][0]]]))
@@ -275,10 +323,66 @@ def _alike_in_runs(close: Close):
     return run
 
 
-def _clusters(unsure: DataFrame, classes: DataFrame, close: Close) -> DataFrame:
+_PAIR = "a long, b long, ca long, cb long, need long"
+
+
+def _pairs_within(need: Need):
+    """Of members sorted by bucket all pairs inside a bucket of like size, of two components, of which one leads; a is the larger."""
+
+    def pairs(of: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, node, c, n, lead = of
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, len(bucket)):
+            i = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(i):
+                break
+            j = i + step
+            fits = (c[i] != c[j]) & (lead[i] | lead[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            first.append(i[fits])
+            second.append(j[fits])
+        i, j = np.concatenate(first), np.concatenate(second)
+        turned = (n[i] < n[j]) | ((n[i] == n[j]) & (node[i] < node[j]))
+        a, b = np.where(turned, j, i), np.where(turned, i, j)
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (node[a], node[b], c[a], c[b], need(n[a], n[b]))], names=["a", "b", "ca", "cb", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "node", "c", "n", "lead")]
+            of = of if waiting is None else [np.concatenate(x) for x in zip(waiting, of, strict=True)]
+            last = int(np.flatnonzero(of[0] != of[0][-1])[-1]) + 1 if of[0][0] != of[0][-1] else 0
+            waiting = [x[last:] for x in of]
+            if last:
+                yield pairs([x[:last] for x in of])
+        if waiting is not None:
+            yield pairs(waiting)
+
+    return run
+
+
+def _counted_pairs(small: DataFrame, classes: DataFrame, need: Need) -> DataFrame:
+    """(a, b, ca, cb): pairs of small buckets that share as many of them as linked sets must.
+
+    A pair that also shares a large bucket, or one whose centre is one of the two,
+    may count too few here; it meets there.
+    """
+    rows = small.where("not tested").join(classes.select("node", "n"), "node").select("bucket", "node", "c", "n", "lead")
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs_within(need), _PAIR)
+    counted = found.groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("met"), F.max("need").alias("need"))
+    return counted.where("met >= need").select("a", "b", "ca", "cb")
+
+
+def _clusters(unsure: DataFrame, classes: DataFrame, close: Close, need: Need | None) -> DataFrame:
     """(c, cluster): components that hang together by pairs of a bucket whose sketches are alike."""
-    tiles = _tiles(unsure, classes).repartition("place").sortWithinPartitions("place")
-    alike = stage_table(tiles.mapInArrow(_alike_in_runs(close), "a long, b long").distinct(), "alike")
+    large = unsure if need is None else unsure.where(F.col("size") > SMALL_BUCKET)
+    tiles = _tiles(large, classes).repartition("place").sortWithinPartitions("place")
+    alike = tiles.mapInArrow(_alike_in_runs(close), "a long, b long")
+    if need is not None:
+        few = _like_pairs(_counted_pairs(unsure.where(F.col("size") <= SMALL_BUCKET), classes, need), classes, close)
+        alike = alike.unionByName(few.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    alike = stage_table(alike.distinct(), "alike")
     return components(alike).select(F.col("id").alias("c"), F.col("component").alias("cluster"))
 
 
@@ -289,14 +393,14 @@ def _crossing(percent: int, close: Close):
         outside = np.asarray(table.column("outside"))
         ids, n = (np.asarray(table.column(c)) for c in ("node", "n"))
         of = np.unique(np.asarray(table.column("c")), return_inverse=True)[1]
-        sketches = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(len(ids), -1).view(np.uint64)
+        sketches = _Sketches(table.column("sketch"))
         sets = table.column("s").combine_chunks()
         bounds, values = np.asarray(sets.offsets), np.asarray(sets.values).view(np.uint64)
         rest = np.flatnonzero(~outside)
         a, b = [], []
         for i in np.flatnonzero(outside):
             near = rest[(of[rest] != of[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            near = near[close(np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64), n[near], n[i])]
+            near = near[close(sketches.differing(i, near), n[near], n[i])]
             if not len(near):
                 continue
             own = values[bounds[i] : bounds[i + 1]]
@@ -314,14 +418,14 @@ def _crossing(percent: int, close: Close):
     return run
 
 
-def _left_between(unsure: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close) -> DataFrame:
+def _left_between(unsure: DataFrame, classes: DataFrame, sets: Sets, close: Close = _sketches_close, need: Need | None = None) -> DataFrame:
     """Links that the centres did not tell, between components that share a bucket and have like sketches there.
 
     A cluster's largest component is the core; the others' nodes are outsiders,
     who meet the whole cluster on full sets, in blocks of BLOCK_WEIGHT on either
     side.
     """
-    clusters = _clusters(unsure, classes, close)
+    clusters = _clusters(unsure, classes, close, need)
     inside = unsure.select("node", "c").distinct().join(clusters, "c").join(classes.select("node", "n", "sketch"), "node")
     inside = stage_table(inside, "clusters")
     parts = inside.groupBy("cluster", "c").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("n"))
@@ -391,16 +495,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node & (_FOLLOWS - 1)), pa.array(bucket[chosen]), pa.array(node < _FOLLOWS), pa.array(np.repeat(centre, length)[chosen])], names=["node", "bucket", "lead", "centre"])
 
 
-def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close, star_part: int = 4) -> DataFrame:
+def labelled(texts: DataFrame, signed: DataFrame, width: int, members_of: Callable[[DataFrame], DataFrame] = _all_lead, close: Close = _sketches_close, star_part: int = 4, need: Need | None = None) -> DataFrame:
     """doc_id, text_hash, n, component and kept for every row.
 
-    rows are the signed texts, staged. members_of gives (node, bucket, lead) of
+    signed are the signed texts (ROWS). members_of gives (node, bucket, lead) of
     classes: two nodes may be linked if they share a bucket and one leads there.
     One in star_part buckets, drawn by their hashes, has a centre that all meet;
-    the rest wait for the components of these.
+    the rest wait for the components of these. With need, pairs of small buckets
+    go on only if they share enough of them. What is staged on the way is dropped
+    as soon as nothing reads it.
     """
+    spark = texts.sparkSession
     link = _linked if close is _sketches_close else partial(_linked, close=close)
-    classes = _classes(rows)
+    start = staged_so_far()
+    signed = stage_table(signed, "signatures")
+    classes = _classes(signed)
+    rows = stage_table(signed.select("doc_id", "text_hash", "n", "set_hash"), "rows")
+    drop_staged(spark, start, start + 1)
     # One shuffle of two numbers a member: most buckets have a single one, and end there.
     key = F.when(F.col("lead"), F.col("node")).otherwise(F.col("node") + F.lit(_FOLLOWS))
     dealt = members_of(classes.where("rep is not null")).select("bucket", key.alias("key")).repartition("bucket").sortWithinPartitions("bucket", "key")
@@ -412,19 +523,29 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
         found = texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("node", "set_hash", "text")
         return stage_table(found.mapInArrow(_sets(width), "node long, s array<long>"), "near-sets")
 
+    def joined(links: Callable[[], DataFrame], labels: DataFrame | None) -> DataFrame:
+        start = staged_so_far()
+        found = links()
+        end = staged_so_far()
+        labels = _relabelled(found, labels)
+        drop_staged(spark, start, end)
+        return labels
+
     # Groups of near copies hang together after a part of their buckets; the others then have little left to test.
     starred = F.pmod("bucket", F.lit(star_part)) == 0
     star = members.where(starred & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    labels = _relabelled(link(star, classes, sets), None)
+    labels = joined(lambda: link(star, classes, sets), None)
     unsure = _unsure(members.withColumn("tested", starred & (F.col("node") == F.col("centre"))), labels)
     if unsure is not None:
-        drawn = unsure.where("lead and not tested").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", F.col("x.node").alias("b"), F.col("x.c").alias("cb"))
-        met = unsure.join(drawn, "bucket")
+        draws = unsure.where("lead and not tested")
+        draws = draws if need is None else draws.where(F.col("size") > SMALL_BUCKET)
+        drawn = draws.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node", "c")).alias("x")).select("bucket", F.col("x.node").alias("b"), F.col("x.c").alias("cb"))
+        met = unsure.join(drawn, "bucket", "left")
         pairs = met.where("c <> cb").select(F.col("node").alias("a"), "b").distinct()
-        labels = _relabelled(link(pairs, classes, sets), labels)
-        unsure = _unsure(met.select("node", "bucket", "lead", (F.col("tested") | (F.col("node") == F.col("b"))).alias("tested")), labels)
+        labels = joined(lambda: link(pairs, classes, sets), labels)
+        unsure = _unsure(met.select("node", "bucket", "lead", (F.col("tested") | F.coalesce(F.col("node") == F.col("b"), F.lit(False))).alias("tested")), labels)
     if unsure is not None:
-        labels = _relabelled(_left_between(unsure, classes, sets, close), labels)
+        labels = joined(lambda: _left_between(unsure, classes, sets, close, need), labels)
 
     labels = labels.withColumnRenamed("id", "node").join(classes.select("node", "rep"), "node")
     least = labels.groupBy("component").agg(F.min("rep").alias("least"))
@@ -437,7 +558,7 @@ def labelled(texts: DataFrame, rows: DataFrame, width: int, members_of: Callable
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
-    return labelled(texts, stage_table(texts.mapInArrow(_signatures(width), ROWS), "signatures"), width)
+    return labelled(texts, texts.mapInArrow(_signatures(width), ROWS), width)
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.bytewords import sliced
 from claimlens.llm.near_duplicates import PERCENT, ROWS, _mixed, _texts, labelled, shingles
-from claimlens.llm.tables import stage_table
+from claimlens.llm.tables import shuffles_dropped
 
 WIDTH = 5
 #: Counters of hashed shingles (a byte each, once they are levels, in every task), and the parts in which they are summed.
 SLOTS = 1 << 21
 PARTS = 64
-#: 64-bit words of a bitmap signature.
-BITMAP_WORDS = 32
+#: The least 64-bit words of a bitmap signature.
+BITMAP_WORDS = 8
 #: Sets begin with about a hundred shingles; one in so many is a bucket whose members all meet its centre first.
 STAR_PART = 16
 #: Shingles that are counted at once.
@@ -65,6 +65,16 @@ def bitmaps_close(bits: Any, na: Any, nb: Any) -> Any:
     return (100 + PERCENT) * bits <= (100 - PERCENT) * (na + nb)
 
 
+def least_shared(na: Any, nb: Any) -> Any:
+    """How many shingles linked sets of sizes na >= nb share at least among the smaller's lead prefix and the larger's whole one.
+
+    Of the prefix that ends first in the common order, shingles in the other set
+    are in the other prefix too; beyond it, as many as are left may be shared.
+    """
+    overlap = (PERCENT * (na + nb) + 99 + PERCENT) // (100 + PERCENT)
+    return np.minimum(overlap - (nb - lead_prefix(nb)), overlap - (na - whole_prefix(na)))
+
+
 def _counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(SLOTS, np.uint32), [], 0
@@ -102,8 +112,9 @@ def slot_levels(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = (_mixed(s) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
-    odd = np.bincount(bits, minlength=64 * BITMAP_WORDS) & 1
+    """A power of two of bits, 2 to 4 a shingle: with fewer, those of any two large sets would differ in less bits than the bound allows."""
+    size = 64 * max(BITMAP_WORDS, 1 << (max(2 * len(s), 1) - 1 >> 6).bit_length())
+    odd = np.bincount((_mixed(s) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -133,6 +144,7 @@ def _members(classes: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     texts = _texts(docs, id_col, text_col)
-    rows = stage_table(texts.mapInArrow(_signed(width, slot_levels(texts, width)), ROWS), "join-signatures")
-    found = labelled(texts, rows, width, _members, bitmaps_close, star_part=STAR_PART)
+    with shuffles_dropped(docs.sparkSession):
+        signed = texts.mapInArrow(_signed(width, slot_levels(texts, width)), ROWS)
+        found = labelled(texts, signed, width, _members, bitmaps_close, star_part=STAR_PART, need=least_shared)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,23 @@ def stage_buckets(df: DataFrame, label: str, column: str, buckets: int) -> DataF
     return spark.table(name)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of a query as soon as it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -249,6 +249,111 @@ def test_bitmaps_bound_the_overlap():
         assert bits <= len(np.setxor1d(x, y))
 
 
+def test_bitmaps_tell_large_sets_apart():
+    rng = np.random.default_rng(4)
+    for n in (450, 6000, 40_000):
+        common = rng.integers(0, 1 << 63, n // 2, np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, size, np.uint64)])) for size in (n // 2, n // 2, n // 4)]
+        found = near_duplicates._Sketches(pa.chunked_array([pa.array([ngram_join.bitmap(s) for s in sets], pa.list_(pa.int64()))]))
+        for i, x in enumerate(sets):
+            near = np.array([j for j in range(3) if j != i])
+            bits = found.differing(i, near)
+            assert all(b <= len(np.setxor1d(x, sets[j])) for b, j in zip(bits, near, strict=True))
+            assert not any(ngram_join.bitmaps_close(b, len(x), len(sets[j])) for b, j in zip(bits, near, strict=True))
+
+
+def test_folded_bitmaps_are_those_of_fewer_bits(spark):
+    rng = np.random.default_rng(5)
+    x, y = (np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (500, 530))
+    a, b = ngram_join.bitmap(x), ngram_join.bitmap(y)
+    assert 2 * len(a) == len(b)
+    want = int(np.bitwise_count((a ^ b[: len(a)] ^ b[len(a) :]).view(np.uint64)).sum())
+    assert want <= len(np.setxor1d(x, y))
+    sketches = near_duplicates._Sketches(pa.chunked_array([pa.array([a, b], pa.list_(pa.int64()))]))
+    assert sketches.differing(0, np.array([1])).tolist() == sketches.differing(1, np.array([0])).tolist() == [want]
+    row = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<long>, b array<long>")
+    assert row.select(near_duplicates._differing("a", "b"), near_duplicates._differing("b", "a"), near_duplicates._differing("b", "b")).first()[:] == (want, want, 0)
+
+
+def test_linked_sets_share_as_many_buckets_as_needed():
+    rng = random.Random(6)
+    for _ in range(4000):
+        n = rng.randrange(1, 90)
+        m = rng.randrange(n, n * 100 // near_duplicates.PERCENT + 1)
+        least = -(-4 * (n + m) // 9)
+        if least > n:
+            continue
+        order = list(range(n + m - least))  # the least overlap, in any order of the shingles
+        rng.shuffle(order)
+        if rng.random() < 0.5:  # or the shared ones as late as some others allow
+            order.sort(key=lambda k: rng.random() + (0.9 if k < least else 0))
+        small = [k for k in order if k < n]
+        large = [k for k in order if k < least or k >= n]
+        shared = set(small[: ngram_join.lead_prefix(n)]) & set(large[: ngram_join.whole_prefix(m)])
+        assert len(shared) >= ngram_join.least_shared(m, n) and len(large) == m
+
+
+@pytest.mark.parametrize("small", [2, 5, 1000])
+def test_links_are_found_in_buckets_of_any_size(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "STAR_PART", 1 << 40)  # no bucket has a centre
+    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", small)
+    rng = random.Random(small)
+    rows = near_copies(30, 4)
+    for i in range(90):  # families near the threshold, of sizes that differ in their bitmaps' lengths
+        words = [f"f{i % 9}w{j}" for j in range(rng.randrange(225, 280))]
+        for j in rng.sample(range(len(words)), rng.randrange(30)):
+            words[j] = f"o{rng.randrange(10**9)}"
+        rows.append((9000 + i, " ".join(words)))
+    assert joined(table(spark, [(i, t, None, None) for i, t in rows]), width=1) == brute_components(rows, 1)
+
+
+def test_batches_end_inside_buckets():
+    rng = np.random.default_rng(7)
+    bucket = np.sort(rng.integers(0, 60, 400))
+    columns = [bucket, np.arange(400), rng.integers(0, 300, 400), rng.integers(60, 120, 400), rng.random(400) < 0.5]
+    whole = pa.record_batch([pa.array(x) for x in columns], names=["bucket", "node", "c", "n", "lead"])
+    found = []
+    for length in (1, 7, 400):
+        batches = [whole.slice(at, length) for at in range(0, 400, length)]
+        found.append(sorted(tuple(r.values()) for x in near_duplicates._pairs_within(ngram_join.least_shared)(iter([whole.slice(0, 0), *batches])) for r in x.to_pylist()))
+    want = [
+        (i, j) if (n[i], i) > (n[j], j) else (j, i)
+        for _, _, c, n, lead in [columns]
+        for i in range(400)
+        for j in range(i)
+        if bucket[i] == bucket[j] and c[i] != c[j] and (lead[i] or lead[j]) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])
+    ]
+    assert found[0] == found[1] == found[2] and [r[:2] for r in found[0]] == sorted(want)
+
+
+def test_long_texts_with_little_in_common_send_no_sets(spark, monkeypatch):
+    staged = collections.Counter()
+    stage = near_duplicates.stage_table
+
+    def counted(df, label, *args, **kw):
+        out = stage(df, label, *args, **kw)
+        staged[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stage_table", counted)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.sample(range(30_000), 6000)), None, None) for i in range(40)]
+    assert ngram_join.join_components(table(spark, rows), width=1).where("component_id <> doc_id").count() == 0
+    assert staged["bucket-members"] and not staged["near-sets"] and not staged["near-candidates"], staged
+
+
+def test_what_the_join_stages_is_dropped(spark):
+    from claimlens.llm import tables
+
+    start = tables.staged_so_far()
+    rows = near_copies(40, 9)
+    cleanup = spark.conf.get(tables._CLEANUP, None)
+    assert joined(table(spark, [(i, t, None, None) for i, t in rows]), width=2) == brute_components(rows, 2)
+    left = [p for p, _ in tables._STAGED.tables[start:] if p]
+    assert not [p for p in left if re.search("/(signatures|near-sets|open-nodes|near-candidates)-", p)]
+    assert spark.conf.get(tables._CLEANUP, None) == cleanup
+
+
 def test_links_of_the_join_without_centres_are_found(spark, monkeypatch):
     linked = near_duplicates._linked
     monkeypatch.setattr(near_duplicates, "_linked", lambda pairs, *rest, **close: linked(pairs.limit(0), *rest, **close))
