@@ -12,7 +12,10 @@ Each class has a bitmap signature: one bit for each hash value, flipped by each
 shingle. Bits that differ are at most as many as shingles that only one of two
 sets has, so their count bounds the overlap from above, and most pairs of a
 bucket are settled by it: with centres, and then in tiles of nodes of like size
-(near_duplicates holds these steps, as both joins take them). The others are
+(near_duplicates holds these steps, as both joins take them). Bitmaps grow with
+their sets, or they would settle nothing between large ones. Pairs of small buckets
+are counted first: linked sets share not only one shingle of their prefixes, but as
+many as their sizes tell, which few pairs that share one by chance do. The others are
 confirmed on the sorted arrays of whole sets. The result is the components of
 all links; links inside a component are not listed.
 
